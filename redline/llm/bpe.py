@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from redline.llm.common import Memo, map_texts
 
 #: Pre-tokens met twice whose ids a worker remembers, those met once, and ranks of pairs; about 200 bytes each.
-OFTEN, ONCE, PAIRS = 200_000, 100_000, 150_000
+OFTEN, ONCE, PAIRS = 400_000, 250_000, 250_000
 
 
 @dataclass
@@ -92,8 +93,9 @@ class Vocabulary:
         ids = [rank(piece[i : i + 1]) for i in range(n)]
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            merged, i, end = heapq.heappop(heap)
+            merged, i, end = pop(heap)
             j = after[i]
             if j < 0 or j >= n or after[j] != end:  # one of the two has been merged since
                 continue
@@ -101,9 +103,9 @@ class Vocabulary:
             if end < n:
                 before[end] = i
                 if (r := rank(piece[i : after[end]])) >= 0:
-                    heapq.heappush(heap, (r, i, after[end]))
+                    push(heap, (r, i, after[end]))
             if (h := before[i]) >= 0 and (r := rank(piece[h:end])) >= 0:
-                heapq.heappush(heap, (r, h, end))
+                push(heap, (r, h, end))
         out, i = [], 0
         while i < n:
             out.append(ids[i])
@@ -177,11 +179,11 @@ def _mapped(df: DataFrame, vocabulary: Vocabulary, text: str, schema: str, decod
             words = shared.value
             state["find"] = regex.compile(words.pattern).findall
             rank = Memo(words.rank, PAIRS).__getitem__
-            once = Memo(lambda p: np.array(words.encode_piece(p.encode(), rank), "<i4").tobytes(), ONCE)
+            once = Memo(lambda p: array("i", words.encode_piece(p.encode(), rank)).tobytes(), ONCE)
             state["memo"] = Seen(once, OFTEN)
             state["tokens"] = words.tokens()
         find, ids_of, token = state["find"], state["memo"].__getitem__, state["tokens"].__getitem__
-        each = [np.frombuffer(b"".join(map(ids_of, find(t or ""))), "<i4") for t in texts]
+        each = [np.frombuffer(b"".join(map(ids_of, find(t or ""))), np.int32) for t in texts]
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each)))
         return [ids] + ([pa.array([b"".join(map(token, x.tolist())) for x in each], pa.binary())] if decoded else [])
