@@ -57,9 +57,12 @@ def _sets(texts: list[str]) -> list[np.ndarray]:
     return np.split((pairs & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(pairs >> 21, np.arange(1, n)))
 
 
-def train(sets: list[np.ndarray], labels: list[int], alpha: float = 0.15, beta: float = 1.0, l1: float = 0.6,
-          l2: float = 0.5, epochs: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
-    """FTRL-proximal, a text at a time with per-coordinate rates: buckets and weights other than 0, bias."""
+def train(sets: list[np.ndarray], labels: list[int], alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0,
+          l2: float = 0.1, epochs: int = 10, positive: float = 3.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """FTRL-proximal, a text at a time with per-coordinate rates: buckets and weights other than 0, bias.
+
+    A text of label 1 counts ``positive`` times.
+    """
     z, n, bias, bias_n = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
@@ -69,7 +72,7 @@ def train(sets: list[np.ndarray], labels: list[int], alpha: float = 0.15, beta:
         for at, y in zip(sets, labels, strict=True):
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
-            g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y
+            g = (1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y) * (positive if y else 1.0)
             z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
             n[at] = ni + g * g
             bias_n += g * g
@@ -80,7 +83,7 @@ def train(sets: list[np.ndarray], labels: list[int], alpha: float = 0.15, beta:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id",
-        per_class: tuple[int, int] = (9000, 5000)) -> Model:
+        per_class: tuple[int, int] = (10000, 6000)) -> Model:
     """A model from about ``per_class`` texts labelled 0 and 1 at most.
 
     The sample is the rows whose hash of ``key`` falls under a share by class,
