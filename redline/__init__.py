@@ -1,0 +1 @@
+"""Redline: batch comparison of document pairs on Spark DataFrames."""
