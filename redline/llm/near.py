@@ -4,7 +4,8 @@ Items have a ``node`` (a 64-bit hash of their content, so copies are one node),
 a signature and band keys. Every pair that shares a band is a candidate, yet no
 bucket is expanded into its pairs: each node meets the least node of its
 buckets first; only buckets that still hold several components are compared
-within, in blocks, and pairs of one component are never looked at.
+within, in blocks, pairs of one component are never looked at, and what comes
+out is a forest of links.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, GroupedData, functions as F
 
 from redline.llm.common import checkpointed, mix64
 
@@ -110,32 +111,53 @@ def components(links: DataFrame) -> DataFrame:
     return comp.unionByName(roots).groupBy("node").agg(F.min("comp").alias("comp"))
 
 
-def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame],
-         similarity: float, length: int, miss: float = 1e-5) -> DataFrame:
-    """The components (node, comp) of all verified pairs of nodes that share a band.
+def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame],
+         percent: int, length: int, miss: float = 1e-5) -> DataFrame:
+    """The components (node, comp) of all pairs of nodes that share a band and have 100 * common >= percent * union.
 
     ``members``: key and node, repeated rows allowed. ``signatures`` gives node
     (unique) and sig (``length`` uint16 minima) of the nodes (a column node)
-    that share a key with another one, or of more. ``verify`` keeps the pairs
-    (a, b) that are linked exactly.
+    that share a key with another one, or of more; ``sets`` gives node and set
+    (array<bigint>, sorted, without repeats) of the nodes asked for, or of more.
+
+    Three steps, each over what the one before left open: a node and the hub it
+    shares most bands with; a component and the component most like it; then
+    all pairs of components within a bucket, exactly, until those that are
+    linked at all are linked.
     """
-    plan = least_matches(similarity, length, miss)
+    plan = least_matches(percent / 100, length, miss)
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other")
     shared = checkpointed(members.join(hubs.select("key", "hub"), "key").select("key", "node", "hub").distinct())
     sigs = signatures(shared.select("node").distinct())
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs)
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return checkpointed(jaccard_links(pairs, sets(nodes), percent))
+
+    def still_open(comps: DataFrame) -> DataFrame:
+        """key, node, comp and the bucket's size n, of buckets that hold several components."""
+        labelled = shared.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        several = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        return labelled.join(several.where("lo <> hi").select("key", "n"), "key")
+
     star = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("bands"))
-    # a node first meets the hub that it shares most bands with
     star = star.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("bands", -F.col("hub"))).alias("b"))
-    links = checkpointed(verify(checkpointed(_verify_signatures(star, sigs, plan))))
+    links = confirmed(_verify_signatures(star, sigs, plan))
     comps = checkpointed(components(links))
-    labelled = shared.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_ = open_.where("lo <> hi").select("key", "n")
-    more = checkpointed(_within(labelled.join(open_, "key").join(sigs, "node"), plan))
-    if not more.take(1):
+
+    best = _blocks(still_open(comps).join(sigs, "node"), BLOCK).applyInArrow(_closest(plan), "comp long, matches int, a long, b long")
+    best = best.groupBy("comp").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p"))
+    links = links.unionByName(confirmed(best.select("p.a", "p.b").distinct()))
+    comps = checkpointed(components(links))
+
+    rest = checkpointed(still_open(comps))
+    if not rest.take(1):
         return comps
-    again = checkpointed(verify(more))
-    return checkpointed(components(links.unionByName(again)))
+    keys = rest.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most one for each band
+    facts = checkpointed(keys.join(sigs, "node").join(sets(keys.select("node")), "node"))
+    found = _blocks(rest.join(facts, "node"), BLOCK // 4).applyInArrow(_exact(plan, percent), "a long, b long")
+    return checkpointed(components(links.unionByName(checkpointed(found.distinct()))))
 
 
 def _verify_signatures(pairs: DataFrame, sigs: DataFrame, plan: list[tuple[int, int]]) -> DataFrame:
@@ -151,34 +173,87 @@ def _verify_signatures(pairs: DataFrame, sigs: DataFrame, plan: list[tuple[int,
     return both.mapInArrow(run, "a long, b long")
 
 
-def _within(rest: DataFrame, plan: list[tuple[int, int]]) -> DataFrame:
-    """Pairs of different components within buckets; a bucket over BLOCK members is compared block by block."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "comp", "sig")
+def _blocks(rest: DataFrame, size: int) -> GroupedData:
+    """Members of a bucket in groups of two blocks (or one), so that each pair meets in one group."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    spread = rest.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+    return spread.drop("other", "n").groupBy("key", "i", "j")
+
+
+def _pairs(group: pa.Table, plan: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of the group the later rows of other components that their signatures don't rule out, and matches."""
+    comp, mine = group["comp"].to_numpy(), group["mine"].to_numpy()
+    if len(comp) < 2 or comp.min() == comp.max():
+        return
+    sig = _signatures(group["sig"].combine_chunks())
+    two = group["i"][0].as_py() != group["j"][0].as_py()
+    n, least = plan[0]
+    for at in range(len(comp) - 1):
+        others = np.flatnonzero(comp[at + 1 :] != comp[at]) + at + 1
+        if two:
+            others = others[mine[others] != mine[at]]
+        close = others[(sig[others, :n] == sig[at, :n]).sum(1) >= least]
+        close = close[survivors(np.broadcast_to(sig[at], (len(close), sig.shape[1])), sig[close], plan)]
+        if len(close):
+            yield at, close, (sig[close] == sig[at]).sum(1)
+
+
+def _closest(plan: list[tuple[int, int]]) -> Callable[[pa.Table], pa.Table]:
+    """Of each component of a group the pair that is most like one of another component."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        node, comp = group["node"].to_numpy(), group["comp"].to_numpy()
+        best: dict[int, tuple[int, int, int]] = {}
+        for at, close, matches in _pairs(group, plan):
+            for c in np.unique(comp[close]).tolist():
+                of_c = np.flatnonzero(comp[close] == c)
+                k = of_c[matches[of_c].argmax()]
+                pair = (int(matches[k]), int(node[at]), int(node[close[k]]))
+                for side in (c, int(comp[at])):
+                    best[side] = max(best.get(side, pair), pair)
+        columns = [list(best), *([p[i] for p in best.values()] for i in range(3))]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["comp", "matches", "a", "b"])
+
+    return run
+
+
+def _exact(plan: list[tuple[int, int]], percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links that join the components of a group as far as any of its pairs does, each pair in its first common bucket."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("node")
-        node, comp, mine = (group[c].to_numpy() for c in ("node", "comp", "mine"))
-        left, right = [], []
-        if len(node) > 1 and comp.min() != comp.max():
-            sig = _signatures(group["sig"].combine_chunks())
-            i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            for at in range(len(node) - 1):
-                others = np.flatnonzero(comp[at + 1 :] != comp[at]) + at + 1
-                if i != j:
-                    others = others[mine[others] != mine[at]]
-                if len(others):
-                    n, least = plan[0]
-                    close = others[(sig[others, :n] == sig[at, :n]).sum(1) >= least]
-                    kept = close[survivors(np.broadcast_to(sig[at], (len(close), sig.shape[1])), sig[close], plan)]
-                    left.append(np.full(len(kept), node[at]))
-                    right.append(node[kept])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.table({"a": a, "b": b})
-
-    return spread.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        node, comp, found = group["node"].to_numpy(), group["comp"].to_numpy(), []
+        head: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := head.get(c, c)) != c:
+                c = up
+            return c
+
+        if len(node):
+            here = group["key"][0].as_py()
+            keys = [set(k) for k in group["keys"].to_pylist()]
+            sets = group["set"].combine_chunks()
+            items = lambda i: sets[int(i)].values.to_numpy()
+        for at, close, matches in _pairs(group, plan):
+            mine = items(at)
+            for k in np.argsort(-matches, kind="stable").tolist():
+                other = int(close[k])
+                p, q = top(int(comp[at])), top(int(comp[other]))
+                if p == q or min(keys[at] & keys[other]) != here:
+                    continue
+                theirs = items(other)
+                common = len(np.intersect1d(mine, theirs, assume_unique=True))
+                if 100 * common >= percent * (len(mine) + len(theirs) - common):
+                    head[max(p, q)] = min(p, q)
+                    found.append((int(node[at]), int(node[other])))
+        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

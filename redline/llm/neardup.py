@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from redline.llm.common import Memo, checkpointed, map_texts, mix64
-from redline.llm.near import band_keys, hash_family, jaccard_links, link, minhash
+from redline.llm.near import band_keys, hash_family, link, minhash
 
 #: Bands and their rows: a pair of similarity 0.8 shares none with probability (1 - 0.8**6)**32 = 6e-5.
 BANDS, ROWS = 32, 6
@@ -100,17 +100,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
         def kernel(batch: list[str | None]) -> list[pa.Array]:
             sets = shingle_sets(batch, width)
-            return [pa.array(node_of(sets).view(np.int64)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            return [pa.array(node_of(sets).view(np.int64)), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))]
 
         made = map_texts(found, "text", "node long, set array<long>", kernel, ["wanted"]).where("wanted = node")
         return made.groupBy("node").agg(F.first("set").alias("set"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        return jaccard_links(pairs, sets_of(nodes), percent)
-
     members = some.select("node", F.explode("bands").alias("key"))
-    comps = link(members, lambda nodes: sigs, verify, percent / 100, BANDS * ROWS)
+    comps = link(members, lambda nodes: sigs, sets_of, percent, BANDS * ROWS)
     light = rows.select("key", "n_shingles", "node")
     named = light.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.where("comp is not null").groupBy("comp").agg(F.min("key").alias("component_id"))
