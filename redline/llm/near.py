@@ -20,6 +20,8 @@ from redline.llm.common import checkpointed, mix64
 
 #: Signature positions compared at a time, members of a bucket that meet in one task.
 BATCH, BLOCK = 32, 1024
+#: Links that one task joins (some 100 bytes each); nodes whose ids are broadcast (some 40 bytes each).
+FEW_LINKS, LOOKUP = 500_000, 400_000
 
 
 def hash_family(k: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -86,12 +88,15 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """node, comp: the least node reachable by links (a, b), for every node that has a link.
 
-    Large-star and small-star in turn until the stars stay the same; minima are
-    combined before they are dealt out, and each round is checkpointed.
+    Up to ``few`` links, which is checked, are joined in one task. More go
+    through large-star and small-star in turn until the stars stay the same;
+    minima are combined before they are dealt out, and each round is checkpointed.
     """
+    if links.count() <= few:
+        return links.select("a", "b").repartition(1).mapInArrow(_joined, "node long, comp long")
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges, sign = checkpointed(edges), None
     while True:
@@ -111,13 +116,31 @@ def components(links: DataFrame) -> DataFrame:
     return comp.unionByName(roots).groupBy("node").agg(F.min("comp").alias("comp"))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union by least root with path halving."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (parent := up.setdefault(x, x)) != x:
+            up[x] = x = up[parent]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = top(a), top(b)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "comp"])
+
+
 def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame],
          percent: int, length: int, miss: float = 1e-5) -> DataFrame:
     """The components (node, comp) of all pairs of nodes that share a band and have 100 * common >= percent * union.
 
     ``members``: key and node, repeated rows allowed. ``signatures`` gives node
     (unique) and sig (``length`` uint16 minima) of the nodes (a column node)
-    that share a key with another one, or of more; ``sets`` gives node and set
+    that share a key with another one; ``sets`` gives node and set
     (array<bigint>, sorted, without repeats) of the nodes asked for, or of more.
 
     Three steps, each over what the one before left open: a node and the hub it
@@ -127,13 +150,13 @@ def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame], sets:
     """
     plan = least_matches(percent / 100, length, miss)
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other")
-    shared = checkpointed(members.join(hubs.select("key", "hub"), "key").select("key", "node", "hub").distinct())
-    sigs = signatures(shared.select("node").distinct())
+    shared = checkpointed(members.join(hubs.select("key", "hub"), "key").select("node", "key", "hub").distinct())
+    sigs = checkpointed(signatures(checkpointed(shared.select("node").distinct())))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs)
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        return checkpointed(jaccard_links(pairs, sets(nodes), percent))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return checkpointed(jaccard_links(pairs, sets(ends), percent))
 
     def still_open(comps: DataFrame) -> DataFrame:
         """key, node, comp and the bucket's size n, of buckets that hold several components."""
@@ -148,7 +171,7 @@ def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame], sets:
 
     best = _blocks(still_open(comps).join(sigs, "node"), BLOCK).applyInArrow(_closest(plan), "comp long, matches int, a long, b long")
     best = best.groupBy("comp").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p"))
-    links = links.unionByName(confirmed(best.select("p.a", "p.b").distinct()))
+    links = links.unionByName(confirmed(best.select("p.a", "p.b")))
     comps = checkpointed(components(links))
 
     rest = checkpointed(still_open(comps))
@@ -157,7 +180,12 @@ def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame], sets:
     keys = rest.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most one for each band
     facts = checkpointed(keys.join(sigs, "node").join(sets(keys.select("node")), "node"))
     found = _blocks(rest.join(facts, "node"), BLOCK // 4).applyInArrow(_exact(plan, percent), "a long, b long")
-    return checkpointed(components(links.unionByName(checkpointed(found.distinct()))))
+    return checkpointed(components(links.unionByName(checkpointed(found))))
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` for a join, broadcast if it has LOOKUP rows at most; it should be checkpointed, as it is counted."""
+    return F.broadcast(df) if df.count() <= LOOKUP else df
 
 
 def _verify_signatures(pairs: DataFrame, sigs: DataFrame, plan: list[tuple[int, int]]) -> DataFrame:

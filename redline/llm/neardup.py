@@ -8,12 +8,10 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from redline.llm.common import Memo, checkpointed, map_texts, mix64
-from redline.llm.near import band_keys, hash_family, link, minhash
+from redline.llm.near import band_keys, hash_family, link, minhash, sized
 
 #: Bands and their rows: a pair of similarity 0.8 shares none with probability (1 - 0.8**6)**32 = 6e-5.
 BANDS, ROWS = 32, 6
-#: Nodes to look up in the texts by a broadcast of their ids; more are joined by shuffle.
-LOOKUP = 400_000
 
 _family = hash_family(BANDS * ROWS)
 _word = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
@@ -86,17 +84,22 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     """
     rows = checkpointed(signed(df, key, text, width))
     some = rows.where("node is not null")
-    owners = some.groupBy("node").agg(F.min(F.struct("tkey", "key")).alias("o")).select("node", "o.tkey", "o.key")
-    sigs = some.groupBy("node").agg(F.min("tkey").alias("tkey")).join(some.select("node", "tkey", "sig"), ["node", "tkey"])
-    sigs = sigs.groupBy("node").agg(F.first("sig").alias("sig"))
+    known: list[DataFrame] = []
+
+    def signatures(nodes: DataFrame) -> DataFrame:
+        """node, sig, and one row (text hash and key) that the node's text is read from again."""
+        facts = some.join(sized(nodes), "node").groupBy("node").agg(
+            F.first("sig").alias("sig"), F.min(F.struct("tkey", "key")).alias("o")
+        )
+        known.append(checkpointed(facts.select("node", "sig", "o.tkey", "o.key")))
+        return known[0].select("node", "sig")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = checkpointed(nodes.join(owners, "node"))
-        few = wanted.count() <= LOOKUP
-        wanted = wanted.select(F.col("node").alias("wanted"), F.col("tkey").alias("t"), F.col("key").alias("k"))
+        wanted = checkpointed(known[0].drop("sig").join(nodes, "node"))
+        wanted = sized(wanted.select(F.col("node").alias("wanted"), F.col("tkey").alias("t"), F.col("key").alias("k")))
         texts = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
         match = (F.xxhash64("text") == F.col("t")) & F.col("key").eqNullSafe(F.col("k"))
-        found = texts.join(F.broadcast(wanted) if few else wanted, match).select("wanted", "text")
+        found = texts.join(wanted, match).select("wanted", "text")
 
         def kernel(batch: list[str | None]) -> list[pa.Array]:
             sets = shingle_sets(batch, width)
@@ -106,7 +109,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         return made.groupBy("node").agg(F.first("set").alias("set"))
 
     members = some.select("node", F.explode("bands").alias("key"))
-    comps = link(members, lambda nodes: sigs, sets_of, percent, BANDS * ROWS)
+    comps = link(members, signatures, sets_of, percent, BANDS * ROWS)
     light = rows.select("key", "n_shingles", "node")
     named = light.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.where("comp is not null").groupBy("comp").agg(F.min("key").alias("component_id"))
