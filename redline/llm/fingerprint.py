@@ -23,6 +23,8 @@ from redline.llm.common import CHUNK_CHARS, mix64
 
 #: Sizes of chunks in bytes, and how many bits of the gear hash must be 0 before and after the normal size.
 LEAST, NORMAL, MOST, STRICT, LOOSE = 8, 24, 128, 6, 3
+#: Bytes of text that one block of keys has.
+BLOCK = 2 << 20
 _gear = (mix64(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
@@ -91,14 +93,14 @@ def edited(text: str, following: str) -> str:
 def in_order(df: DataFrame, key: str, text: str) -> DataFrame:
     """Columns block, copy, key and text: blocks of keys from the largest down, ready to be read in order.
 
-    Each block has about 16 MB of text and, as a row with copy = 1, the first
+    Each block has about BLOCK bytes of text and, as a row with copy = 1, the first
     row of the block after it (the last block: of the first). Null keys come
     last; rows of one key are ordered by text. Only a few numbers for each
     block come to the driver.
     """
     rows = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     sizes = rows.agg(F.sum(F.octet_length("t")).alias("bytes"), F.count("*").alias("n")).first()
-    n_blocks = max(1, min(1 << 14, -(-(sizes["bytes"] or 0) // (16 << 20))))
+    n_blocks = max(1, min(1 << 14, -(-(sizes["bytes"] or 0) // BLOCK)))
     if n_blocks > 1:
         cut = rows.select(F.percentile_approx("k", [i / n_blocks for i in range(1, n_blocks)], 100 * n_blocks)).first()[0]
         cuts = sorted(set(cut or []))

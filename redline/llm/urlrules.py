@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 #: Most rules; urls have no bound.
 LIMIT = 100_000
 #: Urls swept in one sorted group, at least.
-GROUP = 50_000
+GROUP = 8_000
 
 
 def host_of(url: Column) -> Column:
