@@ -14,9 +14,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, GroupedData, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from redline.llm.common import checkpointed, mix64
+from redline.llm.common import Memo, checkpointed, mix64
 
 #: Signature positions compared at a time, members of a bucket that meet in one task.
 BATCH, BLOCK = 32, 1024
@@ -144,9 +144,8 @@ def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame], sets:
     (array<bigint>, sorted, without repeats) of the nodes asked for, or of more.
 
     Three steps, each over what the one before left open: a node and the hub it
-    shares most bands with; a component and the component most like it; then
-    all pairs of components within a bucket, exactly, until those that are
-    linked at all are linked.
+    shares most bands with; its other hubs; then the members of a bucket of
+    different components, exactly, until those that are linked at all are linked.
     """
     plan = least_matches(percent / 100, length, miss)
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other")
@@ -165,21 +164,30 @@ def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame], sets:
         return labelled.join(several.where("lo <> hi").select("key", "n"), "key")
 
     star = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("bands"))
-    star = star.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("bands", -F.col("hub"))).alias("b"))
-    links = confirmed(_verify_signatures(star, sigs, plan))
+    star = star.select(F.col("node").alias("a"), F.col("hub").alias("b"), "bands")
+    best = star.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
+    links = confirmed(_verify_signatures(best, sigs, plan))
     comps = checkpointed(components(links))
 
-    best = _blocks(still_open(comps).join(sigs, "node"), BLOCK).applyInArrow(_closest(plan), "comp long, matches int, a long, b long")
-    best = best.groupBy("comp").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("p"))
-    links = links.unionByName(confirmed(best.select("p.a", "p.b")))
-    comps = checkpointed(components(links))
-
-    rest = checkpointed(still_open(comps))
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"of_{c}"))
+    others = star.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    others = others.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    more = confirmed(_verify_signatures(others, sigs, plan))
+    if more.take(1):
+        links = links.unionByName(more)
+        comps = checkpointed(components(links))
+
+    # in a bucket of two the hub has met the other one; in larger ones the others have not met each other
+    labelled = shared.join(comps, "node", "left").select("key", "node", "hub", F.coalesce("comp", "node").alias("comp"))
+    several = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    several = several.where("lo <> hi and n > 2").select("key", "n")
+    rest = checkpointed(labelled.join(several, "key").where("node <> hub").drop("hub"))
     if not rest.take(1):
         return comps
     keys = rest.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most one for each band
-    facts = checkpointed(keys.join(sigs, "node").join(sets(keys.select("node")), "node"))
-    found = _blocks(rest.join(facts, "node"), BLOCK // 4).applyInArrow(_exact(plan, percent), "a long, b long")
+    near = keys.join(sigs, "node")
+    facts = checkpointed(near.join(sets(keys.select("node")), "node"))
+    found = _blocks(rest.join(facts, "node"), BLOCK // 4, _exact(plan, percent), "a long, b long")
     return checkpointed(components(links.unionByName(checkpointed(found))))
 
 
@@ -201,13 +209,41 @@ def _verify_signatures(pairs: DataFrame, sigs: DataFrame, plan: list[tuple[int,
     return both.mapInArrow(run, "a long, b long")
 
 
-def _blocks(rest: DataFrame, size: int) -> GroupedData:
-    """Members of a bucket in groups of two blocks (or one), so that each pair meets in one group."""
+def _blocks(rest: DataFrame, size: int, kernel: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+    """``kernel`` over the members of each bucket, in groups of two blocks (or one), so that each pair meets in one group.
+
+    Groups are read one after another from sorted partitions: most are tiny.
+    """
     blocks = F.ceil(F.col("n") / size).cast("int")
     spread = rest.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    return spread.drop("other", "n").groupBy("key", "i", "j")
+    spread = spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "n")
+    dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+            if held is None or not len(held):
+                continue
+            names = [held[c].to_numpy() for c in ("key", "i", "j")]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1
+            ends = [*cuts.tolist(), len(held)] if batch is None else cuts.tolist()
+            start = 0
+            for end in ends:
+                if end - start > 1 and (made := kernel(held.slice(start, end - start))) is not None:
+                    yield from made.to_batches()
+                start = end
+            held = held.slice(start)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _pairs(group: pa.Table, plan: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -228,32 +264,10 @@ def _pairs(group: pa.Table, plan: list[tuple[int, int]]) -> Iterator[tuple[int,
             yield at, close, (sig[close] == sig[at]).sum(1)
 
 
-def _closest(plan: list[tuple[int, int]]) -> Callable[[pa.Table], pa.Table]:
-    """Of each component of a group the pair that is most like one of another component."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("node")
-        node, comp = group["node"].to_numpy(), group["comp"].to_numpy()
-        best: dict[int, tuple[int, int, int]] = {}
-        for at, close, matches in _pairs(group, plan):
-            for c in np.unique(comp[close]).tolist():
-                of_c = np.flatnonzero(comp[close] == c)
-                k = of_c[matches[of_c].argmax()]
-                pair = (int(matches[k]), int(node[at]), int(node[close[k]]))
-                for side in (c, int(comp[at])):
-                    best[side] = max(best.get(side, pair), pair)
-        columns = [list(best), *([p[i] for p in best.values()] for i in range(3))]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["comp", "matches", "a", "b"])
-
-    return run
-
-
-def _exact(plan: list[tuple[int, int]], percent: int) -> Callable[[pa.Table], pa.Table]:
+def _exact(plan: list[tuple[int, int]], percent: int) -> Callable[[pa.Table], pa.Table | None]:
     """Links that join the components of a group as far as any of its pairs does, each pair in its first common bucket."""
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("node")
+    def run(group: pa.Table) -> pa.Table | None:
         node, comp, found = group["node"].to_numpy(), group["comp"].to_numpy(), []
         head: dict[int, int] = {}
 
@@ -262,11 +276,9 @@ def _exact(plan: list[tuple[int, int]], percent: int) -> Callable[[pa.Table], pa
                 c = up
             return c
 
-        if len(node):
-            here = group["key"][0].as_py()
-            keys = [set(k) for k in group["keys"].to_pylist()]
-            sets = group["set"].combine_chunks()
-            items = lambda i: sets[int(i)].values.to_numpy()
+        here, all_keys, sets = group["key"][0].as_py(), group["keys"], group["set"]
+        items = lambda i: sets[int(i)].values.to_numpy()
+        keys = Memo(lambda i: set(all_keys[int(i)].as_py()), len(node) + 1)
         for at, close, matches in _pairs(group, plan):
             mine = items(at)
             for k in np.argsort(-matches, kind="stable").tolist():
@@ -279,7 +291,7 @@ def _exact(plan: list[tuple[int, int]], percent: int) -> Callable[[pa.Table], pa
                 if 100 * common >= percent * (len(mine) + len(theirs) - common):
                     head[max(p, q)] = min(p, q)
                     found.append((int(node[at]), int(node[other])))
-        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"]) if found else None
 
     return run
 
@@ -291,3 +303,22 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     common = F.size(F.array_intersect("s", "t"))
     linked = both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("s") + F.size("t") - F.col("common")))
     return linked.select("a", "b")
+
+
+#: Bits of a bitmap of nodes: 8 MB, however many nodes there are.
+BITMAP = 26
+
+
+def bitmap(nodes: DataFrame) -> np.ndarray:
+    """A bitmap by the low bits of ``node``: a bounded sieve before an exact join; full of ones it sieves nothing."""
+    at = F.col("node").bitwiseAND(F.lit((1 << BITMAP) - 1))
+    word, bit = F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast((node & {(1 << BITMAP) - 1}) & 63 as int))").alias("bit")
+    got = nodes.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP - 6), np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def sieve(node: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = node.view(np.uint64) & np.uint64((1 << BITMAP) - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
