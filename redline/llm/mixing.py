@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from redline.llm.common import checkpointed, free_names
 
 #: Texts that fly in one task, and texts of a source that are left for its landing: two of the flight, others of all sizes.
-FLIGHT, FEW = 20_000, 12
+FLIGHT, FEW = 4_000, 12
 #: Sources whose table is small enough to broadcast; more are joined by shuffle.
 SMALL = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
