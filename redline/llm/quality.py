@@ -147,7 +147,7 @@ def train(own: np.ndarray, of: np.ndarray, labels: np.ndarray, weight: np.ndarra
     return Model(w, tr, mean, scale)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id",
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id",
         per_class: tuple[int, int] = (2500, 3500)) -> Model | float:
     """A model from about ``per_class`` texts labelled 0 and 1 at most, chosen by hash of ``key``.
 
@@ -155,14 +155,16 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     by ``per_class``. Rows with a null text or another label teach nothing;
     without both classes the result is the share of label 1 (0.5 without any).
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(
-        F.col(label).cast("int").alias("y"), F.col(text).alias("t"), unit_hash(F.col(key), seed=4).alias("u")
+    marks = labels.where(F.col(label).isin(0, 1)).select(
+        F.col(key).alias("__k"), F.col(label).cast("int").alias("y"), unit_hash(F.col(key), seed=4).alias("u")
     )
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return float(1 in sizes) if sizes else 0.5
     share = [min(1.0, per_class[y] / sizes[y]) for y in (0, 1)]
-    sample = rows.where(F.col("u") < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    # the sample of labels is bounded by per_class, so it goes to the texts
+    chosen = marks.where(F.col("u") < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    sample = docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("__k")).select("y", F.col(text).alias("t"), "u")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

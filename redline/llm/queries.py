@@ -23,11 +23,10 @@ def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> bpe.Vocabula
     return bpe.Vocabulary.read(public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, held_out: Column) -> DataFrame:
-    """doc_id, text and label of the labelled documents that are not held out."""
-    marks = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).where("label is not null")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(~held_out)
-    return docs.join(marks, "doc_id")
+def labels_of(spark: SparkSession, sf_dir: str, held_out: Column | None = None) -> DataFrame:
+    """The labels of documents that are not held out."""
+    labels = table(spark, sf_dir, "labels")
+    return labels if held_out is None else labels.where(~held_out)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +49,8 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_fold("doc_id", 3) == 1
-    model = quality.fit(labelled(spark, sf_dir, "quality", held_out))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(texts, labels_of(spark, sf_dir, held_out), label="quality")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
     scored = quality.score(docs, model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -84,7 +84,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_fold("doc_id", 5) == 0
-    model = toxicity.fit(labelled(spark, sf_dir, "toxic", held_out))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(texts, labels_of(spark, sf_dir, held_out), label="toxic")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -82,26 +82,29 @@ def train(sets: list[np.ndarray], labels: list[int], alpha: float = 2.0, beta: f
     return at, w[at], bias
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id",
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id",
         per_class: tuple[int, int] = (10000, 6000)) -> Model:
     """A model from about ``per_class`` texts labelled 0 and 1 at most.
 
-    The sample is the rows whose hash of ``key`` falls under a share by class,
+    ``docs`` has ``key`` and ``text``, ``labels`` has ``key`` and ``label``. The
+    sample is the labels whose hash of ``key`` falls under a share by class,
     the same each time; features are made where the rows are, and one task
     trains over the bounded sample in hash order. The bias is set back for the
     shares. Rows with a null text or another label teach nothing; without both
     classes each text gets the share of label 1 (0.5 without any).
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(
-        F.col(label).cast("int").alias("y"), F.col(text).alias("t"), unit_hash(F.col(key), seed=8).alias("u")
+    marks = labels.where(F.col(label).isin(0, 1)).select(
+        F.col(key).alias("__k"), F.col(label).cast("int").alias("y"), unit_hash(F.col(key), seed=8).alias("u")
     )
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         known = sizes.get(1, 0.5 if not sizes else 0)
         odds = {0.5: 0.0}.get(known, 8.0 if known else -8.0)
         return Model(np.zeros(0, np.int64), np.zeros(0), odds)
     share = [min(1.0, per_class[y] / sizes[y]) for y in (0, 1)]
-    sample = rows.where(F.col("u") < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    # the sample of labels is bounded by per_class, so it goes to the texts
+    chosen = marks.where(F.col("u") < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    sample = docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("__k")).select("y", F.col(text).alias("t"), "u")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
