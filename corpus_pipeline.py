@@ -16,9 +16,9 @@ from redline.llm.common import checkpoint_dir, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under 0.5, by a model of all labelled documents."""
-    marks = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    known = table(spark, sf_dir, "documents").select("doc_id", "text").join(marks, "doc_id")
-    scored = toxicity.score(docs, toxicity.fit(known), out="__toxicity")
+    known = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(known, queries.labels_of(spark, sf_dir), label="toxic")
+    scored = toxicity.score(docs, model, out="__toxicity")
     return scored.where("__toxicity < 0.5").select(*docs.columns)
 
 
