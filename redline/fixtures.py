@@ -84,7 +84,7 @@ WITH base AS (
 SELECT pair_id, 'word' AS side, row_index, CAST(l_linenumber AS STRING) AS c0, 'P' || CAST(l_partkey AS STRING) AS c1, CAST(qty AS STRING) AS c2, CAST(amt AS STRING) || '元' AS c3
 FROM base
 UNION ALL
-SELECT pair_id, 'pdf' AS side, row_index, CAST(l_linenumber AS STRING) AS c0, CASE WHEN l_partkey % 37 = 0 THEN '' ELSE 'P' || CAST(l_partkey AS STRING) END AS c1,
+SELECT pair_id, 'pdf' AS side, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY row_index) - 1 AS INT) AS row_index, CAST(l_linenumber AS STRING) AS c0, CASE WHEN l_partkey % 37 = 0 THEN '' ELSE 'P' || CAST(l_partkey AS STRING) END AS c1,
        CAST(qty AS STRING) AS c2, CAST(CASE WHEN l_partkey % 10 = 0 THEN amt + 100 ELSE amt END AS STRING) || '元' AS c3
 FROM base WHERE NOT (pair_id % 11 = 0 AND row_index = 2)
 """

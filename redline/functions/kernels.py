@@ -5,12 +5,17 @@ from __future__ import annotations
 import difflib
 import hashlib
 import hmac
+import re
 import unicodedata
+from collections import Counter
+from math import sqrt
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-SEGMENTS = "array<struct<op: string, text: string>>"
+# Type objects: a worker that imports this module has no session to parse a type's text.
+SEGMENTS = ArrayType(StructType([StructField("op", StringType()), StructField("text", StringType())]))
 
 
 def opcodes(a, b) -> list[tuple[str, int, int, int, int]]:
@@ -82,7 +87,27 @@ def longest_common_substring(a: str, b: str) -> int:
     return best
 
 
-@pandas_udf("string")
+_token = re.compile("[\u4e00-\u9fff]|[a-zA-Z0-9]+")
+
+
+def bag(text: str) -> Counter:
+    """Counts of adjacent token pairs, joined, and of tokens."""
+    ts = [t.lower() for t in _token.findall(text)]
+    return Counter([a + b for a, b in zip(ts, ts[1:], strict=False)] + ts)
+
+
+def bag_similarity(a: str, b: str) -> float:
+    x, y = bag(a), bag(b)
+    norm = sqrt(sum(n * n for n in x.values())) * sqrt(sum(n * n for n in y.values()))
+    return sum(n * y[t] for t, n in x.items()) / norm if norm else 0.0
+
+
+@pandas_udf(DoubleType())
+def bag_cosine(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([bag_similarity(a or "", b or "") for a, b in zip(left, right, strict=True)], dtype=float)
+
+
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
@@ -98,7 +123,7 @@ def table_diff(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([row_segments(none(a), none(b)) for a, b in zip(left, right, strict=True)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def substring_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Longest common substring over the shorter length; 0 if either is empty."""
     return pd.Series([longest_common_substring(a, b) / min(len(a), len(b)) if a and b else 0.0 for a, b in zip(left, right, strict=True)])
@@ -107,7 +132,7 @@ def substring_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 def signer(secret: str):
     """A column function: the hex HMAC-SHA256 of a text's UTF-8 bytes."""
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def sign(body: pd.Series) -> pd.Series:
         return body.map(lambda b: hmac.new(secret.encode(), b.encode(), hashlib.sha256).hexdigest())
 

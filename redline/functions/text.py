@@ -33,6 +33,11 @@ SECTION = rf"(?U)^({'|'.join(SECTIONS)})(?:\s*[:：]|$)"
 _left = r"(?U)^\s+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, where it would stand in the expression several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -146,14 +151,16 @@ def marked_text(segments: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Single CJK characters and lower-cased ASCII words, in order."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([\x{4e00}-\x{9fff}]|[a-zA-Z0-9]+)"), 1)
-    return F.transform(found, F.lower)
+    return F.transform(found, lambda t: F.lower(t))
 
 
 def bag_terms(c: Column) -> Column:
     """Adjacent token pairs joined, then the tokens: the terms of the bag vector, with repeats."""
-    ts = tokens(c)
-    pairs = F.zip_with(F.slice(ts, 1, F.greatest(F.size(ts) - 1, F.lit(0))), F.slice(ts, 2, F.greatest(F.size(ts) - 1, F.lit(1))), F.concat)
-    return F.concat(F.filter(pairs, lambda x: x.isNotNull()), ts)
+    def terms(ts: Column) -> Column:
+        pairs = F.zip_with(ts, F.slice(ts, 2, F.greatest(F.size(ts), F.lit(1))), lambda a, b: F.concat(a, b))
+        return F.concat(F.filter(pairs, lambda x: x.isNotNull()), ts)
+
+    return let(tokens(c), terms)
 
 
 def mask_key(c: Column) -> Column:

@@ -115,14 +115,13 @@ def greedy(sims: DataFrame, sizes: DataFrame, threshold: float, reach: int = 5)
     ``sizes`` has n_pdf and n_word for each pair. The order of consumption is
     sequential within a pair; pairs run in parallel.
     """
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if right.empty:
-            return pd.DataFrame({PAIR: [], "pi": [], "wi": [], "sim": []})
-        n = right.iloc[0]
-        made = assign(left["pi"].to_numpy(int), left["wi"].to_numpy(int), left["sim"].to_numpy(float), int(n["n_pdf"]), int(n["n_word"]), threshold, reach)
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n, found = rows.iloc[0], rows[rows["pi"].notna()]
+        made = assign(found["pi"].to_numpy(int), found["wi"].to_numpy(int), found["sim"].to_numpy(float), int(n["n_pdf"]), int(n["n_word"]), threshold, reach)
         return pd.DataFrame({PAIR: [key[0]] * len(made), "pi": [m[0] for m in made], "wi": pd.array([m[1] for m in made], "Int32"), "sim": [m[2] for m in made]})
 
-    return sims.groupBy(PAIR).cogroup(sizes.groupBy(PAIR)).applyInPandas(run, f"{PAIR} long, pi int, wi int, sim double")
+    rows = sizes.join(sims, PAIR, "left").select(PAIR, "n_pdf", "n_word", "pi", "wi", "sim")
+    return rows.groupBy(PAIR).applyInPandas(run, f"{PAIR} long, pi int, wi int, sim double")
 
 
 def align(clauses: DataFrame, threshold: float = 0.70, reach: int = 5, semantic: bool = True) -> DataFrame:

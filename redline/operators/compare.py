@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from redline.functions import values as V
+from redline.functions.kernels import bag_cosine
 from redline.functions.text import normalize_text
 
 PAIR = "pair_id"
@@ -62,24 +63,10 @@ def unmatched_risk(number: Column) -> Column:
     return F.when(F.coalesce(number, F.lit("")) != "", "high").otherwise("low")
 
 
-def text_similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """``pairs`` with ``cos``: the bag cosine of w_text and p_text, 1 for equal texts.
-
-    Term counts are built within a row, so nothing is shuffled; maps grow with
-    one clause alone.
-    """
-    from redline.functions.text import bag_terms
-
-    def counts(c: Column) -> Column:
-        terms = bag_terms(c)
-        return F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("t"), F.size(F.filter(terms, lambda x: x == t)).alias("n")))
-
-    made = pairs.withColumn("__w", F.map_from_entries(counts(F.col("w_text")))).withColumn("__p", F.map_from_entries(counts(F.col("p_text"))))
-    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda s, n: s + n * n))
-    dot = F.aggregate(F.map_keys("__w"), F.lit(0.0), lambda s, k: s + F.element_at(F.col("__w"), k) * F.coalesce(F.try_element_at(F.col("__p"), k), F.lit(0)))
-    bottom = norm(F.col("__w")) * norm(F.col("__p"))
-    cos = F.when(F.col("w_text") == F.col("p_text"), 1.0).when(bottom > 0, dot / bottom).otherwise(0.0)
-    return made.withColumn("cos", cos).drop("__w", "__p")
+def text_similarity(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``cos``: the bag cosine of w_text and p_text; equal texts get 1 and never reach the kernel."""
+    same = F.col("w_text").eqNullSafe(F.col("p_text"))
+    return pairs.where(same).withColumn("cos", F.lit(1.0)).unionByName(pairs.where(~same).withColumn("cos", bag_cosine("w_text", "p_text")))
 
 
 def differences(alignments: DataFrame, clauses: DataFrame, identical: float = 0.98, modified: float = 0.85, unicode: bool = True) -> DataFrame:
@@ -91,7 +78,7 @@ def differences(alignments: DataFrame, clauses: DataFrame, identical: float = 0.
     both = sides(alignments, clauses)
     paired = both.where("word_clause_ord is not null and pdf_clause_ord is not null")
     found = lambda c: V.elements(normalize_text(F.col(c), unicode))
-    paired = text_similarity(paired, [PAIR, "align_idx"])
+    paired = text_similarity(paired)
     value = F.when(F.col("match_type") == "number", F.col("cos")).otherwise(F.col("similarity"))
     kinds = lambda es: F.transform(es, lambda e: e["kind"])
     paired = paired.withColumn("__w", found("w_text")).withColumn("__p", found("p_text"))

@@ -90,10 +90,8 @@ def with_context(found: DataFrame, lines: DataFrame, context: int = 1, compat: b
     line: nothing before, and for a pure insertion one line too far after.
     """
     texts = lines.where("side = 'word'").groupBy(PAIR).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_ord", "line"))), lambda x: x["line"]).alias("all"))
-    last = lines.where("side = 'word'")
     order = Window.partitionBy(PAIR).orderBy("gap", "op_ord")
     rows = found.where("tag <> 'equal'").withColumn("hunk_ord", F.row_number().over(order) - 1).join(texts, PAIR, "left")
-    del last
     start = F.coalesce(F.col("word_from"), F.col("gap"))
     end = start + F.size("word_lines")
     whole = F.coalesce("all", F.array().cast("array<string>"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from redline.functions import values as V
 from redline.functions.kernels import table_diff
-from redline.functions.text import compact, is_rule_line, normalize_text, strip
+from redline.functions.text import compact, is_rule_line, let, normalize_text, strip
 
 TABLE = "struct<headers: array<string>, rows: array<array<string>>>"
 none_table = lambda: F.lit(None).cast(TABLE)
@@ -24,41 +24,44 @@ def canonical_rows(rows: Column) -> Column:
 
 def collapse_repeats(rows: Column, least: int = 4) -> Column:
     """Runs of ``least`` or more equal data rows become one row; the first row is the header and stays apart."""
-    data = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
-    n = F.size(data)
-    at = lambda i: F.get(data, i)
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~at(i).eqNullSafe(at(i - 1)))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
-    runs = F.zip_with(starts, ends, lambda a, b: F.when(b - a >= least, F.slice(data, a + 1, F.lit(1))).otherwise(F.slice(data, a + 1, b - a)))
-    return F.when(F.size(rows) < 2, rows).otherwise(F.concat(F.slice(rows, 1, 1), F.flatten(runs)))
+    def collapsed(data: Column) -> Column:
+        n = F.size(data)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~F.get(data, i).eqNullSafe(F.get(data, i - 1)))
+
+        def runs(at: Column) -> Column:
+            ends = F.concat(F.slice(at, 2, F.size(at)), F.array(n))
+            return F.flatten(F.zip_with(at, ends, lambda a, b: F.slice(data, a + 1, F.when(b - a >= least, 1).otherwise(b - a))))
+
+        return let(starts, runs)
+
+    return let(rows, lambda r: F.when(F.size(r) < 2, r).otherwise(F.concat(F.slice(r, 1, 1), let(F.slice(r, 2, F.size(r)), collapsed))))
 
 
 def rows_to_table(rows: Column) -> Column:
     """Ragged rows padded to the widest; fewer than two columns are no table."""
-    width = F.array_max(F.transform(rows, F.size))
-    padded = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    table = F.struct(F.get(padded, F.lit(0)).alias("headers"), F.slice(padded, 2, F.greatest(F.size(rows) - 1, F.lit(0))).alias("rows"))
-    return F.when((F.size(rows) > 0) & (width >= 2), table)
+    def table(width: Column, r: Column) -> Column:
+        padded = F.transform(r, lambda x: F.concat(x, F.array_repeat(F.lit(""), width - F.size(x))))
+        made = let(padded, lambda p: F.struct(F.get(p, F.lit(0)).alias("headers"), F.slice(p, 2, F.size(p)).alias("rows")))
+        return F.when((F.size(r) > 0) & (width >= 2), made)
+
+    return let(rows, lambda r: let(F.coalesce(F.array_max(F.transform(r, lambda x: F.size(x))), F.lit(0)), lambda w: table(w, r)))
 
 
 def delimited_table(text: Column) -> Column:
     """Markdown, 'cell | cell' or tab-separated text as a table, or null; inner and leading blank cells stay."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r]"), strip), lambda x: (x != "") & ~is_rule_line(x))
-    header = F.get(lines, F.lit(0))
-    wrapped = ~header.contains("\t") & header.startswith("|") & header.endswith("|")
+    def cells(line: Column, wrapped: Column) -> Column:
+        bare = F.when(wrapped, F.regexp_replace(F.regexp_replace(line, r"^\|", ""), r"\|$", "")).otherwise(line)
+        parts = F.split(bare, F.when(line.contains("\t") & ~line.contains("|"), F.lit("\t")).otherwise(F.lit(r"\|")))
+        return F.transform(parts, lambda x: strip(x))
 
-    def cells(line: Column) -> Column:
-        by_tab = F.transform(F.split(line, "\t"), strip)
-        piped = F.transform(F.split(line, r"\|"), strip)
-        without_first = F.when(wrapped & (F.get(piped, F.lit(0)) == ""), F.slice(piped, 2, F.size(piped))).otherwise(piped)
-        without_last = F.when(
-            wrapped & (F.size(without_first) > 0) & (F.try_element_at(without_first, F.lit(-1)) == ""),
-            F.slice(without_first, 1, F.size(without_first) - 1),
-        ).otherwise(without_first)
-        return F.when(line.contains("\t") & ~line.contains("|"), by_tab).otherwise(without_last)
+    def table(lines: Column) -> Column:
+        wraps = lambda h: ~h.contains("\t") & h.startswith("|") & h.endswith("|")
+        rows = let(wraps(F.get(lines, F.lit(0))), lambda w: F.transform(lines, lambda x: cells(x, w)))
+        filled = F.filter(rows, lambda r: F.exists(r, lambda c: c != ""))
+        return F.when(F.size(lines) > 0, rows_to_table(collapse_repeats(filled)))
 
-    rows = F.filter(F.transform(lines, cells), lambda r: F.exists(r, lambda c: c != ""))
-    return F.when(F.size(lines) > 0, rows_to_table(collapse_repeats(rows)))
+    stripped = F.transform(F.split(text, r"\r\n|[\n\r]"), lambda x: strip(x))
+    return let(F.filter(stripped, lambda x: (x != "") & ~is_rule_line(x)), table)
 
 
 def line_islands(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,9 +72,7 @@ def line_islands(lines: DataFrame, keys: list[str]) -> DataFrame:
     kept = lines.withColumn("line", strip(F.col("line"))).where("line <> ''").withColumn("is_table", F.col("line").rlike(r"[|\t]"))
     order = Window.partitionBy(*keys).orderBy("line_ord")
     change = F.coalesce((F.col("is_table") != F.lag("is_table").over(order)) | ~F.col("is_table"), F.lit(True))
-    island = F.sum(change.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     runs = kept.withColumn("change", change).withColumn("island", F.sum(F.col("change").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    del island
     grouped = runs.groupBy(*keys, "island").agg(
         F.min("line_ord").alias("first_ord"), F.max("line_ord").alias("last_ord"), F.bool_or("is_table").alias("is_table"),
         F.array_sort(F.collect_list(F.struct("line_ord", "line"))).alias("ls"),
@@ -126,7 +127,6 @@ def first_change(word: DataFrame, pdf: DataFrame, keys: list[str], unicode: bool
     """
     count = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
     counts = count(word, "nw").join(count(pdf, "np"), keys, "full").fillna(0, ["nw", "np"])
-    no = F.lit(None).cast("int")
     table_kind = F.when(F.col("nw") > F.col("np"), "table_missing").otherwise("table_added")
     where = [F.lit(-1).alias("table_index"), F.lit(0).alias("phase"), F.lit(-1).alias("row_index"), F.lit(-1).alias("col_index")]
     tables = counts.where("nw <> np").select(*keys, *where, table_kind.alias("change"), F.lit("").alias("col_header"))
@@ -134,7 +134,7 @@ def first_change(word: DataFrame, pdf: DataFrame, keys: list[str], unicode: bool
     w = word.join(same, keys).select(*keys, "table_index", F.col("tbl").alias("w"))
     p = pdf.join(same, keys).select(*keys, "table_index", F.col("tbl").alias("p"))
     both = w.join(p, [*keys, "table_index"])
-    key = lambda c: F.transform(c, lambda x: F.regexp_replace(x, r"(?U)\s+", "") if not unicode else F.regexp_replace(x, r"(?U)\s+", ""))
+    key = lambda c: F.transform(c, lambda x: F.regexp_replace(x, r"(?U)\s+", ""))
     heads = both.where(~key(F.col("w.headers")).eqNullSafe(key(F.col("p.headers"))))
     heads = heads.select(*keys, "table_index", F.lit(0).alias("phase"), F.lit(-1).alias("row_index"), F.lit(-1).alias("col_index"),
                          F.lit("header").alias("change"), F.lit("").alias("col_header"))
@@ -153,7 +153,6 @@ def first_change(word: DataFrame, pdf: DataFrame, keys: list[str], unicode: bool
     kind = F.when(F.col("pk") == "", "cell_missing").when(F.col("wk") == "", "cell_added").otherwise("cell_changed")
     cols = cols.select(*keys, "table_index", F.lit(1).alias("phase"), "row_index", "col_index", kind.alias("change"),
                        F.coalesce(F.get("heads", F.col("col_index")), F.concat(F.lit("第"), F.col("col_index") + 1, F.lit("列"))).alias("col_header"))
-    del no
     found = tables.unionByName(heads).unionByName(odd).unionByName(cols)
     place = F.struct("table_index", "phase", "row_index", "col_index")
     first = found.groupBy(*keys).agg(F.min_by(F.struct("table_index", "row_index", "col_index", "change", "col_header"), place).alias("f"))

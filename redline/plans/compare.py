@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from redline.config import CompareConfig
 from redline.functions.kernels import char_diff
+from redline.lineage import materialized
 from redline.operators import align as A, clauses as C, compare as R, rawdiff as D
 
 PAIR = "pair_id"
@@ -15,7 +16,7 @@ PAIR = "pair_id"
 
 @dataclass
 class Comparison:
-    """The tables of a standard comparison; all are lazy."""
+    """The tables of a standard comparison. Clauses, alignments and diffs are checkpointed: later steps read them several times."""
 
     clauses: DataFrame
     alignments: DataFrame
@@ -30,10 +31,11 @@ def compare(items: DataFrame, diagnostics: DataFrame | None = None, config: Comp
 
 def compare_clauses(clauses: DataFrame, diagnostics: DataFrame | None = None, config: CompareConfig | None = None, unicode: bool = True) -> Comparison:
     config = config or CompareConfig()
-    alignments = A.align(clauses, config.align_similarity_bag, config.neighbourhood, config.semantic)
+    clauses = materialized(clauses)
+    alignments = materialized(A.align(clauses, config.align_similarity_bag, config.neighbourhood, config.semantic))
     hidden = A.covered(alignments, clauses, config.fragment_min_chars, unicode)
     seen = alignments.join(hidden, [PAIR, "align_idx"], "left_anti")
-    diffs = R.differences(seen, clauses, config.similarity_identical, config.similarity_modified, unicode)
+    diffs = materialized(R.differences(seen, clauses, config.similarity_identical, config.similarity_modified, unicode))
     reports = R.overview(diffs, [PAIR])
     diffs = diffs.withColumn("risk_reasons", F.transform("changed_kinds", lambda k: F.concat(F.lit("changed: "), k)))
     if diagnostics is not None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from redline import fixtures as X
 from redline.functions import geometry as G, text as T
 from redline.functions.kernels import char_diff
+from redline.lineage import materialized
 from redline.operators import align as A, clauses as C, compare as R, layout as L, locate as P, rawdiff as D, recognition as Q, tables as B
 from redline.plans.compare import compare_clauses
 from redline.config import CompareConfig
@@ -276,16 +277,15 @@ def covered_fragments(spark, sf_dir):
     """Fragments and partners cut to six characters, so that many cover each other."""
     c = contracts(spark, sf_dir)
     short = c.withColumn("text", F.substring("text", 1, 6))
-    return A.covered(plain_alignment(c), short, unicode=False)
+    return A.covered(materialized(plain_alignment(c)), short, unicode=False)
 
 
 # --- vectors -------------------------------------------------------------------
 
 VECTORS_SQL = """v AS (SELECT label AS pair_id, CASE WHEN vec_id % 2 = 0 THEN 'word' ELSE 'pdf' END AS side, vec_id, embedding,
-  CAST(row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) - 1 AS INTEGER) AS pos FROM embeddings WHERE vec_id < 4000),
+  CAST(row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) - 1 AS INTEGER) AS pos FROM embeddings),
 s AS (SELECT p.pair_id, p.pos AS pi, w.pos AS wi, list_cosine_similarity(CAST(w.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS sim
   FROM v p JOIN v w ON p.pair_id = w.pair_id AND p.side = 'pdf' AND w.side = 'word')"""
-VECTORS_SQL = VECTORS_SQL.replace(" WHERE vec_id < 4000", "")
 
 
 def _similarities(spark, sf_dir):
@@ -312,3 +312,488 @@ def semantic_greedy_assignment(spark, sf_dir):
     v, s = _similarities(spark, sf_dir)
     sizes = v.groupBy("pair_id").agg(F.count_if(F.col("side") == "pdf").alias("n_pdf"), F.count_if(F.col("side") == "word").alias("n_word"))
     return A.greedy(s, sizes, 0.3).withColumn("sim", F.round("sim", 6))
+
+
+# --- document pairs: lines, anchors, hunks --------------------------------------
+
+PAIRS_SQL = f"pairs AS ({X.duckdb_sql(X.DOCUMENT_PAIRS)})"
+LINES_SQL = f"""{PAIRS_SQL},
+sided AS (SELECT pair_id, 'word' AS side, text FROM pairs JOIN documents ON doc_id = base_id UNION ALL SELECT pair_id, 'pdf', text FROM pairs JOIN documents ON doc_id = cand_id),
+normal AS (SELECT pair_id, side, trim(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\f\\v]+', ' ', 'g'), '\\n{{2,}}', chr(10), 'g'), ' ' || chr(10)) AS n FROM sided),
+lines AS (SELECT pair_id, side, CAST(unnest(range(len(string_split(n, chr(10))))) AS INTEGER) AS line_ord, unnest(string_split(n, chr(10))) AS line FROM normal WHERE n <> '')"""
+ANCHORS_SQL = f"""WITH {LINES_SQL},
+once AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY pair_id, side, line) AS n FROM lines) WHERE n = 1),
+cand AS (SELECT a.pair_id, a.line_ord AS word_ord, b.line_ord AS pdf_ord FROM once a JOIN once b ON a.pair_id = b.pair_id AND a.line = b.line AND a.side = 'word' AND b.side = 'pdf'),
+kept AS (SELECT * FROM (SELECT *, max(pdf_ord) OVER (PARTITION BY pair_id ORDER BY word_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cand) WHERE before IS NULL OR pdf_ord > before),
+anchors AS (SELECT pair_id, word_ord, pdf_ord, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY word_ord) AS INTEGER) AS anchor FROM kept)"""
+GAPS_SQL = f"""{ANCHORS_SQL},
+gapped AS (SELECT l.pair_id, l.side, l.line_ord, l.line, CAST((SELECT count(*) FROM anchors a WHERE a.pair_id = l.pair_id AND (CASE l.side WHEN 'word' THEN a.word_ord ELSE a.pdf_ord END) < l.line_ord) AS INTEGER) AS gap
+ FROM lines l WHERE NOT EXISTS (SELECT 1 FROM anchors a WHERE a.pair_id = l.pair_id AND (CASE l.side WHEN 'word' THEN a.word_ord ELSE a.pdf_ord END) = l.line_ord)),
+gaps AS (SELECT pair_id, gap, count_if(side = 'word') AS n_word, count_if(side = 'pdf') AS n_pdf FROM gapped GROUP BY pair_id, gap)"""
+
+
+def document_lines(spark, sf_dir):
+    pairs, docs = X.rows(spark, sf_dir, X.DOCUMENT_PAIRS), read(spark, sf_dir, "documents").select("doc_id", "text")
+    side = lambda name, key: pairs.join(docs, pairs[key] == docs.doc_id).select("pair_id", F.lit(name).alias("side"), "text")
+    return D.to_lines(side("word", "base_id").unionByName(side("pdf", "cand_id")), ["pair_id", "side"], unicode=False)
+
+
+@query(f"WITH {LINES_SQL} SELECT pair_id, side, line_ord, md5(line) AS digest FROM lines")
+def normalized_lines(spark, sf_dir):
+    return document_lines(spark, sf_dir).select("pair_id", "side", "line_ord", F.md5(F.col("line").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {LINES_SQL} SELECT pair_id, side, line_ord, md5(regexp_replace(line, '\\s+', '', 'g')) AS digest FROM lines")
+def compact_keys(spark, sf_dir):
+    return document_lines(spark, sf_dir).select("pair_id", "side", "line_ord", F.md5(T.compact(F.col("line"), False).cast("binary")).alias("digest"))
+
+
+@query(f"{ANCHORS_SQL} SELECT * FROM anchors")
+def line_anchors(spark, sf_dir):
+    return D.anchors(document_lines(spark, sf_dir))
+
+
+@query(f"{GAPS_SQL} SELECT pair_id, gap, CASE WHEN n_word = 0 THEN 'insert' WHEN n_pdf = 0 THEN 'delete' ELSE 'both' END AS kind, n_word, n_pdf FROM gaps")
+def gap_classes(spark, sf_dir):
+    lines = document_lines(spark, sf_dir)
+    table = D.gap_table(lines, D.anchors(lines))
+    return table.select("pair_id", "gap", "kind", F.size("word_lines").cast("long").alias("n_word"), F.size("pdf_lines").cast("long").alias("n_pdf"))
+
+
+@query(f"""{GAPS_SQL} SELECT g.pair_id, g.gap, CASE WHEN n_word = 0 THEN 'insert' ELSE 'delete' END AS tag, md5(string_agg(line, chr(10) ORDER BY line_ord)) AS digest
+FROM gaps g JOIN gapped l ON l.pair_id = g.pair_id AND l.gap = g.gap WHERE n_word = 0 OR n_pdf = 0 GROUP BY g.pair_id, g.gap, n_word""")
+def trivial_hunks(spark, sf_dir):
+    lines = document_lines(spark, sf_dir)
+    found = D.hunks(D.gap_table(lines, D.anchors(lines)).where("kind <> 'both'"))
+    text = F.array_join(F.concat("word_lines", "pdf_lines"), "\n")
+    return found.select("pair_id", "gap", "tag", F.md5(text.cast("binary")).alias("digest"))
+
+
+@query()
+def line_diff_hunks(spark, sf_dir):
+    lines = document_lines(spark, sf_dir)
+    found = D.with_context(D.hunks(D.gap_table(lines, D.anchors(lines))), lines)
+    joined = lambda c: F.array_join(c, "\n").alias(c)
+    return found.select("pair_id", "hunk_ord", "tag", joined("word_lines"), joined("pdf_lines"), joined("context_before"), joined("context_after"),
+                        T.marked_text(F.col("char_segments")).alias("marked"))
+
+
+@query()
+def line_diff_stats(spark, sf_dir):
+    lines = document_lines(spark, sf_dir)
+    found = D.anchors(lines)
+    return D.line_statistics(D.hunks(D.gap_table(lines, found), False), found, lines)
+
+
+@query(f"""WITH {LINES_SQL}, n AS (SELECT pair_id, line, count_if(side = 'word') AS a, count_if(side = 'pdf') AS b FROM lines GROUP BY pair_id, line)
+SELECT pair_id, CAST(sum(least(a, b)) AS BIGINT) AS common, CAST(sum(a + b) AS BIGINT) AS total, round(2 * sum(least(a, b)) / sum(a + b), 4) AS similarity FROM n GROUP BY pair_id""")
+def line_similarity_from_multiset(spark, sf_dir):
+    return D.multiset_similarity(document_lines(spark, sf_dir))
+
+
+@query(f"""WITH {PAIRS_SQL}, a AS ({_bag('(SELECT pair_id, text FROM pairs JOIN documents ON doc_id = base_id) x', 'pair_id', 'text')}),
+b AS ({_bag('(SELECT pair_id, text FROM pairs JOIN documents ON doc_id = cand_id) x', 'pair_id', 'text')}),
+qa AS (SELECT pair_id, sqrt(sum(n * n)) AS q FROM a GROUP BY pair_id), qb AS (SELECT pair_id, sqrt(sum(n * n)) AS q FROM b GROUP BY pair_id)
+SELECT a.pair_id, round(sum(a.n * b.n) / max(qa.q * qb.q), 6) AS sim FROM a JOIN b USING (pair_id, term) JOIN qa USING (pair_id) JOIN qb USING (pair_id) GROUP BY a.pair_id""")
+def bag_cosine_docs(spark, sf_dir):
+    pairs, docs = X.rows(spark, sf_dir, X.DOCUMENT_PAIRS), read(spark, sf_dir, "documents").select("doc_id", "text")
+    side = lambda key: pairs.join(docs, pairs[key] == docs.doc_id).select("pair_id", F.lit(0).alias("pos"), "text")
+    return A.bag_similarities(side("base_id"), side("cand_id")).select("pair_id", F.round("sim", 6).alias("sim"))
+
+
+def _passages(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    # a bounded reference list: every passage is looked for in every text
+    return docs, F.broadcast(read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")))
+
+
+@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
+def containment_semi(spark, sf_dir):
+    docs, passages = _passages(spark, sf_dir)
+    return docs.join(passages, F.contains("text", "passage"), "left_semi").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
+def containment_anti(spark, sf_dir):
+    docs, passages = _passages(spark, sf_dir)
+    return docs.join(passages, F.contains("text", "passage"), "left_anti").select("doc_id")
+
+
+# --- patterns on fixed lines ------------------------------------------------------
+
+LINES = [
+    "第三条 付款方式", "第十二章：总则", "3.2 交货", "3.2.1、验收", "（四）其他", "(5) 备注", "二、质量要求", "7. 违约责任:按约定", "100.5元", "3.2. x", "正文没有编号", "甲方:某公司", "乙方（签字/盖章）：",
+    "联系电话：123", "开户银行: 某行", "日期：2026年1月2日", "账 号:55", "质量要求", "质量要求：合格", "付款方式说明", "统一社会信用代码/身份证号：9", "法定代表人 : 某", "12、尾款", "第三条正文",
+]
+FIXED_SQL = "lines AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(LINES)) + ") v(line_id, line))"
+_SEP = r"(?:[\s，,。：:、]|$)"
+
+
+def fixed_lines(spark: SparkSession) -> DataFrame:
+    values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(LINES))
+    return spark.sql(f"SELECT * FROM VALUES {values} AS v(line_id, line)")
+
+
+def _number_sql(c: str) -> str:
+    patterns = [(rf"^第([一二三四五六七八九十百千零〇\d]+)(?:条|章){_SEP}", 1), (rf"^(\d+\.\d+(?:\.\d+)?){_SEP}", 2), (r"^[（(]([一二三四五六七八九十\d]+)[)）]", 3),
+                (r"^([一二三四五六七八九十]+)、", 2), (r"^(\d+)[\.、]", 2)]
+    hits = " ".join(f"WHEN regexp_matches({c}, '{p}') THEN regexp_extract({c}, '{p}', 1) || '/' || {level}" for p, level in patterns)
+    return f"CASE {hits} END"
+
+
+@query(f"""WITH {FIXED_SQL}, n AS (SELECT line_id, {_number_sql('line')} AS v FROM lines)
+SELECT line_id, split_part(v, '/', 1) AS number, CAST(CASE WHEN contains(split_part(v, '/', 1), '.') THEN 1 + len(string_split(split_part(v, '/', 1), '.')) - 1 ELSE CAST(split_part(v, '/', 2) AS INTEGER) END AS INTEGER) AS level
+FROM n WHERE v IS NOT NULL""")
+def detect_numbers(spark, sf_dir):
+    found = fixed_lines(spark).withColumn("n", T.detect_number(F.col("line"))).where("n is not null")
+    return found.select("line_id", "n.number", "n.level")
+
+
+_ROLES = "|".join(T.ROLES)
+_PLAIN = "|".join(T.FIELDS)
+
+
+@query(f"""WITH {FIXED_SQL}, f AS (SELECT line_id, coalesce(nullif(regexp_extract(line, '^({_ROLES})(?:[（(][^)）]*[)）])?\\s*(?:[（(]?(?:签字|盖章)[/／]?(?:签字|盖章)?[)）]?)?\\s*[:：]', 1), ''),
+ nullif(regexp_extract(line, '^({_PLAIN})\\s*[:：]', 1), '')) AS k FROM lines)
+SELECT line_id, CASE regexp_replace(k, '\\s+', '', 'g') {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in T.SYNONYMS.items())} ELSE trim(k) END AS field_key FROM f WHERE k IS NOT NULL""")
+def detect_fields(spark, sf_dir):
+    found = fixed_lines(spark).withColumn("f", T.detect_field(F.col("line"))).where("f is not null")
+    return found.select("line_id", "f.field_key")
+
+
+@query(f"WITH {FIXED_SQL} SELECT line_id, 'section:' || regexp_extract(line, '^({'|'.join(T.SECTIONS)})(?:\\s*[:：]|$)', 1) AS field_key FROM lines WHERE regexp_matches(line, '^({'|'.join(T.SECTIONS)})(?:\\s*[:：]|$)')")
+def section_keys(spark, sf_dir):
+    found = fixed_lines(spark).withColumn("s", T.detect_section(F.col("line"))).where("s is not null")
+    return found.select("line_id", F.concat(F.lit("section:"), "s").alias("field_key"))
+
+
+@query(f"""WITH {CLAUSES_SQL}, raw AS (SELECT pair_id, side, clause_ord, unnest([1, 2]) AS part, number, text FROM clauses),
+marked AS (SELECT *, CASE WHEN part = 1 AND number <> '' THEN 1 ELSE 0 END AS starts, row_number() OVER (PARTITION BY pair_id, side ORDER BY clause_ord, part) AS rn FROM raw),
+ided AS (SELECT *, CAST(sum(CASE WHEN starts = 1 OR rn = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id, side ORDER BY clause_ord, part) AS INTEGER) AS seg FROM marked)
+SELECT pair_id, side, seg AS clause_ord, max(CASE WHEN starts = 1 THEN number ELSE '' END) AS number, string_agg(CASE WHEN part = 1 THEN text ELSE '附注' END, chr(10) ORDER BY clause_ord, part) AS text
+FROM ided GROUP BY pair_id, side, seg""")
+def segment_clauses(spark, sf_dir):
+    """Contract clauses written as lines, each with a second line, and segmented again."""
+    c = contracts(spark, sf_dir)
+    line = F.when(F.col("number") != "", F.concat(F.lit("第"), "number", F.lit("条 "), "text")).otherwise(F.col("text"))
+    items = c.select("pair_id", "side", F.col("clause_ord").alias("item_ord"), F.lit("paragraph").alias("kind"), F.lit(0).alias("heading_level"), F.concat(line, F.lit("\n附注")).alias("text"))
+    return C.segment(items, ["pair_id", "side"], unicode=False).select("pair_id", "side", "clause_ord", "number", "text")
+
+
+@query()
+def char_diff_segments(spark, sf_dir):
+    changed = _compared(spark, sf_dir).diffs.where("status = 'modified'").withColumn("s", char_diff("w_text", "p_text"))
+    return changed.select("pair_id", "align_idx", T.marked_text(F.col("s")).alias("marked"))
+
+
+@query(f"""{FULL_SQL} SELECT d.pair_id, d.align_idx, w_text AS left_text, p_text AS right_text FROM diffs d JOIN paired USING (pair_id, align_idx) WHERE status = 'modified'""")
+def char_diff_sides(spark, sf_dir):
+    """Both texts rebuilt from their segments."""
+    changed = _compared(spark, sf_dir).diffs.where("status = 'modified'").withColumn("s", char_diff("w_text", "p_text"))
+    return changed.select("pair_id", "align_idx", T.side_text(F.col("s"), "delete").alias("left_text"), T.side_text(F.col("s"), "insert").alias("right_text"))
+
+
+# --- tables ---------------------------------------------------------------------
+
+CELLS_SQL = f"cells AS ({X.duckdb_sql(X.ORDER_CELLS)})"
+LONG_SQL = f"""{CELLS_SQL}, long AS (
+  SELECT pair_id, side, row_index, col_index, col_header, cell FROM (
+    SELECT pair_id, side, row_index, unnest([0, 1, 2, 3]) AS col_index, unnest(['line', 'part', 'qty', 'price']) AS col_header, unnest([c0, c1, c2, c3]) AS cell FROM cells))"""
+
+
+def order_tables(spark, sf_dir, side: str) -> DataFrame:
+    rows = X.rows(spark, sf_dir, X.ORDER_CELLS).where(F.col("side") == side)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("row_index", F.array("c0", "c1", "c2", "c3").alias("r")))), lambda x: x["r"])
+    heads = F.array(*[F.lit(h) for h in ("line", "part", "qty", "price")])
+    return rows.groupBy("pair_id").agg(F.struct(heads.alias("headers"), ordered.alias("rows")).alias("tbl"))
+
+
+@query(f"WITH {LONG_SQL} SELECT pair_id, row_index, col_index, col_header, kind, v AS vals FROM ({_elements('long', 'cell', 'pair_id, side, row_index, col_index, col_header', ['amount', 'date', 'ratio'])}) WHERE side = 'word' AND v <> ''")
+def cell_elements(spark, sf_dir):
+    return B.cell_elements(order_tables(spark, sf_dir, "word"), ["pair_id"], unicode=False)
+
+
+@query(f"""WITH {LONG_SQL}, e AS (SELECT * FROM ({_elements('long', 'cell', 'pair_id, side, row_index, col_index, col_header', ['amount', 'date', 'ratio'])}) WHERE v <> ''),
+both_ends AS (SELECT w.pair_id, w.row_index, w.col_index, w.col_header FROM long w JOIN long p USING (pair_id, row_index, col_index) WHERE w.side = 'word' AND p.side = 'pdf')
+SELECT b.pair_id, b.row_index, b.col_index, b.col_header, k.kind, coalesce(w.v, '') AS word_value, coalesce(p.v, '') AS pdf_value, coalesce(w.v, '') <> coalesce(p.v, '') AS changed
+FROM both_ends b JOIN (VALUES ('amount'), ('date'), ('ratio')) k(kind) ON true
+LEFT JOIN e w ON w.side = 'word' AND w.pair_id = b.pair_id AND w.row_index = b.row_index AND w.col_index = b.col_index AND w.kind = k.kind
+LEFT JOIN e p ON p.side = 'pdf' AND p.pair_id = b.pair_id AND p.row_index = b.row_index AND p.col_index = b.col_index AND p.kind = k.kind
+WHERE w.v IS NOT NULL OR p.v IS NOT NULL""")
+def cell_element_changes(spark, sf_dir):
+    return B.cell_element_changes(order_tables(spark, sf_dir, "word"), order_tables(spark, sf_dir, "pdf"), ["pair_id"], unicode=False)
+
+
+@query(f"""WITH {LONG_SQL}, r AS (SELECT pair_id, side, max(row_index) + 1 AS n FROM cells GROUP BY pair_id, side),
+f AS (SELECT pair_id, row_index, col_index, col_header, coalesce(w.cell, '') AS a, coalesce(p.cell, '') AS b, w.cell IS NULL AS no_word, p.cell IS NULL AS no_pdf
+ FROM (SELECT * FROM long WHERE side = 'word') w FULL JOIN (SELECT * FROM long WHERE side = 'pdf') p USING (pair_id, row_index, col_index, col_header)),
+sides AS (SELECT pair_id, count(*) AS n FROM r GROUP BY pair_id),
+c AS (SELECT f.pair_id, row_index, CASE WHEN no_word OR no_pdf THEN -1 ELSE col_index END AS col_index,
+  CASE WHEN no_pdf THEN 'row_missing' WHEN no_word THEN 'row_added' WHEN b = '' THEN 'cell_missing' WHEN a = '' THEN 'cell_added' ELSE 'cell_changed' END AS change,
+  CASE WHEN no_word OR no_pdf THEN '' ELSE col_header END AS col_header FROM f JOIN sides ON sides.pair_id = f.pair_id AND sides.n = 2 WHERE no_word OR no_pdf OR a <> b)
+SELECT pair_id, 0 AS table_index, row_index, col_index, change, col_header FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY row_index, col_index) AS rn FROM c) WHERE rn = 1""")
+def first_table_change(spark, sf_dir):
+    word, pdf = (order_tables(spark, sf_dir, s).withColumn("table_index", F.lit(0)) for s in ("word", "pdf"))
+    return B.first_change(word, pdf, ["pair_id"], unicode=False).where("change not in ('table_missing', 'table_added')")
+
+
+@query()
+def table_diff_segments(spark, sf_dir):
+    word, pdf = (order_tables(spark, sf_dir, s).withColumnRenamed("tbl", f"{s}_tbl") for s in ("word", "pdf"))
+    return B.diff_segments(word.join(pdf, "pair_id")).select("pair_id", T.marked_text(F.col("segments")).alias("marked"))
+
+
+@query(f"""WITH {CELLS_SQL}, r AS (SELECT pair_id, row_index, CAST((c0 <> '')::INT + (c1 <> '')::INT * (row_index % 3 <> 0)::INT + (row_index % 2 = 0)::INT AS INTEGER) AS filled, 4 - (row_index % 5 = 4)::INT AS width
+  FROM cells WHERE side = 'pdf')
+SELECT pair_id, 4 AS n_cols, CAST(count(*) AS INTEGER) AS n_rows, CAST(count_if(width <> 4) AS INTEGER) AS n_uneven, CAST(count_if(filled / 4 < 0.35) AS INTEGER) AS n_sparse, count_if(filled / 4 < 0.35) / count(*) > 0.5 AS mostly_sparse
+FROM r GROUP BY pair_id""")
+def table_structure_checks(spark, sf_dir):
+    """Order tables with blanks by row number, each fifth row a cell short."""
+    rows = X.rows(spark, sf_dir, X.ORDER_CELLS).where("side = 'pdf'")
+    i = F.col("row_index")
+    full = F.array("c0", F.when(i % 3 != 0, F.col("c1")).otherwise(""), F.when(i % 2 == 0, F.lit("x")).otherwise(""), F.lit(""))
+    cut = F.when(i % 5 == 4, F.slice(full, 1, 3)).otherwise(full)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("row_index", cut.alias("r")))), lambda x: x["r"])
+    heads = F.array(*[F.lit(h) for h in ("line", "part", "qty", "price")])
+    tables = rows.groupBy("pair_id").agg(F.struct(heads.alias("headers"), ordered.alias("rows")).alias("tbl"))
+    return B.structure_checks(tables, ["pair_id"])
+
+
+ISLANDS = [
+    (1, 0, "标题"), (1, 1, "| 品名 | 数量 |"), (1, 2, "|---|---|"), (1, 3, ""), (1, 4, "| 甲 | 3 |"), (1, 5, "尾行"), (2, 0, "a | b"), (2, 1, "说明"), (2, 2, "x\ty"), (2, 3, "1\t2"), (2, 4, "3\t4"),
+]
+
+
+@query("""SELECT * FROM (VALUES (1, 0, 0, 'text', '标题'), (1, 1, 4, 'table', '品名 | 数量' || chr(10) || '甲 | 3'), (1, 5, 5, 'text', '尾行'), (2, 0, 0, 'text', 'a | b'), (2, 1, 1, 'text', '说明'),
+(2, 2, 4, 'table', 'x | y' || chr(10) || '1 | 2' || chr(10) || '3 | 4')) v(page_id, first_ord, last_ord, label, content)""")
+def table_line_islands(spark, sf_dir):
+    values = ", ".join(f"({p}, {o}, '{t}')" for p, o, t in ISLANDS)
+    lines = spark.sql(f"SELECT * FROM VALUES {values} AS v(page_id, line_ord, line)")
+    return B.line_islands(lines, ["page_id"]).drop("tbl")
+
+
+@query("""WITH o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+g AS (SELECT *, rn - row_number() OVER (PARTITION BY user_id, event_type ORDER BY rn) AS grp FROM o WHERE rn > 1),
+runs AS (SELECT user_id, event_type, grp, min(rn) AS first_rn, count(*) AS n FROM g GROUP BY ALL)
+SELECT user_id, CAST(1 + sum(CASE WHEN n >= 2 THEN 1 ELSE n END) AS INTEGER) AS n_rows FROM runs GROUP BY user_id""")
+def repeated_row_collapse(spark, sf_dir):
+    """A user's event types as the rows of a table; runs of two are collapsed already, so that there are some."""
+    events = read(spark, sf_dir, "events")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: F.array(x["event_type"]))
+    made = events.groupBy("user_id").agg(rows.alias("rows")).where(F.size("rows") > 1)
+    return made.select("user_id", F.size(B.collapse_repeats(F.col("rows"), 2)).alias("n_rows"))
+
+
+# --- boxes ------------------------------------------------------------------------
+
+BOXES_SQL = """b AS (SELECT p_partkey AS box_id, p_size, p_retailprice AS price, CASE p_partkey % 3 WHEN 0 THEN 0.0005 WHEN 1 THEN 0.4 ELSE 1.1 END AS scale FROM part),
+boxes AS (SELECT box_id, price * scale AS x1, p_size * scale * 3 AS y1, (price + 200) * scale AS x2, (p_size * 3 + 90) * scale AS y2 FROM b),
+f AS (SELECT *, greatest(abs(x1), abs(y1), abs(x2), abs(y2)) AS most FROM boxes),
+pt AS (SELECT box_id, x1 * fx AS x1, y1 * fy AS y1, x2 * fx AS x2, y2 * fy AS y2 FROM (SELECT *, CASE WHEN most <= 1.5 THEN 595.0 WHEN most <= 1000 THEN 0.595 ELSE 595.0 / 1654 END AS fx,
+  CASE WHEN most <= 1.5 THEN 842.0 WHEN most <= 1000 THEN 0.842 ELSE 842.0 / 2339 END AS fy FROM f))"""
+
+
+def boxes(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey")
+    scale = F.when(k % 3 == 0, 0.0005).when(k % 3 == 1, 0.4).otherwise(1.1)
+    part = read(spark, sf_dir, "part").select(k.alias("box_id"), F.col("p_size").alias("s"), F.col("p_retailprice").alias("p"), scale.alias("scale"))
+    box = F.array(F.col("p") * F.col("scale"), F.col("s") * F.col("scale") * 3, (F.col("p") + 200) * F.col("scale"), (F.col("s") * 3 + 90) * F.col("scale"))
+    return part.select("box_id", G.to_points(box, F.lit(595.0), F.lit(842.0), F.lit(1654.0), F.lit(2339.0)).alias("box"))
+
+
+#: Added before rounding, so that no value lies half-way, where engines round differently.
+SHIFT = 0.0000137
+
+
+def _flat(df: DataFrame, c: str, *keep: str) -> DataFrame:
+    return df.select(*keep, *[F.round(F.get(c, F.lit(i)) + SHIFT, 4).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+
+
+@query(f"WITH {BOXES_SQL} SELECT box_id, round(x1 + 0.0000137, 4) AS x1, round(y1 + 0.0000137, 4) AS y1, round(x2 + 0.0000137, 4) AS x2, round(y2 + 0.0000137, 4) AS y2 FROM pt")
+def bbox_convert(spark, sf_dir):
+    return _flat(boxes(spark, sf_dir), "box", "box_id")
+
+
+REGIONS_SQL = f"""{BOXES_SQL}, cl AS (SELECT box_id, least(greatest(least(x1, x2), 0), 595) AS x1, least(greatest(least(y1, y2), 0), 842) AS y1, least(greatest(x1, x2, 0), 595) AS x2, least(greatest(y1, y2, 0), 842) AS y2 FROM pt),
+rg AS (SELECT box_id, x1 / 595 AS x1, y1 / 842 AS y1, x2 / 595 AS x2, y2 / 842 AS y2 FROM cl WHERE x2 > x1 AND y2 > y1)"""
+
+
+def _regions(spark, sf_dir) -> DataFrame:
+    return boxes(spark, sf_dir).withColumn("region", G.region(F.col("box"), F.lit(595.0), F.lit(842.0))).where("region is not null")
+
+
+@query(f"WITH {REGIONS_SQL} SELECT box_id, round(x1 + 0.0000137, 4) AS x1, round(y1 + 0.0000137, 4) AS y1, round(x2 + 0.0000137, 4) AS x2, round(y2 + 0.0000137, 4) AS y2 FROM rg")
+def region_normalize(spark, sf_dir):
+    return _flat(_regions(spark, sf_dir), "region", "box_id")
+
+
+@query(f"""WITH {BOXES_SQL}, l AS (SELECT box_id, CAST(unnest(range(1 + box_id % 4)) AS INTEGER) AS line_ord, 1 + box_id % 4 AS n, x1, y1, x2, y2 FROM pt)
+SELECT box_id, line_ord, round(x1 + 0.0000137, 4) AS x1, round(y1 + (y2 - y1) / n * line_ord + 0.0000137, 4) AS y1, round(x2 + 0.0000137, 4) AS x2, round(y1 + (y2 - y1) / n * (line_ord + 1) + 0.0000137, 4) AS y2 FROM l""")
+def line_bbox(spark, sf_dir):
+    n = (1 + F.col("box_id") % 4).cast("int")
+    rows = boxes(spark, sf_dir).select("box_id", "box", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("line_ord"))
+    return _flat(rows.withColumn("part", G.line_box(F.col("box"), F.col("line_ord"), F.col("n"))), "part", "box_id", "line_ord")
+
+
+RECTS_SQL = f"""{REGIONS_SQL}, rc AS (SELECT box_id, CAST(box_id % 7 AS INTEGER) AS page_index, x1 * 595 AS x1, y1 * 842 AS y1, x2 * 595 AS x2, y2 * 842 AS y2,
+ CASE WHEN box_id % 4 = 0 THEN right('al' || box_id, 6) ELSE CAST(box_id AS VARCHAR) END || ' [' || CASE box_id % 5 WHEN 0 THEN '高' WHEN 1 THEN '中' WHEN 2 THEN '低' ELSE '-' END || ']' AS label FROM rg)"""
+
+
+def _rects(spark, sf_dir) -> DataFrame:
+    k = F.col("box_id")
+    risk = F.when(k % 5 == 0, "high").when(k % 5 == 1, "medium").when(k % 5 == 2, "low").otherwise("none")
+    regions = _regions(spark, sf_dir).select(
+        "box_id", (k % 7).cast("int").alias("page_index"), "region", F.lit(595.0).alias("page_w"), F.lit(842.0).alias("page_h"), risk.alias("risk_level"),
+        F.when(k % 4 == 0, "").otherwise(k.cast("string")).alias("number"), F.concat(F.lit("al"), k).alias("alignment_id"),
+    )
+    return N.annotation_rects(regions)
+
+
+@query(f"WITH {RECTS_SQL} SELECT box_id, page_index, round(x1 + 0.0000137, 4) AS x1, round(y1 + 0.0000137, 4) AS y1, round(x2 + 0.0000137, 4) AS x2, round(y2 + 0.0000137, 4) AS y2, label, round(x2 + 2 + 0.0000137, 4) AS label_x, round(y1 - 10 + 0.0000137, 4) AS label_y FROM rc")
+def annotation_rects(spark, sf_dir):
+    return _rects(spark, sf_dir).select("box_id", "page_index", *[F.round(F.col(c) + SHIFT, 4).alias(c) for c in ("x1", "y1", "x2", "y2")], "label", *[F.round(F.col(c) + SHIFT, 4).alias(c) for c in ("label_x", "label_y")])
+
+
+@query(f"WITH {RECTS_SQL} SELECT page_index, count(*) AS n_regions FROM rc GROUP BY page_index")
+def page_footer_counts(spark, sf_dir):
+    return N.page_footers(_rects(spark, sf_dir), [])
+
+
+@query(f"""WITH {BOXES_SQL}, t AS (SELECT box_id % 50 // 10 AS page, x1, y1, x2, y2 FROM pt WHERE box_id % 10 = 0), l AS (SELECT box_id, box_id % 50 // 10 AS page, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM pt WHERE box_id % 10 <> 0)
+SELECT box_id FROM l WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.page = l.page AND cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2)""")
+def spatial_anti(spark, sf_dir):
+    b = boxes(spark, sf_dir).withColumn("page", F.floor(F.col("box_id") % 50 / 10))
+    return L.outside_tables(b.where("box_id % 10 <> 0"), b.where("box_id % 10 = 0"), ["page"]).select("box_id")
+
+
+# --- pages, replies -----------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '\\s+', '', 'g') AS line FROM documents), m AS (SELECT doc_id, max(n) AS m FROM (SELECT doc_id, line, count(*) AS n FROM l WHERE line <> '' GROUP BY ALL) GROUP BY doc_id),
+q AS (SELECT d.doc_id, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS INTEGER) AS char_count, coalesce(m, 0) AS max_repeat FROM documents d LEFT JOIN m USING (doc_id))
+SELECT doc_id, char_count, max_repeat, char_count >= 8 AND max_repeat < 4 AS reliable FROM q""")
+def page_quality(spark, sf_dir):
+    blocks = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), B.none_table().alias("tbl"))
+    return Q.fallback_quality(blocks, ["doc_id"]).select("doc_id", "char_count", "max_repeat", "reliable")
+
+
+@query("""SELECT d.doc_id AS page_index, CASE WHEN quality = 0 THEN 'p' || d.doc_id || '-fallback-0' ELSE 'p' || d.doc_id || '-native-text-0' END AS block_id
+FROM documents d JOIN labels l USING (doc_id)""")
+def page_routing(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_index"), F.lit(0).alias("block_ord"), F.col("text").alias("content"))
+    diag = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_index"), (F.col("quality") != 0).alias("reliable"))
+    routed = Q.route(docs, diag, ["page_index"], lambda pages: pages.select("page_index", F.lit(0).alias("block_ord"), F.lit("").alias("content")))
+    return routed.select("page_index", "block_id")
+
+
+@query("SELECT event_id, props ->> 'page' AS page, 'noted ' || event_id AS content FROM events")
+def model_reply_parse(spark, sf_dir):
+    """Events as replies: prose around an object, whose blocks have text under either name."""
+    e = read(spark, sf_dir, "events")
+    name = F.when(F.col("event_id") % 2 == 0, F.lit("content")).otherwise(F.lit("text"))
+    reply = F.concat(F.lit('note: {"blocks": [{"label": "Text", "'), name, F.lit('": " noted '), F.col("event_id"), F.lit(' "}, 3, {"content": " "}]} end'))
+    found = S.reply_blocks(e.select("event_id", "props", reply.alias("reply")), ["event_id", "props"])
+    return found.select("event_id", F.get_json_object("props", "$.page").alias("page"), "content")
+
+
+@query("SELECT event_id, props ->> 'page' AS page FROM events")
+def tolerant_json(spark, sf_dir):
+    """Event properties in a code fence, in prose, or bare."""
+    e, k = read(spark, sf_dir, "events"), F.col("event_id") % 3
+    wrapped = F.when(k == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 1, F.concat(F.lit("see "), "props", F.lit(" ."))).otherwise(F.col("props"))
+    return e.select("event_id", F.try_variant_get(S.tolerant_json(wrapped), "$.page", "string").alias("page"))
+
+
+@query("""SELECT p_partkey AS page_id, 0 AS line_ord, p_name AS line, round(p_size * 595.0 / 1000 + 0.0000137, 4) AS x1, round((p_size + 1) * 842.0 / 1000 + 0.0000137, 4) AS y1, round((p_size + 300) * 595.0 / 1000 + 0.0000137, 4) AS x2, round((p_size + 20) * 842.0 / 1000 + 0.0000137, 4) AS y2 FROM part
+UNION ALL SELECT p_partkey, 1, 'plain', NULL, NULL, NULL, NULL FROM part""")
+def loc_tokens(spark, sf_dir):
+    s = F.col("p_size")
+    at = [s, s + 1, s + 300, s + 1, s + 300, s + 20, s, s + 20]
+    marks = F.concat(*[F.concat(F.lit("<|LOC_"), x.cast("int"), F.lit("|>")) for x in at])
+    pages = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit(595.0).alias("pdf_width_pt"), F.lit(842.0).alias("pdf_height_pt"), F.concat("p_name", marks, F.lit("\nplain")).alias("content"))
+    return _flat(S.location_lines(pages, ["page_id"]), "bbox", "page_id", "line_ord", "line")
+
+
+@query()
+def html_blocks(spark, sf_dir):
+    return S.html_blocks(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+
+
+# --- locate, preview ------------------------------------------------------------------
+
+
+def _located(spark, sf_dir):
+    c = contracts(spark, sf_dir)
+    line = F.when(F.col("number") != "", F.concat("number", F.lit("、"), "text")).otherwise(F.col("text"))
+    paragraphs = c.where("side = 'word'").select("pair_id", F.col("clause_ord").alias("para_ord"), line.alias("text"))
+    targets = c.where("side = 'pdf'").select("pair_id", F.col("clause_ord").alias("target_id"), "number", "text", F.lit("modified").alias("status"), F.lit("high").alias("risk_level"))
+    return paragraphs, targets
+
+
+@query(f"""WITH {CLAUSES_SQL}, p AS (SELECT pair_id, clause_ord AS para_ord, CASE WHEN number <> '' THEN number || '、' || text ELSE text END AS c FROM clauses WHERE side = 'word'), t AS (SELECT pair_id, clause_ord AS target_id, number FROM clauses WHERE side = 'pdf' AND number <> '')
+SELECT pair_id, target_id, para_ord, count(*) OVER (PARTITION BY pair_id, target_id) AS n FROM t JOIN p USING (pair_id) WHERE starts_with(c, number) AND NOT regexp_matches(substr(c, length(number) + 1, 1), '^[0-9A-Za-z]')""")
+def locate_prefix(spark, sf_dir):
+    paragraphs, targets = _located(spark, sf_dir)
+    return P.numbered_candidates(targets, paragraphs, unicode=False)
+
+
+@query()
+def locate_lcs(spark, sf_dir):
+    paragraphs, targets = _located(spark, sf_dir)
+    return P.locate(targets, paragraphs, unicode=False)
+
+
+@query()
+def preview_rows(spark, sf_dir):
+    paragraphs, targets = _located(spark, sf_dir)
+    return P.preview(paragraphs, targets, P.locate(targets, paragraphs, unicode=False))
+
+
+# --- progress ---------------------------------------------------------------------------
+
+PROGRESS_SQL = f"e AS ({X.duckdb_sql(X.PROGRESS)})"
+STATUS_SQL = "CASE status WHEN 'pending' THEN 0 WHEN 'running' THEN 1 ELSE 2 END"
+
+
+def progress(spark, sf_dir) -> DataFrame:
+    return X.rows(spark, sf_dir, X.PROGRESS)
+
+
+@query(f"WITH {PROGRESS_SQL} SELECT task_id, arg_max(stage, seq) AS stage, arg_max(progress, seq) AS progress, arg_max(status, seq) AS status, count(*) AS n_events FROM e GROUP BY task_id")
+def task_latest(spark, sf_dir):
+    return E.latest(progress(spark, sf_dir))
+
+
+@query(f"WITH {PROGRESS_SQL} SELECT task_id, round(epoch_us(max(ts)) / 1000000.0 - epoch_us(min(ts)) / 1000000.0, 3) AS elapsed_s FROM e GROUP BY task_id")
+def task_elapsed(spark, sf_dir):
+    return E.elapsed(progress(spark, sf_dir)).select("task_id", F.round("elapsed_s", 3).alias("elapsed_s"))
+
+
+@query(f"""WITH {PROGRESS_SQL}, s AS (SELECT task_id, min(ts) AS ts, 1 AS step FROM e GROUP BY task_id UNION ALL SELECT task_id, min(ts), -1 FROM e WHERE status IN ('done', 'failed') GROUP BY task_id)
+SELECT task_id, CAST(epoch_us(ts) AS BIGINT) AS at_us, step, CAST(sum(step) OVER (ORDER BY ts, step DESC, task_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM s""")
+def admission_over_time(spark, sf_dir):
+    return E.admission(progress(spark, sf_dir)).select("task_id", F.unix_micros("ts").alias("at_us"), "step", "running")
+
+
+@query(f"""WITH {PROGRESS_SQL}, m AS (SELECT *, max({STATUS_SQL}) OVER (PARTITION BY task_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
+SELECT task_id, seq, stage, status FROM m WHERE before IS NULL OR {STATUS_SQL} >= before""")
+def monotone_status(spark, sf_dir):
+    return E.monotone(progress(spark, sf_dir)).select("task_id", "seq", "stage", "status")
+
+
+@query(f"WITH {PROGRESS_SQL} SELECT CAST(epoch_us(date_trunc('day', ts)) AS BIGINT) AS start_us, stage, count(*) AS n FROM e GROUP BY ALL")
+def stream_daily_counts(spark, sf_dir):
+    return E.windowed_counts(progress(spark, sf_dir)).select(F.unix_micros("start").alias("start_us"), "stage", "n")
+
+
+@query(f"""WITH {PROGRESS_SQL}, f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY task_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM e),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY task_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM f)
+SELECT task_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, CAST(epoch_us(max(ts) + INTERVAL 30 MINUTE) AS BIGINT) AS end_us, count(*) AS n FROM g GROUP BY task_id, s""")
+def stream_sessions(spark, sf_dir):
+    return E.sessions(progress(spark, sf_dir)).select("task_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query(f"WITH {PROGRESS_SQL} SELECT DISTINCT task_id, seq FROM e")
+def stream_dedup(spark, sf_dir):
+    e = progress(spark, sf_dir)
+    return E.deduplicated(e.unionByName(e)).select("task_id", "seq")
