@@ -134,26 +134,32 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "comp"])
 
 
-def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame],
-         percent: int, length: int, miss: float = 1e-5) -> DataFrame:
+def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame] | None, sets: Callable[[DataFrame], DataFrame],
+         percent: int, length: int = 0, miss: float = 1e-5) -> DataFrame:
     """The components (node, comp) of all pairs of nodes that share a band and have 100 * common >= percent * union.
 
     ``members``: key and node, repeated rows allowed. ``signatures`` gives node
     (unique) and sig (``length`` uint16 minima) of the nodes (a column node)
     that share a key with another one; ``sets`` gives node and set
-    (array<bigint>, sorted, without repeats) of the nodes asked for, or of more.
+    (an array of hashes, sorted, without repeats) of the nodes asked for, or of
+    more. Where sets are as small as signatures, ``signatures`` is None: then
+    the sets are made once and compared directly.
 
     Three steps, each over what the one before left open: a node and the hub it
     shares most bands with; its other hubs; then the members of a bucket of
     different components, exactly, until those that are linked at all are linked.
     """
-    plan = least_matches(percent / 100, length, miss)
+    plan = least_matches(percent / 100, length, miss) if signatures else None
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other")
     shared = checkpointed(members.join(hubs.select("key", "hub"), "key").select("node", "key", "hub").distinct())
-    sigs = checkpointed(signatures(checkpointed(shared.select("node").distinct())))
+    nodes = checkpointed(shared.select("node").distinct())
+    small = None if signatures else checkpointed(sets(nodes))
+    sigs = checkpointed(signatures(nodes)) if signatures else None
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs)
+        if small is not None:
+            return checkpointed(jaccard_links(pairs, small, percent))
+        pairs = checkpointed(_verify_signatures(pairs, sigs, plan))
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         return checkpointed(jaccard_links(pairs, sets(ends), percent))
 
@@ -166,13 +172,13 @@ def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame], sets:
     star = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("bands"))
     star = star.select(F.col("node").alias("a"), F.col("hub").alias("b"), "bands")
     best = star.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
-    links = confirmed(_verify_signatures(best, sigs, plan))
+    links = confirmed(best)
     comps = checkpointed(components(links))
 
     of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"of_{c}"))
     others = star.join(of("a"), "a", "left").join(of("b"), "b", "left")
     others = others.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = confirmed(_verify_signatures(others, sigs, plan))
+    more = confirmed(others)
     if more.take(1):
         links = links.unionByName(more)
         comps = checkpointed(components(links))
@@ -185,8 +191,8 @@ def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame], sets:
     if not rest.take(1):
         return comps
     keys = rest.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most one for each band
-    near = keys.join(sigs, "node")
-    facts = checkpointed(near.join(sets(keys.select("node")), "node"))
+    facts = keys.join(small, "node") if small is not None else keys.join(sigs, "node").join(sets(keys.select("node")), "node")
+    facts = checkpointed(facts)
     found = _blocks(rest.join(facts, "node"), BLOCK // 4, _exact(plan, percent), "a long, b long")
     return checkpointed(components(links.unionByName(checkpointed(found))))
 
@@ -246,25 +252,29 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _pairs(group: pa.Table, plan: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of the group the later rows of other components that their signatures don't rule out, and matches."""
+def _pairs(group: pa.Table, plan: list[tuple[int, int]] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of the group the later rows of other components that their signatures (if any) don't rule out, and matches."""
     comp, mine = group["comp"].to_numpy(), group["mine"].to_numpy()
     if len(comp) < 2 or comp.min() == comp.max():
         return
-    sig = _signatures(group["sig"].combine_chunks())
+    sig = _signatures(group["sig"].combine_chunks()) if plan else None
     two = group["i"][0].as_py() != group["j"][0].as_py()
-    n, least = plan[0]
     for at in range(len(comp) - 1):
         others = np.flatnonzero(comp[at + 1 :] != comp[at]) + at + 1
         if two:
             others = others[mine[others] != mine[at]]
+        if sig is None:
+            if len(others):
+                yield at, others, np.zeros(len(others), int)
+            continue
+        n, least = plan[0]
         close = others[(sig[others, :n] == sig[at, :n]).sum(1) >= least]
         close = close[survivors(np.broadcast_to(sig[at], (len(close), sig.shape[1])), sig[close], plan)]
         if len(close):
             yield at, close, (sig[close] == sig[at]).sum(1)
 
 
-def _exact(plan: list[tuple[int, int]], percent: int) -> Callable[[pa.Table], pa.Table | None]:
+def _exact(plan: list[tuple[int, int]] | None, percent: int) -> Callable[[pa.Table], pa.Table | None]:
     """Links that join the components of a group as far as any of its pairs does, each pair in its first common bucket."""
 
     def run(group: pa.Table) -> pa.Table | None:
@@ -297,7 +307,7 @@ def _exact(plan: list[tuple[int, int]], percent: int) -> Callable[[pa.Table], pa
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets (node, set: array<bigint> without repeats) have 100 * common >= percent * union."""
+    """The pairs (a, b) whose sets (node, set: an array without repeats) have 100 * common >= percent * union."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t"))
