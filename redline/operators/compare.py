@@ -30,14 +30,15 @@ def sides(alignments: DataFrame, clauses: DataFrame) -> DataFrame:
 
 
 def exploded_elements(df: DataFrame, text: str, keys: list[str], name: str, unicode: bool = True, with_keywords: bool = True) -> DataFrame:
-    found = V.elements(normalize_text(F.col(text), unicode), with_keywords)
-    return df.select(*keys, F.explode(found).alias("e")).select(*keys, F.col("e.kind").alias("kind"), F.array_join("e.vals", " | ").alias(name))
+    norm = df.select(*keys, normalize_text(F.col(text), unicode).alias("norm"))  # apart: no lambda may hold a Python kernel
+    return norm.select(*keys, F.explode(V.elements(F.col("norm"), with_keywords)).alias("e")).select(*keys, F.col("e.kind").alias("kind"), F.array_join("e.vals", " | ").alias(name))
 
 
 def element_changes(pairs: DataFrame, keys: list[str], unicode: bool = True, with_keywords: bool = True) -> DataFrame:
     """keys, kind, word_value, pdf_value, changed: one row for each kind that either text (w_text, p_text) has."""
-    found = lambda c: V.elements(normalize_text(F.col(c), unicode), with_keywords)
-    both = pairs.select(*keys, found("w_text").alias("w"), found("p_text").alias("p"))
+    norm = lambda c: normalize_text(F.col(c), unicode)
+    both = pairs.select(*keys, norm("w_text").alias("wn"), norm("p_text").alias("pn"))
+    both = both.select(*keys, V.elements(F.col("wn"), with_keywords).alias("w"), V.elements(F.col("pn"), with_keywords).alias("p"))
     kinds = F.array_sort(F.array_union(F.transform("w", lambda e: e["kind"]), F.transform("p", lambda e: e["kind"])))
     value = lambda side, k: F.array_join(F.flatten(F.transform(F.filter(side, lambda e: e["kind"] == k), lambda e: e["vals"])), " | ")
     rows = both.select(*keys, "w", "p", F.explode(kinds).alias("kind"))
@@ -77,11 +78,11 @@ def differences(alignments: DataFrame, clauses: DataFrame, identical: float = 0.
     """
     both = sides(alignments, clauses)
     paired = both.where("word_clause_ord is not null and pdf_clause_ord is not null")
-    found = lambda c: V.elements(normalize_text(F.col(c), unicode))
     paired = text_similarity(paired)
     value = F.when(F.col("match_type") == "number", F.col("cos")).otherwise(F.col("similarity"))
     kinds = lambda es: F.transform(es, lambda e: e["kind"])
-    paired = paired.withColumn("__w", found("w_text")).withColumn("__p", found("p_text"))
+    paired = paired.withColumn("__wn", normalize_text(F.col("w_text"), unicode)).withColumn("__pn", normalize_text(F.col("p_text"), unicode))
+    paired = paired.withColumn("__w", V.elements(F.col("__wn"))).withColumn("__p", V.elements(F.col("__pn")))
     same = lambda e, es: F.exists(es, lambda x: (x["kind"] == e["kind"]) & (x["vals"] == e["vals"]))
     odd = F.array_sort(F.array_union(kinds(F.filter("__w", lambda e: ~same(e, F.col("__p")))), kinds(F.filter("__p", lambda e: ~same(e, F.col("__w"))))))
     paired = paired.withColumn("changed_kinds", odd).withColumn("similarity", value)

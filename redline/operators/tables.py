@@ -97,8 +97,8 @@ def cells(tables: DataFrame, keys: list[str], tbl: str = "tbl") -> DataFrame:
 
 def cell_elements(tables: DataFrame, keys: list[str], unicode: bool = True) -> DataFrame:
     """High-risk values of each cell: keys, row_index, col_index, col_header, kind, vals."""
-    found = V.elements(normalize_text(F.col("cell"), unicode), with_keywords=False)
-    rows = cells(tables, keys).select("*", F.explode(found).alias("e"))
+    norm = cells(tables, keys).withColumn("norm", normalize_text(F.col("cell"), unicode))
+    rows = norm.select("*", F.explode(V.elements(F.col("norm"), with_keywords=False)).alias("e"))
     return rows.select(*keys, "row_index", "col_index", "col_header", F.col("e.kind").alias("kind"), F.array_join("e.vals", " | ").alias("vals"))
 
 
@@ -108,8 +108,8 @@ def cell_element_changes(word: DataFrame, pdf: DataFrame, keys: list[str], unico
     width = lambda df, n: df.select(*keys, F.col("tbl.headers").alias(n))
     heads = width(word, "hw").join(width(pdf, "hp"), keys).select(*keys, F.when(F.size("hw") >= F.size("hp"), F.col("hw")).otherwise(F.col("hp")).alias("heads"))
     both = cells(word, keys).select(*place, F.col("cell").alias("w")).join(cells(pdf, keys).select(*place, F.col("cell").alias("p")), place)
-    found = lambda c: V.elements(normalize_text(F.col(c), unicode), with_keywords=False)
-    both = both.withColumn("we", found("w")).withColumn("pe", found("p"))
+    both = both.withColumn("w", normalize_text(F.col("w"), unicode)).withColumn("p", normalize_text(F.col("p"), unicode))
+    both = both.withColumn("we", V.elements(F.col("w"), with_keywords=False)).withColumn("pe", V.elements(F.col("p"), with_keywords=False))
     kinds = F.array_sort(F.array_union(F.transform("we", lambda e: e["kind"]), F.transform("pe", lambda e: e["kind"])))
     value = lambda side: F.array_join(F.flatten(F.transform(F.filter(side, lambda e: e["kind"] == F.col("kind")), lambda e: e["vals"])), " | ")
     rows = both.join(heads, keys).select(*place, "heads", "we", "pe", F.explode(kinds).alias("kind"))

@@ -659,10 +659,13 @@ def page_footer_counts(spark, sf_dir):
     return N.page_footers(_rects(spark, sf_dir), [])
 
 
-@query(f"""WITH {BOXES_SQL}, t AS (SELECT box_id % 50 // 10 AS page, x1, y1, x2, y2 FROM pt WHERE box_id % 10 = 0), l AS (SELECT box_id, box_id % 50 // 10 AS page, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM pt WHERE box_id % 10 <> 0)
-SELECT box_id FROM l WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.page = l.page AND cx BETWEEN x1 AND x2 AND cy BETWEEN y1 AND y2)""")
+@query("""WITH b AS (SELECT p_partkey AS box_id, p_partkey % 50 // 10 AS page, p_partkey * 37 % 500 AS x, p_partkey * 91 % 700 AS y FROM part)
+SELECT box_id FROM b l WHERE box_id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM b t WHERE t.box_id % 10 = 0 AND t.page = l.page AND l.x + 10 BETWEEN t.x AND t.x + 150 AND l.y + 4 BETWEEN t.y AND t.y + 120)""")
 def spatial_anti(spark, sf_dir):
-    b = boxes(spark, sf_dir).withColumn("page", F.floor(F.col("box_id") % 50 / 10))
+    k = F.col("p_partkey")
+    x, y = (k * 37 % 500).cast("double"), (k * 91 % 700).cast("double")
+    size = lambda w, h: F.array(x, y, x + w, y + h)
+    b = read(spark, sf_dir, "part").select(k.alias("box_id"), F.floor(k % 50 / 10).alias("page"), F.when(k % 10 == 0, size(150, 120)).otherwise(size(20, 8)).alias("box"))
     return L.outside_tables(b.where("box_id % 10 <> 0"), b.where("box_id % 10 = 0"), ["page"]).select("box_id")
 
 
