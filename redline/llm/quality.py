@@ -164,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     share = [min(1.0, per_class[y] / sizes[y]) for y in (0, 1)]
     # the sample of labels is bounded by per_class, so it goes to the texts
     chosen = marks.where(F.col("u") < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
-    sample = docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("__k")).select("y", F.col(text).alias("t"), "u")
+    texts = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("t")).where("t is not null")
+    sample = texts.join(F.broadcast(chosen), F.col("__key") == F.col("__k")).select("y", "t", "u")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
