@@ -61,19 +61,30 @@ SELECT conv_id - 1 AS pair_id, 'pdf' AS side, CAST(row_number() OVER (PARTITION
 FROM {conversations}
 """
 
-#: Documents and the lower id that shares most distinct lines of 20 characters or more (two at least).
+#: Documents and the lower id with which they share most lines of 20 characters or more (two at least),
+#: where a line counts for the lowest id that has it: one candidate for each line, however common it is.
 DOCUMENT_PAIRS = """
 WITH lines AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, {explode_lines} AS line FROM {documents}) x WHERE length(line) >= 20),
-common AS (SELECT line FROM lines GROUP BY line HAVING count(*) BETWEEN 2 AND 20),
+owners AS (SELECT line, min(doc_id) AS base_id FROM lines GROUP BY line),
 shared AS (
-  SELECT b.doc_id AS base_id, c.doc_id AS cand_id, count(*) AS n
-  FROM lines b JOIN common USING (line) JOIN lines c ON b.line = c.line AND b.doc_id < c.doc_id
-  GROUP BY b.doc_id, c.doc_id HAVING count(*) >= 2
+  SELECT o.base_id, l.doc_id AS cand_id, count(*) AS n FROM lines l JOIN owners o ON l.line = o.line AND o.base_id < l.doc_id
+  GROUP BY o.base_id, l.doc_id HAVING count(*) >= 2
 ),
 best AS (SELECT cand_id, base_id, row_number() OVER (PARTITION BY cand_id ORDER BY n DESC, base_id) AS rn FROM shared)
 SELECT cand_id AS pair_id, base_id, cand_id FROM best WHERE rn = 1
 """
 
+#: Contracts whose word clauses are cut in two at the first comma, while the pdf keeps them whole.
+SPLIT_CONTRACTS = f"""
+WITH c AS ({CONTRACTS})
+SELECT pair_id, side, CAST(2 * clause_ord - 1 AS INT) AS clause_ord, number, level, field_key, title, split_part(text, ',', 1) AS text FROM c WHERE side = 'word'
+UNION ALL
+SELECT pair_id, side, CAST(2 * clause_ord AS INT) AS clause_ord, '' AS number, 0 AS level, '' AS field_key, '' AS title, substr(text, length(split_part(text, ',', 1)) + 2) AS text
+FROM c WHERE side = 'word'
+UNION ALL
+SELECT pair_id, side, clause_ord, number, level, field_key, title, text FROM c WHERE side = 'pdf'
+"""
+
 #: Tables of an order's lines; the pdf copy is altered like the contracts.
 ORDER_CELLS = f"""
 WITH base AS (

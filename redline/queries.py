@@ -48,6 +48,7 @@ def plain_alignment(clauses: DataFrame) -> DataFrame:
 # --- SQL parts ---------------------------------------------------------------
 
 CLAUSES_SQL = f"clauses AS ({X.duckdb_sql(X.CONTRACTS)})"
+SPLIT_SQL = f"clauses AS ({X.duckdb_sql(X.SPLIT_CONTRACTS)})"
 TURNS_SQL = f"clauses AS ({X.duckdb_sql(X.TURNS)})"
 ALIGN_SQL = """
 w AS (SELECT * FROM clauses WHERE side = 'word'), p AS (SELECT * FROM clauses WHERE side = 'pdf'),
@@ -266,18 +267,16 @@ def webhook_payloads(spark, sf_dir):
     return counts.select("task_id", F.concat(F.lit("{"), F.regexp_replace(body, r'^\{"event_id":"[0-9a-f]{64}",', "")).alias("tail"))
 
 
-@query(f"""WITH {CLAUSES_SQL}, {ALIGN_SQL},
+@query(f"""WITH {SPLIT_SQL}, {ALIGN_SQL},
 alone AS (SELECT al.pair_id, align_idx, 'word' AS side, w.clause_ord, w.text FROM al JOIN w ON w.pair_id = al.pair_id AND w.clause_ord = al.word_clause_ord WHERE pdf_clause_ord IS NULL
  UNION ALL SELECT al.pair_id, align_idx, 'pdf', p.clause_ord, p.text FROM al JOIN p ON p.pair_id = al.pair_id AND p.clause_ord = al.pdf_clause_ord WHERE word_clause_ord IS NULL)
 SELECT DISTINCT a.pair_id, a.align_idx FROM alone a JOIN al b ON b.pair_id = a.pair_id AND b.word_clause_ord IS NOT NULL AND b.pdf_clause_ord IS NOT NULL
  AND abs((CASE a.side WHEN 'word' THEN b.word_clause_ord ELSE b.pdf_clause_ord END) - a.clause_ord) = 1
 JOIN clauses c ON c.pair_id = a.pair_id AND c.side <> a.side AND c.clause_ord = (CASE a.side WHEN 'word' THEN b.pdf_clause_ord ELSE b.word_clause_ord END)
-WHERE contains(substr(c.text, 1, 6), substr(a.text, 1, 6))""")
+WHERE length(a.text) >= 4 AND contains(c.text, a.text)""")
 def covered_fragments(spark, sf_dir):
-    """Fragments and partners cut to six characters, so that many cover each other."""
-    c = contracts(spark, sf_dir)
-    short = c.withColumn("text", F.substring("text", 1, 6))
-    return A.covered(materialized(plain_alignment(c)), short, unicode=False)
+    c = X.rows(spark, sf_dir, X.SPLIT_CONTRACTS)
+    return A.covered(materialized(plain_alignment(c)), c, unicode=False)
 
 
 # --- vectors -------------------------------------------------------------------
