@@ -21,7 +21,7 @@ from redline.llm.common import Memo, checkpointed, mix64
 #: Signature positions compared at a time, members of a bucket that meet in one task.
 BATCH, BLOCK = 32, 1024
 #: Links that one task joins (some 100 bytes each); nodes whose ids are broadcast (some 40 bytes each).
-FEW_LINKS, LOOKUP = 500_000, 400_000
+FEW_LINKS, LOOKUP = 1_500_000, 400_000
 
 
 def hash_family(k: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -117,48 +117,65 @@ def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union by least root with path halving."""
-    up: dict[int, int] = {}
+    """Roots are hooked on lesser roots along all links at once, and paths cut short, until nothing changes."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+    nodes, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    left, right = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[left], root[right]
+        apart = p != q
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    for i in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(nodes[root[i : i + 100_000]])], names=["node", "comp"])
 
-    def top(x: int) -> int:
-        while (parent := up.setdefault(x, x)) != x:
-            up[x] = x = up[parent]
-        return x
 
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            p, q = top(a), top(b)
-            if p != q:
-                up[max(p, q)] = min(p, q)
-    nodes = list(up)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "comp"])
+def shared_keys(members: DataFrame) -> DataFrame:
+    """node, key and hub (the key's least node), each once, of the keys that several nodes have."""
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other")
+    return checkpointed(members.join(hubs.select("key", "hub"), "key").select("node", "key", "hub").distinct())
 
 
-def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame] | None, sets: Callable[[DataFrame], DataFrame],
-         percent: int, length: int = 0, miss: float = 1e-5) -> DataFrame:
+def link_small(members: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """As ``link`` for items whose sets are as small as signatures: they go to the buckets and are compared there.
+
+    Each bucket gives a forest of exact links; a pair is looked at in its first
+    common bucket, and no more once its components have met there.
+    """
+    shared = shared_keys(members).drop("hub")
+    keys = shared.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most one for each band
+    facts = keys.join(sets(checkpointed(shared.select("node").distinct())), "node").withColumn("comp", F.col("node"))
+    sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
+    found = _blocks(shared.join(sizes, "key").join(facts, "node"), BLOCK // 4, _exact(None, percent), "a long, b long")
+    return checkpointed(components(checkpointed(found)))
+
+
+def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame],
+         percent: int, length: int, miss: float = 1e-5) -> DataFrame:
     """The components (node, comp) of all pairs of nodes that share a band and have 100 * common >= percent * union.
 
     ``members``: key and node, repeated rows allowed. ``signatures`` gives node
     (unique) and sig (``length`` uint16 minima) of the nodes (a column node)
     that share a key with another one; ``sets`` gives node and set
     (an array of hashes, sorted, without repeats) of the nodes asked for, or of
-    more. Where sets are as small as signatures, ``signatures`` is None: then
-    the sets are made once and compared directly.
+    more.
 
     Three steps, each over what the one before left open: a node and the hub it
     shares most bands with; its other hubs; then the members of a bucket of
     different components, exactly, until those that are linked at all are linked.
     """
-    plan = least_matches(percent / 100, length, miss) if signatures else None
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other")
-    shared = checkpointed(members.join(hubs.select("key", "hub"), "key").select("node", "key", "hub").distinct())
-    nodes = checkpointed(shared.select("node").distinct())
-    small = None if signatures else checkpointed(sets(nodes))
-    sigs = checkpointed(signatures(nodes)) if signatures else None
+    plan = least_matches(percent / 100, length, miss)
+    shared = shared_keys(members)
+    sigs = checkpointed(signatures(checkpointed(shared.select("node").distinct())))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        if small is not None:
-            return checkpointed(jaccard_links(pairs, small, percent))
         pairs = checkpointed(_verify_signatures(pairs, sigs, plan))
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         return checkpointed(jaccard_links(pairs, sets(ends), percent))
@@ -191,8 +208,7 @@ def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame] | None
     if not rest.take(1):
         return comps
     keys = rest.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most one for each band
-    facts = keys.join(small, "node") if small is not None else keys.join(sigs, "node").join(sets(keys.select("node")), "node")
-    facts = checkpointed(facts)
+    facts = checkpointed(keys.join(sigs, "node").join(sets(keys.select("node")), "node"))
     found = _blocks(rest.join(facts, "node"), BLOCK // 4, _exact(plan, percent), "a long, b long")
     return checkpointed(components(links.unionByName(checkpointed(found))))
 
