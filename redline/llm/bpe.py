@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from redline.llm.common import Memo, map_texts
 
 #: Pre-tokens met twice whose ids a worker remembers, those met once, and ranks of pairs; about 200 bytes each.
-OFTEN, ONCE, PAIRS = 400_000, 250_000, 250_000
+OFTEN, ONCE, PAIRS = 300_000, 200_000, 150_000
 
 
 @dataclass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -74,10 +76,18 @@ def map_texts(
                 part = batch.slice(a, b - a)
                 made = kernel(part.column(n).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=out.names)
+            give_back()
 
     return chosen.mapInArrow(run, out)
 
 
+def give_back() -> None:
+    """Free memory goes back to the system: Python workers live on into later stages, and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def runs(texts: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold at most ``most`` bytes together, or one row."""
     import pyarrow.compute as pc

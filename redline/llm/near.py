@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from redline.llm.common import Memo, checkpointed, mix64
+from redline.llm.common import Memo, checkpointed, give_back, mix64
 
 #: Signature positions compared at a time, members of a bucket that meet in one task.
 BATCH, BLOCK = 32, 1024
@@ -259,6 +259,7 @@ def _blocks(rest: DataFrame, size: int, kernel: Callable[[pa.Table], pa.Table |
                     yield from made.to_batches()
                 start = end
             held = held.slice(start)
+        give_back()
 
     return dealt.mapInArrow(run, schema)
 

@@ -14,11 +14,15 @@ from redline.llm.near import band_keys, hash_family, link, minhash, sized
 BANDS, ROWS = 32, 6
 
 _family = hash_family(BANDS * ROWS)
-_word = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
 _odd = mix64(np.arange(101, 151, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+def word_hashes() -> Memo:
+    """Hashes of words, remembered within a task."""
+    return Memo(xxhash.xxh3_64_intdigest, 250_000)
+
+
+def shingle_sets(texts: list[str | None], width: int, hashes: Memo) -> list[np.ndarray]:
     """Each text's distinct ``width``-word shingles as sorted 64-bit hashes.
 
     Words stand between ASCII blanks, A-Z lower-cased; fewer words than
@@ -26,7 +30,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """
     words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
     sizes = [len(w) for w in words]
-    h = np.fromiter((_word[w] for ws in words for w in ws), np.uint64, sum(sizes))
+    h = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, sum(sizes))
     whole = max(0, len(h) - width + 1)
     grams = np.zeros(whole, np.uint64)
     for i in range(width):
@@ -53,8 +57,10 @@ def node_of(sets: list[np.ndarray]) -> np.ndarray:
 def signed(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """key, tkey (hash of the text), n_shingles, node, sig, bands; the last three null for an empty set."""
 
+    hashes = word_hashes()
+
     def kernel(texts: list[str | None]) -> list[pa.Array]:
-        sets = shingle_sets(texts, width)
+        sets = shingle_sets(texts, width, hashes)
         sizes = np.array([len(s) for s in sets])
         some = np.flatnonzero(sizes)
         node, sig, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
@@ -101,8 +107,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         match = (F.xxhash64("text") == F.col("t")) & F.col("key").eqNullSafe(F.col("k"))
         found = texts.join(wanted, match).select("wanted", "text")
 
+        hashes = word_hashes()
+
         def kernel(batch: list[str | None]) -> list[pa.Array]:
-            sets = shingle_sets(batch, width)
+            sets = shingle_sets(batch, width, hashes)
             return [pa.array(node_of(sets).view(np.int64)), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))]
 
         made = map_texts(found, "text", "node long, set array<long>", kernel, ["wanted"]).where("wanted = node")

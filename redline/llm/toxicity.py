@@ -15,11 +15,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from redline.llm.common import Memo, map_texts, runs, unit_hash
+from redline.llm.common import Memo, give_back, map_texts, runs, unit_hash
 
 BITS = 20
 _word = re.compile(r"\w+")
-_memo = Memo(lambda w: xxhash.xxh32_intdigest(w), 400_000)
+
+
+def word_hashes() -> Memo:
+    """Hashes of words, remembered within a task."""
+    return Memo(xxhash.xxh32_intdigest, 250_000)
 
 
 @dataclass
@@ -36,11 +40,11 @@ class Model:
         return out
 
 
-def features(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, int]:
+def features(texts: list[str], hashes: Memo) -> tuple[list[np.ndarray], np.ndarray, int]:
     """Buckets of words, of word pairs and of pairs that skip a word, over all texts; each word's text; texts."""
     words = [_word.findall(t.lower()) for t in texts]
     of = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-    h = np.fromiter((_memo[w] for ws in words for w in ws), np.uint64, len(of))
+    h = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, len(of))
     shift = np.uint64(64 - BITS)
     out = [(h * np.uint64(0x9E3779B97F4A7C15)) >> shift]
     for gap, odd in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9)):
@@ -50,8 +54,8 @@ def features(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, int]:
     return [x.astype(np.int64) for x in out], of, len(texts)
 
 
-def _sets(texts: list[str]) -> list[np.ndarray]:
-    parts, of, n = features(texts)
+def _sets(texts: list[str], hashes: Memo) -> list[np.ndarray]:
+    parts, of, n = features(texts, hashes)
     pairs = np.unique(np.concatenate([(of[: len(p)] << 21) | p for p in parts]))
     pairs = pairs[(pairs & ((1 << 21) - 1)) < 1 << BITS]
     return np.split((pairs & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(pairs >> 21, np.arange(1, n)))
@@ -108,10 +112,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     sample = texts.join(F.broadcast(chosen), F.col("__key") == F.col("__k")).select("y", "t", "u")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for batch in batches:
             for a, b in runs(batch.column(1)):
                 part = batch.slice(a, b - a)
-                sets = _sets(part.column(1).to_pylist())
+                sets = _sets(part.column(1).to_pylist(), hashes)
                 made = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), made], names=["y", "u", "f"])
 
@@ -121,6 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
             labels += batch.column(0).to_pylist()
             sets += [np.frombuffer(x, np.int32) for x in batch.column(2).to_pylist()]
         at, w, bias = train(sets, labels)
+        sets.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(at, -1)), pa.array(np.append(w, bias))], names=["b", "w"]
         )
@@ -138,9 +145,9 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
 
     def kernel(texts: list[str | None]) -> list[pa.Array]:
         if not state:
-            state["w"] = np.append(shared.value.dense(), np.float32(0))
+            state["w"], state["hashes"] = np.append(shared.value.dense(), np.float32(0)), word_hashes()
         w, hits = state["w"], []
-        parts, of, n = features([t or "" for t in texts])
+        parts, of, n = features([t or "" for t in texts], state["hashes"])
         for part in parts:
             some = np.flatnonzero(w[part])
             hits.append((of[some] << 21) | part[some])
