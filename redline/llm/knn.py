@@ -123,11 +123,10 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vec
     if not n or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
-    chosen = data.where("nth = 1") if "nth" in data.columns else data
     wanted = max(1, min(PIVOTS, int(n**0.5)))
     share = min(1.0, 4 * wanted / n)
-    sample = chosen.where(F.xxhash64(F.lit(3), "v").bitwiseAND(F.lit((1 << 53) - 1)) < F.lit(int(share * (1 << 53)))).select("v").distinct()
-    pivots = unpack(pa.array([bytes(r["v"]) for r in sample.orderBy(F.xxhash64("v"), "v").limit(wanted).collect()] or [bytes(chosen.first()["v"])]))
+    sample = data.where(F.xxhash64(F.lit(3), "v").bitwiseAND(F.lit((1 << 53) - 1)) < F.lit(int(share * (1 << 53)))).select("v").distinct()
+    pivots = unpack(pa.array([bytes(r["v"]) for r in sample.orderBy(F.xxhash64("v"), "v").limit(wanted).collect()] or [bytes(data.first()["v"])]))
 
     def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
