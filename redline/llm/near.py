@@ -143,17 +143,46 @@ def shared_keys(members: DataFrame) -> DataFrame:
     return checkpointed(members.join(hubs.select("key", "hub"), "key").select("node", "key", "hub").distinct())
 
 
+def _small_buckets(members: DataFrame) -> DataFrame:
+    """node, key and n, of the keys that n > 1 nodes have; keys of the same nodes become one, a hash of those.
+
+    Members are dealt out once; a row can come once for each of the keys that became one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 0), np.int64)
+        for batch in _with_end(batches):
+            if batch is not None:
+                held = np.hstack([held, [batch.column(0).to_numpy(), batch.column(1).to_numpy()]])
+            held = held[:, np.append(True, np.any(held[:, 1:] != held[:, :-1], axis=0))[: held.shape[1]]]
+            cuts = np.append(0, np.flatnonzero(held[0, 1:] != held[0, :-1]) + 1)
+            if batch is None:
+                cuts = np.append(cuts, held.shape[1])
+            sizes = np.diff(cuts)
+            node, held = held[1, : cuts[-1]], held[:, cuts[-1] :]
+            if len(node):
+                several = np.repeat(sizes > 1, sizes)
+                members_hash = mix64(np.add.reduceat(mix64(node.view(np.uint64)), cuts[:-1]) + sizes.astype(np.uint64)).view(np.int64)
+                columns = node, np.repeat(members_hash, sizes), np.repeat(sizes, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in columns], names=["node", "key", "n"])
+        give_back()
+
+    dealt = members.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "node long, key long, n long")
+
+
 def link_small(members: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """As ``link`` for items whose sets are as small as signatures: they go to the buckets and are compared there.
 
     Each bucket gives a forest of exact links; a pair is looked at in its first
     common bucket, and no more once its components have met there.
     """
-    shared = shared_keys(members).drop("hub")
-    keys = shared.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most one for each band
-    facts = keys.join(sets(checkpointed(shared.select("node").distinct())), "node").withColumn("comp", F.col("node"))
-    sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
-    found = _blocks(shared.join(sizes, "key").join(facts, "node"), BLOCK // 4, _exact(None, percent), "a long, b long")
+    shared = _small_buckets(members).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("key", "n"))).alias("buckets"))
+    shared = checkpointed(shared)  # at most one bucket for each band
+    facts = shared.join(sets(shared.select("node")), "node").select("node", "set", "buckets", F.col("node").alias("comp"))
+    met = facts.select("node", "set", "comp", F.col("buckets.key").alias("keys"), F.explode("buckets").alias("x"))
+    met = met.select("node", "set", "comp", "keys", F.col("x.key").alias("key"), F.col("x.n").alias("n"))
+    found = _blocks(met, BLOCK // 4, _exact(None, percent), "a long, b long")
     return checkpointed(components(checkpointed(found)))
 
 

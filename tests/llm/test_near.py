@@ -155,6 +155,35 @@ def test_near_equal_paragraphs_cluster(spark):
     assert [r["doc_id"] for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()] in ([2], [])
 
 
+def test_near_equal_paragraphs_by_seeded_pairs(spark):
+    """Pairs of single paragraphs that one changed word takes to a similarity from 0.8 to 0.9: nearly all are linked, and no others."""
+    rng, rows, close = random.Random(31), [], 0
+    for p in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        other = list(words)
+        for at in (rng.sample(range(10, 50), 1) if p % 3 else range(8, 50, 8)):
+            other[at] = f"v{rng.randrange(10**6)}"
+        a, b = shingles(" ".join(words), 5), shingles(" ".join(other), 5)
+        assert (0.8 <= len(a & b) / len(a | b) < 0.9) == bool(p % 3)
+        close += bool(p % 3)
+        rows += [(2 * p, " ".join(words) + "."), (2 * p + 1, " ".join(other) + ".")]
+    found = {r["doc_id"]: r["keeper"] for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(d % 2 and k == d - 1 and d // 2 % 3 for d, k in found.items())
+    assert len(found) >= 0.94 * close
+
+
+def test_changed_word_near_the_end_is_found(spark):
+    """The pair of test_near_equal_paragraphs_cluster, on many seeds: [2] each time."""
+    rng, rows = random.Random(32), []
+    for p in range(100):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        other = list(base)
+        other[88] = "changed"
+        rows += [(2 * p, "Start " + " ".join(base) + "."), (2 * p + 1, "Start " + " ".join(other) + ".")]
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(1, 200, 2))
+
+
 def test_passage_edges(spark):
     rows = [(1, None), (2, ""), (3, "short."), (4, "w " * 200_000), (5, "Le " * 300), (None, "Le " * 300), (6, "\n" * 50)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1)).withColumn("__spans", F.lit(2))
