@@ -184,6 +184,39 @@ def test_changed_word_near_the_end_is_found(spark):
     assert sorted(r["doc_id"] for r in found) == list(range(1, 200, 2))
 
 
+def test_passages_from_within_sentences(spark):
+    """Passages of 51 to 60 words that start and end within sentences of 15 to 40, among different words: each is found."""
+    rng, rows, planted = random.Random(33), [], {}
+    for p in range(100):
+        words = " ".join(" ".join(f"p{p}q{rng.randrange(10**6)}" for _ in range(rng.randint(15, 40))) + "." for _ in range(9)).split()
+        at = next(i for i in range(20, 60) if not words[i - 1].endswith("."))
+        end = next(j for j in range(at + 51 + p % 8, at + 61) if not words[j - 1].endswith("."))
+        planted[p] = words[at:end]
+        assert 51 <= end - at <= 60
+        for c in range(2):
+            before, after = prose(rng, 5, f"b{p}{c}z"), prose(rng, 5, f"c{p}{c}z")
+            rows.append((2 * p + c, before.rstrip(".") + " " + " ".join(planted[p]) + " " + after))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = passages.repeats(df)
+    assert {(r["doc_id"], r["keeper"]) for r in spans.collect()} == {(2 * p + 1, 2 * p) for p in planted}
+    for r in passages.cleaned(df, spans).where("doc_id % 2 = 1").collect():
+        left = set(r["text"].split()) & set(planted[r["doc_id"] // 2])
+        assert len(left) <= len(planted[r["doc_id"] // 2]) - passages.LEAST
+
+
+def test_any_48_words_hold_a_paragraph():
+    rng = random.Random(34)
+    vocab = [f"v{i}" for i in range(40)]
+    for n in (48, 49, 70, 300):
+        for common in (rng.choices(vocab, k=n), ["same"] * n, ["a", "b", "c"] * (n // 3)):
+            nodes = []
+            for c in range(2):
+                around = [rng.choices([f"x{c}{i}" for i in range(90)], k=rng.randrange(40)) for _ in range(2)]
+                text = " ".join(around[0] + common[:48] + around[1]) if n < 50 else " ".join(around[0] + common + around[1])
+                nodes.append(set(passages.paragraphs(["other text", "", text])[3].tolist()))
+            assert nodes[0] & nodes[1]
+
+
 def test_passage_edges(spark):
     rows = [(1, None), (2, ""), (3, "short."), (4, "w " * 200_000), (5, "Le " * 300), (None, "Le " * 300), (6, "\n" * 50)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1)).withColumn("__spans", F.lit(2))
