@@ -204,6 +204,24 @@ def test_passages_from_within_sentences(spark):
         assert len(left) <= len(planted[r["doc_id"] // 2]) - passages.LEAST
 
 
+def test_passages_of_short_sentences(spark):
+    """Lists, words with '!' and a line per word have no sentence that starts a paragraph: their repeats are found all the same."""
+    rng, rows = random.Random(35), []
+    shapes = [lambda w: w + "!", lambda w: w + "\n", lambda w: f"{w} {w[::-1]} x.\n"]
+    for p in range(60):
+        line = lambda tag: shapes[p % 3](f"{tag}{rng.randrange(10**6)}")  # noqa: B023, E731
+        passage = " ".join(line(f"p{p}q") for _ in range(55))
+        for c in range(2):
+            rows.append((2 * p + c, " ".join([line(f"b{p}{c}z"), line(f"b{p}{c}z"), passage, line(f"c{p}{c}z")])))
+    rows += [(900, "a b! " * 40), (901, "c d! " * 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeats(df).collect()
+    assert {(r["doc_id"], r["keeper"]) for r in found} == {(2 * p + 1, 2 * p) for p in range(60)}
+    assert len(found) == 60
+    texts = [t for d, t in rows if d != 901]
+    assert set(passages.paragraphs(texts)[0].tolist()) == set(range(len(texts)))
+
+
 def test_any_48_words_hold_a_paragraph():
     rng = random.Random(34)
     vocab = [f"v{i}" for i in range(40)]
