@@ -39,7 +39,7 @@ def signature_cells(table: Column, unicode: bool = True) -> Column:
 
 
 def segment(items: DataFrame, keys: list[str], unicode: bool = True) -> DataFrame:
-    """Clauses (keys, clause_ord from 1, level, number, title, text, field_key, boxes) of items.
+    """Clauses (keys, clause_ord from 1, level, number, title, text, field_key, boxes and, where items have tbl, tables) of items.
 
     ``items``: keys, item_ord, kind, heading_level, text and, optionally, bbox,
     page_index and tbl. ``unicode`` False skips NFKC where texts are known to be
@@ -51,7 +51,7 @@ def segment(items: DataFrame, keys: list[str], unicode: bool = True) -> DataFram
     page = F.col("page_index") if "page_index" in have else F.lit(0)
     norm = T.normalize_text(F.col("text"), unicode)
     base = items.select(*keys, "item_ord", "kind", "heading_level", norm.alias("norm"), bbox.alias("bbox"), page.alias("page_index"),
-                        signature_cells(tbl).alias("cells"))
+                        signature_cells(tbl).alias("cells"), F.when(F.col("kind") == "table", tbl).alias("tbl"))
     whole = F.array(F.col("norm"))
     parts = (
         F.when(F.col("cells").isNotNull(), F.col("cells"))
@@ -89,11 +89,12 @@ def segment(items: DataFrame, keys: list[str], unicode: bool = True) -> DataFram
     box = line_box(F.col("bbox"), F.col("line_ord"), F.col("n_lines"))
     grouped = numbered.groupBy(*keys, "clause_ord").agg(
         F.first("start", ignorenulls=True).alias("s"),
-        F.array_sort(F.collect_list(F.struct("item_ord", "line_ord", piece.alias("piece"), F.col("page_index"), box.alias("box")))).alias("pieces"),
+        F.array_sort(F.collect_list(F.struct("item_ord", "line_ord", piece.alias("piece"), F.col("page_index"), box.alias("box"), F.when(F.col("cells").isNull(), F.col("tbl")).alias("tbl")))).alias("pieces"),
     )
     joined = F.array_join(F.filter(F.transform("pieces", lambda p: p["piece"]), lambda t: t != ""), "\n")
     boxed = F.transform(F.filter("pieces", lambda p: F.size(p["box"]) >= 4), lambda p: F.struct(p["page_index"].alias("page_index"), p["box"].alias("bbox")))
+    tables = [F.filter(F.transform("pieces", lambda p: p["tbl"]), lambda t: t.isNotNull()).alias("tables")] if "tbl" in have else []
     return grouped.select(
         *keys, "clause_ord", F.coalesce("s.level", F.lit(0)).alias("level"), F.coalesce("s.number", none).alias("number"),
-        F.coalesce("s.title", none).alias("title"), joined.alias("text"), F.coalesce("s.field_key", none).alias("field_key"), boxed.alias("boxes"),
+        F.coalesce("s.title", none).alias("title"), joined.alias("text"), F.coalesce("s.field_key", none).alias("field_key"), boxed.alias("boxes"), *tables,
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from redline.functions import values as V
 from redline.functions.kernels import bag_cosine
 from redline.functions.text import normalize_text
+from redline.operators import tables as B
 
 PAIR = "pair_id"
 RANKS = {"none": 0, "low": 1, "medium": 2, "high": 3}
@@ -20,9 +21,11 @@ def rank(level: Column) -> Column:
 
 def sides(alignments: DataFrame, clauses: DataFrame) -> DataFrame:
     """Alignments with the clauses of both sides: columns w_* and p_*."""
+    tables = ["tables"] if "tables" in clauses.columns else []
+
     def of(side: str, short: str) -> DataFrame:
         return clauses.where(F.col("side") == side).select(
-            PAIR, F.col("clause_ord").alias(f"{side}_clause_ord"), *[F.col(c).alias(f"{short}_{c}") for c in ("number", "title", "text", "level", "field_key")]
+            PAIR, F.col("clause_ord").alias(f"{side}_clause_ord"), *[F.col(c).alias(f"{short}_{c}") for c in ("number", "title", "text", "level", "field_key", *tables)]
         )
 
     joined = alignments.join(of("word", "w"), [PAIR, "word_clause_ord"], "left")
@@ -70,14 +73,26 @@ def text_similarity(pairs: DataFrame) -> DataFrame:
     return pairs.where(same).withColumn("cos", F.lit(1.0)).unionByName(pairs.where(~same).withColumn("cos", bag_cosine("w_text", "p_text")))
 
 
+def table_changes(paired: DataFrame, unicode: bool = True) -> DataFrame:
+    """pair_id, align_idx, table_change (the first one) and table_kinds (one for each changed value of a cell) of w_tables and p_tables."""
+    keys = [PAIR, "align_idx"]
+    w, p = (paired.select(*keys, F.posexplode(f"{s}_tables").alias("table_index", "tbl")) for s in ("w", "p"))
+    first = B.first_change(w, p, keys, unicode).select(*keys, F.col("change").alias("table_change"))
+    cells = B.cell_element_changes(w, p, [*keys, "table_index"], unicode).where("changed")
+    return first.join(cells.groupBy(*keys).agg(F.array_sort(F.collect_list("kind")).alias("table_kinds")), keys, "full")
+
+
 def differences(alignments: DataFrame, clauses: DataFrame, identical: float = 0.98, modified: float = 0.85, unicode: bool = True) -> DataFrame:
     """Each alignment with status, risk_level and changed_kinds; covered fragments must be gone already.
 
     The similarity of number pairs is taken from the texts; field and semantic
-    pairs keep the one of the alignment.
+    pairs keep the one of the alignment. Clauses with ``tables`` are compared
+    cell by cell too, and the tables stay in the result for their segments.
     """
     both = sides(alignments, clauses)
     paired = both.where("word_clause_ord is not null and pdf_clause_ord is not null")
+    tables = ["w_tables", "p_tables"] if "tables" in clauses.columns else []
+    found = table_changes(paired, unicode) if tables else None
     paired = text_similarity(paired)
     value = F.when(F.col("match_type") == "number", F.col("cos")).otherwise(F.col("similarity"))
     kinds = lambda es: F.transform(es, lambda e: e["kind"])
@@ -86,14 +101,18 @@ def differences(alignments: DataFrame, clauses: DataFrame, identical: float = 0.
     same = lambda e, es: F.exists(es, lambda x: (x["kind"] == e["kind"]) & (x["vals"] == e["vals"]))
     odd = F.array_sort(F.array_union(kinds(F.filter("__w", lambda e: ~same(e, F.col("__p")))), kinds(F.filter("__p", lambda e: ~same(e, F.col("__w"))))))
     paired = paired.withColumn("changed_kinds", odd).withColumn("similarity", value)
-    verdict = classify(F.col("w_text"), F.col("p_text"), F.col("similarity"), F.size("changed_kinds") > 0, F.lit(""), identical, modified)
+    change = F.lit("")
+    if found is not None:
+        paired, change = paired.join(found, [PAIR, "align_idx"], "left"), F.col("table_change")
+        paired = paired.withColumn("changed_kinds", F.concat("changed_kinds", F.coalesce("table_kinds", F.array().cast("array<string>"))))
+    verdict = classify(F.col("w_text"), F.col("p_text"), F.col("similarity"), F.size("changed_kinds") > 0, change, identical, modified)
     paired = paired.withColumn("v", verdict)
     alone = both.where("word_clause_ord is null or pdf_clause_ord is null")
     status = F.when(F.col("word_clause_ord").isNull(), "added").otherwise("deleted")
     alone = alone.withColumn("v", F.struct(status.alias("status"), unmatched_risk(F.coalesce("w_number", "p_number")).alias("risk_level")))
     alone = alone.withColumn("changed_kinds", F.array().cast("array<string>"))
     columns = [PAIR, "align_idx", "match_type", "similarity", "word_clause_ord", "pdf_clause_ord", F.coalesce("w_number", "p_number").alias("number"),
-               F.coalesce("w_title", "p_title").alias("title"), "w_text", "p_text", "changed_kinds", F.col("v.status").alias("status"), F.col("v.risk_level").alias("risk_level")]
+               F.coalesce("w_title", "p_title").alias("title"), "w_text", "p_text", "changed_kinds", F.col("v.status").alias("status"), F.col("v.risk_level").alias("risk_level"), *tables]
     return paired.select(*columns).unionByName(alone.select(*columns))
 
 

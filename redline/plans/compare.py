@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from redline.config import CompareConfig
 from redline.functions.kernels import char_diff
 from redline.lineage import materialized
-from redline.operators import align as A, clauses as C, compare as R, rawdiff as D
+from redline.operators import align as A, clauses as C, compare as R, rawdiff as D, tables as B
 
 PAIR = "pair_id"
 
@@ -45,8 +45,17 @@ def compare_clauses(clauses: DataFrame, diagnostics: DataFrame | None = None, co
 
 
 def with_segments(diffs: DataFrame) -> DataFrame:
-    """Modified pairs with their character segments; identical and unmatched ones never reach the matcher."""
-    return diffs.where("status = 'modified'").withColumn("segments", char_diff("w_text", "p_text"))
+    """Modified pairs with their character segments, then those of their tables; identical and unmatched ones never reach the matcher."""
+    modified, keys = diffs.where("status = 'modified'"), [PAIR, "align_idx"]
+    found = modified.withColumn("segments", char_diff("w_text", "p_text"))
+    if "w_tables" not in diffs.columns:
+        return found
+    tables = modified.select(*keys, F.posexplode(F.arrays_zip("w_tables", "p_tables")).alias("table_index", "t"))
+    tables = tables.select(*keys, "table_index", F.col("t.w_tables").alias("word_tbl"), F.col("t.p_tables").alias("pdf_tbl"))
+    rows = B.diff_segments(tables.where("word_tbl is not null and pdf_tbl is not null")).select(*keys, F.struct("table_index", "segments").alias("x"))
+    rows = rows.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["segments"])).alias("__more"))
+    more = F.when(F.col("__more").isNull(), F.col("segments")).otherwise(F.concat("segments", "__more"))
+    return found.join(rows, keys, "left").withColumn("segments", more).drop("__more")
 
 
 def raw_compare(texts: DataFrame, config: CompareConfig | None = None, unicode: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -37,6 +37,26 @@ def test_amount_tamper_is_high(spark):
     assert [(s["op"], s["text"]) for s in segments] == [("equal", "金额"), ("delete", "1"), ("insert", "2"), ("equal", "00万元")]
 
 
+def test_tables_are_compared(spark):
+    """One plain cell of a large table makes a medium change, one amount in a cell a high one, with segments; equal tables none."""
+    schema = ITEM + ", tbl struct<headers: array<string>, rows: array<array<string>>>"
+    rows = [[f"品名规格型号第{i}种", f"产地某某市某某区{i}"] for i in range(60)]
+    cases = {1: "产地某某市某某县30", 2: rows[30][1], 3: "金额200万元"}
+    made = []
+    for pair, cell in cases.items():
+        for side in ("word", "pdf"):
+            own = [list(r) for r in rows]
+            own[30][1] = cell if side == "pdf" else "金额100万元" if pair == 3 else rows[30][1]
+            text = "\n".join(" | ".join(r) for r in [["品名", "产地"], *own])
+            made += [(pair, side, 0, "paragraph", 0, "第一条 供货清单", None), (pair, side, 1, "table", 0, text, (["品名", "产地"], own))]
+    got = compare(spark.createDataFrame(made, schema))
+    assert {r["pair_id"]: (r["status"], r["risk_level"]) for r in got.diffs.collect()} == {1: ("modified", "medium"), 2: ("identical", "none"), 3: ("modified", "high")}
+    assert {r["pair_id"]: r["overall_risk"] for r in got.reports.collect()} == {1: "medium", 2: "clean", 3: "high"}
+    segments = {r["pair_id"]: r["segments"] for r in with_segments(got.diffs).collect()}
+    alone = {r["pair_id"]: r["segments"] for r in with_segments(got.diffs.drop("w_tables", "p_tables")).collect()}
+    assert set(segments) == {1, 3} and all(len(segments[p]) > len(alone[p]) for p in segments)
+
+
 def test_gate_lowers_risk(spark):
     diag = spark.createDataFrame([(1, 0, False), (1, 1, True)], "pair_id long, page_index int, reliable boolean")
     got = compare(items(spark, ["第一条 金额100万元"], ["第一条 金额200万元"]), diag)
