@@ -104,7 +104,8 @@ def bag_similarity(a: str, b: str) -> float:
 
 @pandas_udf(DoubleType())
 def bag_cosine(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([bag_similarity(a or "", b or "") for a, b in zip(left, right, strict=True)], dtype=float)
+    """Null where a text is."""
+    return pd.Series([None if a is None or b is None else bag_similarity(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
 
 
 @pandas_udf(StringType())

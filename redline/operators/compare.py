@@ -38,10 +38,11 @@ def exploded_elements(df: DataFrame, text: str, keys: list[str], name: str, unic
 
 
 def element_changes(pairs: DataFrame, keys: list[str], unicode: bool = True, with_keywords: bool = True) -> DataFrame:
-    """keys, kind, word_value, pdf_value, changed: one row for each kind that either text (w_text, p_text) has."""
+    """keys, kind, word_value, pdf_value, changed: one row for each kind that either text (w_text, p_text) has; equal texts are searched once."""
     norm = lambda c: normalize_text(F.col(c), unicode)
     both = pairs.select(*keys, norm("w_text").alias("wn"), norm("p_text").alias("pn"))
-    both = both.select(*keys, V.elements(F.col("wn"), with_keywords).alias("w"), V.elements(F.col("pn"), with_keywords).alias("p"))
+    found = both.select(*keys, "wn", "pn", V.elements(F.col("wn"), with_keywords).alias("w"))
+    both = found.select(*keys, "w", F.when(F.col("wn") == F.col("pn"), F.col("w")).otherwise(V.elements(F.col("pn"), with_keywords)).alias("p"))
     kinds = F.array_sort(F.array_union(F.transform("w", lambda e: e["kind"]), F.transform("p", lambda e: e["kind"])))
     value = lambda side, k: F.array_join(F.flatten(F.transform(F.filter(side, lambda e: e["kind"] == k), lambda e: e["vals"])), " | ")
     rows = both.select(*keys, "w", "p", F.explode(kinds).alias("kind"))
@@ -67,12 +68,6 @@ def unmatched_risk(number: Column) -> Column:
     return F.when(F.coalesce(number, F.lit("")) != "", "high").otherwise("low")
 
 
-def text_similarity(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``cos``: the bag cosine of w_text and p_text; equal texts get 1 and never reach the kernel."""
-    same = F.col("w_text").eqNullSafe(F.col("p_text"))
-    return pairs.where(same).withColumn("cos", F.lit(1.0)).unionByName(pairs.where(~same).withColumn("cos", bag_cosine("w_text", "p_text")))
-
-
 def table_changes(paired: DataFrame, unicode: bool = True) -> DataFrame:
     """pair_id, align_idx, table_change (the first one) and table_kinds (one for each changed value of a cell) of w_tables and p_tables."""
     keys = [PAIR, "align_idx"]
@@ -83,37 +78,37 @@ def table_changes(paired: DataFrame, unicode: bool = True) -> DataFrame:
 
 
 def differences(alignments: DataFrame, clauses: DataFrame, identical: float = 0.98, modified: float = 0.85, unicode: bool = True) -> DataFrame:
-    """Each alignment with status, risk_level and changed_kinds; covered fragments must be gone already.
+    """Each alignment with status, risk_level and changed_kinds, in one pass; covered fragments must be gone already.
 
-    The similarity of number pairs is taken from the texts; field and semantic
-    pairs keep the one of the alignment. Clauses with ``tables`` are compared
-    cell by cell too, and the tables stay in the result for their segments.
+    Clause texts are normal (``segment`` makes them so); ``unicode`` holds for
+    table cells. The similarity of number pairs is taken from the texts; field
+    and semantic pairs keep the one of the alignment. Equal texts reach neither
+    the value patterns nor the kernel. Clauses with ``tables`` are compared cell
+    by cell too, and the tables stay in the result for their segments.
     """
     both = sides(alignments, clauses)
-    paired = both.where("word_clause_ord is not null and pdf_clause_ord is not null")
+    w, p = F.col("word_clause_ord").isNotNull(), F.col("pdf_clause_ord").isNotNull()
+    odd = w & p & ~F.col("w_text").eqNullSafe(F.col("p_text"))
     tables = ["w_tables", "p_tables"] if "tables" in clauses.columns else []
-    found = table_changes(paired, unicode) if tables else None
-    paired = text_similarity(paired)
-    value = F.when(F.col("match_type") == "number", F.col("cos")).otherwise(F.col("similarity"))
+    change, more = F.lit(""), F.array().cast("array<string>")
+    if tables:
+        both = both.join(table_changes(both.where(w & p), unicode), [PAIR, "align_idx"], "left")
+        change, more = F.col("table_change"), F.coalesce("table_kinds", more)
+    number = odd & (F.col("match_type") == "number")
+    text = lambda c: F.when(number, F.col(c))
+    both = both.withColumn("__cos", bag_cosine(text("w_text"), text("p_text")))
+    value = F.when(number, F.col("__cos")).when(w & p & (F.col("match_type") == "number"), 1.0).otherwise(F.col("similarity"))
+    none = F.array().cast("array<struct<kind: string, vals: array<string>>>")
+    values = lambda c: F.when(odd, V.elements(normalize_text(F.col(c), False))).otherwise(none)
+    both = both.withColumn("similarity", value).withColumn("__w", values("w_text")).withColumn("__p", values("p_text"))
     kinds = lambda es: F.transform(es, lambda e: e["kind"])
-    paired = paired.withColumn("__wn", normalize_text(F.col("w_text"), unicode)).withColumn("__pn", normalize_text(F.col("p_text"), unicode))
-    paired = paired.withColumn("__w", V.elements(F.col("__wn"))).withColumn("__p", V.elements(F.col("__pn")))
-    same = lambda e, es: F.exists(es, lambda x: (x["kind"] == e["kind"]) & (x["vals"] == e["vals"]))
-    odd = F.array_sort(F.array_union(kinds(F.filter("__w", lambda e: ~same(e, F.col("__p")))), kinds(F.filter("__p", lambda e: ~same(e, F.col("__w"))))))
-    paired = paired.withColumn("changed_kinds", odd).withColumn("similarity", value)
-    change = F.lit("")
-    if found is not None:
-        paired, change = paired.join(found, [PAIR, "align_idx"], "left"), F.col("table_change")
-        paired = paired.withColumn("changed_kinds", F.concat("changed_kinds", F.coalesce("table_kinds", F.array().cast("array<string>"))))
+    lone = lambda es, others: F.filter(es, lambda e: ~F.array_contains(others, e))
+    both = both.withColumn("changed_kinds", F.concat(F.array_sort(F.array_union(kinds(lone("__w", F.col("__p"))), kinds(lone("__p", F.col("__w"))))), more))
     verdict = classify(F.col("w_text"), F.col("p_text"), F.col("similarity"), F.size("changed_kinds") > 0, change, identical, modified)
-    paired = paired.withColumn("v", verdict)
-    alone = both.where("word_clause_ord is null or pdf_clause_ord is null")
-    status = F.when(F.col("word_clause_ord").isNull(), "added").otherwise("deleted")
-    alone = alone.withColumn("v", F.struct(status.alias("status"), unmatched_risk(F.coalesce("w_number", "p_number")).alias("risk_level")))
-    alone = alone.withColumn("changed_kinds", F.array().cast("array<string>"))
-    columns = [PAIR, "align_idx", "match_type", "similarity", "word_clause_ord", "pdf_clause_ord", F.coalesce("w_number", "p_number").alias("number"),
-               F.coalesce("w_title", "p_title").alias("title"), "w_text", "p_text", "changed_kinds", F.col("v.status").alias("status"), F.col("v.risk_level").alias("risk_level"), *tables]
-    return paired.select(*columns).unionByName(alone.select(*columns))
+    alone = F.struct(F.when(w, "deleted").otherwise("added").alias("status"), unmatched_risk(F.coalesce("w_number", "p_number")).alias("risk_level"))
+    both = both.withColumn("v", F.when(w & p, verdict).otherwise(alone))
+    return both.select(PAIR, "align_idx", "match_type", "similarity", "word_clause_ord", "pdf_clause_ord", F.coalesce("w_number", "p_number").alias("number"),
+                       F.coalesce("w_title", "p_title").alias("title"), "w_text", "p_text", "changed_kinds", F.col("v.status").alias("status"), F.col("v.risk_level").alias("risk_level"), *tables)
 
 
 def overview(diffs: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from redline.config import CompareConfig
 from redline.functions.kernels import char_diff
+from redline.functions.text import normalize_text
 from redline.lineage import materialized
 from redline.operators import align as A, clauses as C, compare as R, rawdiff as D, tables as B
 
@@ -26,14 +27,22 @@ class Comparison:
 
 def compare(items: DataFrame, diagnostics: DataFrame | None = None, config: CompareConfig | None = None, unicode: bool = True) -> Comparison:
     """Items (pair_id, side, item_ord, kind, heading_level, text, …) to clauses, alignments, diffs and reports."""
-    return compare_clauses(C.segment(items, [PAIR, "side"], unicode), diagnostics, config, unicode)
+    return _compared(C.segment(items, [PAIR, "side"], unicode), diagnostics, config, unicode)
 
 
 def compare_clauses(clauses: DataFrame, diagnostics: DataFrame | None = None, config: CompareConfig | None = None, unicode: bool = True) -> Comparison:
+    """Clauses that were made elsewhere: their texts are made normal first, unless ``unicode`` is False."""
+    if unicode:
+        clauses = clauses.withColumn("text", normalize_text(F.col("text")))
+    return _compared(clauses, diagnostics, config, unicode)
+
+
+def _compared(clauses: DataFrame, diagnostics: DataFrame | None, config: CompareConfig | None, unicode: bool) -> Comparison:
+    """``clauses``: normal texts, for which the later steps need no NFKC; ``unicode`` holds for the cells of tables."""
     config = config or CompareConfig()
     clauses = materialized(clauses)
     alignments = materialized(A.align(clauses, config.align_similarity_bag, config.neighbourhood, config.semantic))
-    hidden = A.covered(alignments, clauses, config.fragment_min_chars, unicode)
+    hidden = A.covered(alignments, clauses, config.fragment_min_chars, unicode=False)
     seen = alignments.join(hidden, [PAIR, "align_idx"], "left_anti")
     diffs = materialized(R.differences(seen, clauses, config.similarity_identical, config.similarity_modified, unicode))
     reports = R.overview(diffs, [PAIR])

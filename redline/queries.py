@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from redline import fixtures as X
-from redline.functions import geometry as G, text as T
+from redline.functions import geometry as G, text as T, values as V
 from redline.functions.kernels import char_diff
 from redline.lineage import materialized
 from redline.operators import align as A, clauses as C, compare as R, layout as L, locate as P, rawdiff as D, recognition as Q, tables as B
@@ -47,10 +47,10 @@ def plain_alignment(clauses: DataFrame) -> DataFrame:
 
 # --- SQL parts ---------------------------------------------------------------
 
-CLAUSES_SQL = f"clauses AS ({X.duckdb_sql(X.CONTRACTS)})"
+CLAUSES_SQL = f"clauses AS MATERIALIZED ({X.duckdb_sql(X.CONTRACTS)})"
 SPLIT_SQL = f"clauses AS ({X.duckdb_sql(X.SPLIT_CONTRACTS)})"
 TURNS_SQL = f"clauses AS ({X.duckdb_sql(X.TURNS)})"
-ALIGN_SQL = """
+LEFT_SQL = """
 w AS (SELECT * FROM clauses WHERE side = 'word'), p AS (SELECT * FROM clauses WHERE side = 'pdf'),
 wn AS (SELECT *, row_number() OVER (PARTITION BY pair_id, number, level ORDER BY clause_ord) AS occ FROM w WHERE number <> ''),
 pn AS (SELECT *, row_number() OVER (PARTITION BY pair_id, number, level ORDER BY clause_ord) AS occ,
@@ -65,8 +65,9 @@ pf AS (SELECT *, row_number() OVER (PARTITION BY pair_id, field_key ORDER BY cla
 fld AS (SELECT wf.pair_id, wf.clause_ord AS wo, pf.clause_ord AS po, 'field' AS match_type, wf.grp, wf.occ, 1 AS phase
         FROM wf JOIN pf USING (pair_id, field_key, occ)),
 wr AS (SELECT * FROM wl WHERE NOT EXISTS (SELECT 1 FROM fld WHERE fld.pair_id = wl.pair_id AND fld.wo = wl.clause_ord)),
-pr AS (SELECT * FROM pl WHERE NOT EXISTS (SELECT 1 FROM fld WHERE fld.pair_id = pl.pair_id AND fld.po = pl.clause_ord)),
-al AS (
+pr AS (SELECT * FROM pl WHERE NOT EXISTS (SELECT 1 FROM fld WHERE fld.pair_id = pl.pair_id AND fld.po = pl.clause_ord))"""
+ALIGN_SQL = f"""{LEFT_SQL},
+al AS MATERIALIZED (
   SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY phase, grp, occ) - 1 AS INTEGER) AS align_idx, wo AS word_clause_ord, po AS pdf_clause_ord, match_type,
          CASE WHEN match_type = 'unmatched' THEN 0.0 ELSE 1.0 END AS similarity
   FROM (SELECT * FROM num UNION ALL SELECT * FROM fld
@@ -75,18 +76,18 @@ al AS (
 )"""
 
 
+def _ascii(pattern: str) -> str:
+    """One of the engine's patterns in the dialect of RE2, for texts whose digits and blanks are ASCII."""
+    return pattern.replace("(?U)", "").replace("'", "''")
+
+
 def _values(c: str, kind: str) -> str:
-    patterns = {
-        "amount": [r"[¥￥]\s*[\d,，.]+\s*(?:万元?|元)?", r"[\d,，.]+\s*(?:万元|元)", r"[壹贰叁肆伍陆柒捌玖拾佰仟万亿零整圆]{2,}元?"],
-        "date": [r"\d{4}\s*年\s*\d{1,2}\s*月(?:\s*\d{1,2}\s*日)?", r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", r"\d+\s*个?\s*(?:工作日|天|日|个月|月)"],
-        "ratio": [r"\d+(?:\.\d+)?\s*%", r"百分之[一二三四五六七八九十百\d]+"],
-        "breach": ["违约|赔偿|滞纳金|罚息"], "jurisdiction": ["诉讼|仲裁|管辖|法院"], "effective": ["生效|解除|终止"],
-    }[kind]
-    found = " || ".join(f"regexp_extract_all({c}, '{p}')" for p in patterns)
+    patterns = V.PATTERNS.get(kind) or ["|".join(V.KEYWORDS[kind])]
+    found = " || ".join(f"regexp_extract_all({c}, '{_ascii(p)}')" for p in patterns)
     return f"list_sort(list_distinct(list_transform({found}, lambda v: regexp_replace(v, '\\s+', '', 'g'))))"
 
 
-KINDS = ["amount", "breach", "date", "effective", "jurisdiction", "ratio"]
+KINDS = sorted([*V.PATTERNS, *V.KEYWORDS])
 
 
 def _elements(source: str, text: str, keys: str, kinds: list[str] = KINDS) -> str:
@@ -94,14 +95,14 @@ def _elements(source: str, text: str, keys: str, kinds: list[str] = KINDS) -> st
 
 
 PAIRED_SQL = """
-paired AS (
+paired AS MATERIALIZED (
   SELECT al.pair_id, al.align_idx, al.match_type, al.similarity, w.text AS w_text, p.text AS p_text, w.number
   FROM al JOIN w ON w.pair_id = al.pair_id AND w.clause_ord = al.word_clause_ord JOIN p ON p.pair_id = al.pair_id AND p.clause_ord = al.pdf_clause_ord
 )"""
 CHANGES_SQL = f"""
 we AS (SELECT * FROM ({_elements("paired", "w_text", "pair_id, align_idx")}) WHERE v IS NOT NULL AND v <> ''),
 pe AS (SELECT * FROM ({_elements("paired", "p_text", "pair_id, align_idx")}) WHERE v IS NOT NULL AND v <> ''),
-changes AS (
+changes AS MATERIALIZED (
   SELECT coalesce(we.pair_id, pe.pair_id) AS pair_id, coalesce(we.align_idx, pe.align_idx) AS align_idx, coalesce(we.kind, pe.kind) AS kind,
          coalesce(we.v, '') AS word_value, coalesce(pe.v, '') AS pdf_value, coalesce(we.v, '') <> coalesce(pe.v, '') AS changed
   FROM we FULL JOIN pe ON we.pair_id = pe.pair_id AND we.align_idx = pe.align_idx AND we.kind = pe.kind
@@ -116,6 +117,54 @@ def _bag(source: str, keys: str, text: str) -> str:
     )
 
 
+#: What numbers and fields leave, matched one pdf clause after another: the best free word clause near it, or else the best free one.
+SEMANTIC_SQL = f"""{LEFT_SQL},
+wpos AS (SELECT pair_id, clause_ord, text, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY clause_ord) - 1 AS INTEGER) AS pos FROM wr),
+ppos AS (SELECT pair_id, clause_ord, text, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY clause_ord) - 1 AS INTEGER) AS pos FROM pr),
+wbag AS ({_bag("wpos", "pair_id, pos", "text")}), pbag AS ({_bag("ppos", "pair_id, pos", "text")}),
+wnorm AS (SELECT pair_id, pos, sqrt(sum(n * n)) AS q FROM wbag GROUP BY ALL), pnorm AS (SELECT pair_id, pos, sqrt(sum(n * n)) AS q FROM pbag GROUP BY ALL),
+shared AS (SELECT p.pair_id, p.pos AS pi, w.pos AS wi, sum(p.n * w.n) AS dot FROM pbag p JOIN wbag w USING (pair_id, term) GROUP BY ALL),
+cand AS MATERIALIZED (
+  SELECT p.pair_id, p.pos AS pi, w.pos AS wi, coalesce(dot / (wnorm.q * pnorm.q), 0) AS sim
+  FROM ppos p JOIN wpos w USING (pair_id) LEFT JOIN shared s ON s.pair_id = p.pair_id AND s.pi = p.pos AND s.wi = w.pos
+  LEFT JOIN wnorm ON wnorm.pair_id = p.pair_id AND wnorm.pos = w.pos LEFT JOIN pnorm ON pnorm.pair_id = p.pair_id AND pnorm.pos = p.pos
+),
+turn AS (
+  SELECT pair_id, 0 AS p, CAST([] AS INTEGER[]) AS used, CAST(NULL AS INTEGER) AS wi, CAST(0 AS DOUBLE) AS sim FROM cand GROUP BY pair_id
+  UNION ALL
+  SELECT pair_id, p + 1, CASE WHEN best >= 0.7 THEN list_append(used, took) ELSE used END, CASE WHEN best >= 0.7 THEN took END, greatest(best, 0.0)
+  FROM (
+    SELECT pair_id, p, used, CASE WHEN near >= 0.7 OR near = far THEN near_wi ELSE far_wi END AS took, CASE WHEN near >= 0.7 OR near = far THEN near ELSE coalesce(far, -1.0) END AS best
+    FROM (
+      SELECT t.pair_id, t.p, t.used, max(c.sim) FILTER (abs(c.wi - c.pi) <= 5) AS near, arg_max(c.wi, (c.sim, -c.wi)) FILTER (abs(c.wi - c.pi) <= 5) AS near_wi,
+             max(c.sim) AS far, arg_max(c.wi, (c.sim, -c.wi)) AS far_wi
+      FROM turn t JOIN (SELECT pair_id, max(pi) AS last FROM cand GROUP BY pair_id) n ON n.pair_id = t.pair_id AND t.p <= n.last
+      LEFT JOIN cand c ON c.pair_id = t.pair_id AND c.pi = t.p AND NOT list_contains(t.used, c.wi)
+      GROUP BY t.pair_id, t.p, t.used
+    ) a
+  ) b
+),
+taken AS MATERIALIZED (SELECT pair_id, p - 1 AS pi, wi, sim FROM turn WHERE p > 0),
+rest AS (
+  SELECT p.pair_id, w.clause_ord AS wo, p.clause_ord AS po, CASE WHEN w.clause_ord IS NULL THEN 'unmatched' ELSE 'semantic' END AS match_type, coalesce(t.sim, 0.0) AS similarity
+  FROM ppos p LEFT JOIN taken t ON t.pair_id = p.pair_id AND t.pi = p.pos LEFT JOIN wpos w ON w.pair_id = t.pair_id AND w.pos = t.wi
+),
+al AS MATERIALIZED (
+  SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY phase, grp, occ) - 1 AS INTEGER) AS align_idx, wo AS word_clause_ord, po AS pdf_clause_ord, match_type, similarity
+  FROM (SELECT pair_id, wo, po, match_type, grp, occ, phase, 1.0 AS similarity FROM num UNION ALL SELECT pair_id, wo, po, match_type, grp, occ, phase, 1.0 FROM fld
+        UNION ALL SELECT pair_id, wo, po, match_type, po, 1, 2, similarity FROM rest
+        UNION ALL SELECT pair_id, clause_ord, NULL, 'unmatched', clause_ord, 1, 3, 0.0 FROM wpos w WHERE NOT EXISTS (SELECT 1 FROM rest r WHERE r.pair_id = w.pair_id AND r.wo = w.clause_ord)) u
+)"""
+#: Unmatched fragments that the partner of a paired neighbour contains.
+COVERED_SQL = """
+alone AS (SELECT al.pair_id, align_idx, 'word' AS side, w.clause_ord, w.text FROM al JOIN w ON w.pair_id = al.pair_id AND w.clause_ord = al.word_clause_ord WHERE pdf_clause_ord IS NULL
+ UNION ALL SELECT al.pair_id, align_idx, 'pdf', p.clause_ord, p.text FROM al JOIN p ON p.pair_id = al.pair_id AND p.clause_ord = al.pdf_clause_ord WHERE word_clause_ord IS NULL),
+covered AS MATERIALIZED (
+  SELECT DISTINCT a.pair_id, a.align_idx FROM alone a JOIN al b ON b.pair_id = a.pair_id AND b.word_clause_ord IS NOT NULL AND b.pdf_clause_ord IS NOT NULL
+   AND abs((CASE a.side WHEN 'word' THEN b.word_clause_ord ELSE b.pdf_clause_ord END) - a.clause_ord) = 1
+  JOIN clauses c ON c.pair_id = a.pair_id AND c.side <> a.side AND c.clause_ord = (CASE a.side WHEN 'word' THEN b.pdf_clause_ord ELSE b.word_clause_ord END)
+  WHERE length(a.text) >= 4 AND contains(c.text, a.text)
+)"""
 DIFFS_SQL = f"""
 wb AS ({_bag("paired", "pair_id, align_idx", "w_text")}), pb AS ({_bag("paired", "pair_id, align_idx", "p_text")}),
 dots AS (SELECT wb.pair_id, wb.align_idx, sum(wb.n * pb.n) AS dot FROM wb JOIN pb USING (pair_id, align_idx, term) GROUP BY ALL),
@@ -126,24 +175,25 @@ judged AS (
   SELECT x.pair_id, x.align_idx, x.number, coalesce(k.n_changed, 0) AS n_changed,
          CASE WHEN w_text = p_text THEN 'identical/none' WHEN o.pair_id IS NOT NULL THEN 'modified/high' WHEN sim >= 0.98 THEN 'identical/none'
               WHEN sim < 0.85 THEN 'modified/medium' ELSE 'modified/low' END AS v
-  FROM (SELECT paired.*, CASE WHEN match_type = 'field' THEN similarity WHEN w_text = p_text THEN 1.0 ELSE coalesce(dot, 0) / (wq.q * pq.q) END AS sim
+  FROM (SELECT paired.*, CASE WHEN match_type <> 'number' THEN similarity WHEN w_text = p_text THEN 1.0 ELSE coalesce(dot, 0) / (wq.q * pq.q) END AS sim
         FROM paired LEFT JOIN dots USING (pair_id, align_idx) LEFT JOIN wq USING (pair_id, align_idx) LEFT JOIN pq USING (pair_id, align_idx)) x
   LEFT JOIN odd o USING (pair_id, align_idx) LEFT JOIN kinds k USING (pair_id, align_idx)
 ),
-diffs AS (
+diffs AS MATERIALIZED (
   SELECT pair_id, align_idx, split_part(v, '/', 1) AS status, split_part(v, '/', 2) AS risk_level, number, n_changed FROM judged
   UNION ALL
   SELECT al.pair_id, al.align_idx, CASE WHEN word_clause_ord IS NULL THEN 'added' ELSE 'deleted' END,
          CASE WHEN coalesce(w.number, p.number) <> '' THEN 'high' ELSE 'low' END, coalesce(w.number, p.number), 0
   FROM al LEFT JOIN w ON w.pair_id = al.pair_id AND w.clause_ord = al.word_clause_ord LEFT JOIN p ON p.pair_id = al.pair_id AND p.clause_ord = al.pdf_clause_ord
-  WHERE word_clause_ord IS NULL OR pdf_clause_ord IS NULL
+  WHERE (word_clause_ord IS NULL OR pdf_clause_ord IS NULL) AND NOT EXISTS (SELECT 1 FROM covered c WHERE c.pair_id = al.pair_id AND c.align_idx = al.align_idx)
 )"""
-FULL_SQL = f"WITH {CLAUSES_SQL}, {ALIGN_SQL}, {PAIRED_SQL}, {CHANGES_SQL}, {DIFFS_SQL}"
+FULL_SQL = f"WITH RECURSIVE {CLAUSES_SQL}, {SEMANTIC_SQL}, {COVERED_SQL}, {PAIRED_SQL}, {CHANGES_SQL}, {DIFFS_SQL}"
 RANK_SQL = "CASE risk_level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 
 
 def _compared(spark: SparkSession, sf_dir: str):
-    return compare_clauses(contracts(spark, sf_dir), config=CompareConfig(semantic=False, fragment_min_chars=1000), unicode=False)
+    """The contracts by the whole comparison, as it stands without any option."""
+    return compare_clauses(contracts(spark, sf_dir))
 
 
 # --- contracts: alignment, comparison, risk ------------------------------------
@@ -183,7 +233,7 @@ def align_stats(spark, sf_dir):
     return A.statistics(plain_alignment(contracts(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH RECURSIVE {CLAUSES_SQL}, {SEMANTIC_SQL} SELECT pair_id, align_idx, word_clause_ord, pdf_clause_ord, match_type, round(similarity, 6) AS similarity FROM al")
 def align_semantic(spark, sf_dir):
     """All four ways of matching, bag vectors included."""
     return A.align(contracts(spark, sf_dir)).select("pair_id", "align_idx", "word_clause_ord", "pdf_clause_ord", "match_type", F.round("similarity", 6).alias("similarity"))
@@ -267,13 +317,7 @@ def webhook_payloads(spark, sf_dir):
     return counts.select("task_id", F.concat(F.lit("{"), F.regexp_replace(body, r'^\{"event_id":"[0-9a-f]{64}",', "")).alias("tail"))
 
 
-@query(f"""WITH {SPLIT_SQL}, {ALIGN_SQL},
-alone AS (SELECT al.pair_id, align_idx, 'word' AS side, w.clause_ord, w.text FROM al JOIN w ON w.pair_id = al.pair_id AND w.clause_ord = al.word_clause_ord WHERE pdf_clause_ord IS NULL
- UNION ALL SELECT al.pair_id, align_idx, 'pdf', p.clause_ord, p.text FROM al JOIN p ON p.pair_id = al.pair_id AND p.clause_ord = al.pdf_clause_ord WHERE word_clause_ord IS NULL)
-SELECT DISTINCT a.pair_id, a.align_idx FROM alone a JOIN al b ON b.pair_id = a.pair_id AND b.word_clause_ord IS NOT NULL AND b.pdf_clause_ord IS NOT NULL
- AND abs((CASE a.side WHEN 'word' THEN b.word_clause_ord ELSE b.pdf_clause_ord END) - a.clause_ord) = 1
-JOIN clauses c ON c.pair_id = a.pair_id AND c.side <> a.side AND c.clause_ord = (CASE a.side WHEN 'word' THEN b.pdf_clause_ord ELSE b.word_clause_ord END)
-WHERE length(a.text) >= 4 AND contains(c.text, a.text)""")
+@query(f"WITH {SPLIT_SQL}, {ALIGN_SQL}, {COVERED_SQL} SELECT * FROM covered")
 def covered_fragments(spark, sf_dir):
     c = X.rows(spark, sf_dir, X.SPLIT_CONTRACTS)
     return A.covered(materialized(plain_alignment(c)), c, unicode=False)
