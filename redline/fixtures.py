@@ -61,16 +61,25 @@ SELECT conv_id - 1 AS pair_id, 'pdf' AS side, CAST(row_number() OVER (PARTITION
 FROM {conversations}
 """
 
-#: Documents and the lower id with which they share most lines of 20 characters or more (two at least),
-#: where a line counts for the lowest id that has it: one candidate for each line, however common it is.
+#: Documents and the lower id with which they share most lines of 20 characters or more (two at least; ties to the lowest).
+#: Documents of equal lines count as one, by the lowest id of them. Two that share two lines share one beside the
+#: commonest line of either, so that line makes no candidates, however many documents have it.
 DOCUMENT_PAIRS = """
 WITH lines AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, {explode_lines} AS line FROM {documents}) x WHERE length(line) >= 20),
-owners AS (SELECT line, min(doc_id) AS base_id FROM lines GROUP BY line),
+alike AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY line_set) AS head, n FROM (SELECT doc_id, {line_set} AS line_set, count(*) AS n FROM lines GROUP BY doc_id) s),
+heads AS (SELECT l.doc_id, l.line FROM lines l JOIN alike a ON a.doc_id = l.doc_id AND a.head = l.doc_id),
+often AS (SELECT line, count(*) AS n FROM heads GROUP BY line HAVING count(*) > 1),
+ranked AS (SELECT h.doc_id, h.line, row_number() OVER (PARTITION BY h.doc_id ORDER BY o.n DESC, h.line) AS rn FROM heads h JOIN often o ON o.line = h.line),
+met AS (SELECT DISTINCT a.doc_id AS base_id, b.doc_id AS head FROM ranked a JOIN ranked b ON a.line = b.line AND a.doc_id <> b.doc_id WHERE b.rn > 1),
 shared AS (
-  SELECT o.base_id, l.doc_id AS cand_id, count(*) AS n FROM lines l JOIN owners o ON l.line = o.line AND o.base_id < l.doc_id
-  GROUP BY o.base_id, l.doc_id HAVING count(*) >= 2
+  SELECT m.base_id, m.head, count(*) AS n FROM met m JOIN ranked a ON a.doc_id = m.base_id JOIN ranked b ON b.doc_id = m.head AND b.line = a.line
+  GROUP BY m.base_id, m.head HAVING count(*) >= 2
 ),
-best AS (SELECT cand_id, base_id, row_number() OVER (PARTITION BY cand_id ORDER BY n DESC, base_id) AS rn FROM shared)
+offered AS (
+  SELECT s.base_id, a.doc_id AS cand_id, s.n FROM shared s JOIN alike a ON a.head = s.head WHERE s.base_id < a.doc_id
+  UNION ALL SELECT head AS base_id, doc_id AS cand_id, n FROM alike WHERE head < doc_id AND n >= 2
+),
+best AS (SELECT cand_id, base_id, row_number() OVER (PARTITION BY cand_id ORDER BY n DESC, base_id) AS rn FROM offered)
 SELECT cand_id AS pair_id, base_id, cand_id FROM best WHERE rn = 1
 """
 
@@ -108,16 +117,25 @@ SELECT user_id AS task_id, CAST(ts AS TIMESTAMP) AS ts, CAST(row_number() OVER (
 FROM {events}
 """
 
-_LINES = {"spark": "explode(split(text, '\\n'))", "duckdb": "unnest(string_split(text, chr(10)))"}
+_ENGINE = {
+    "spark": {"explode_lines": "explode(split(text, '\\n'))", "line_set": "array_join(array_sort(collect_list(line)), '\\n')"},
+    "duckdb": {"explode_lines": "unnest(string_split(text, chr(10)))", "line_set": "array_to_string(list_sort(list(line)), chr(10))"},
+}
+
+
+def _for(engine: str, sql: str) -> str:
+    for name, text in _ENGINE[engine].items():
+        sql = sql.replace("{" + name + "}", text)
+    return sql
 
 
 def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of one of the texts above, over the tables of ``sf_dir``."""
-    names = set(re.findall(r"\{(\w+)\}", sql)) - {"explode_lines"}
-    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
-    return spark.sql(sql.replace("{explode_lines}", _LINES["spark"]), **tables)
+    sql = _for("spark", sql)
+    names = set(re.findall(r"\{(\w+)\}", sql))
+    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 
 def duckdb_sql(sql: str) -> str:
     """The same text for DuckDB, where the tables are views."""
-    return re.sub(r"\{(\w+)\}", r"\1", sql.replace("{explode_lines}", _LINES["duckdb"]))
+    return re.sub(r"\{(\w+)\}", r"\1", _for("duckdb", sql))

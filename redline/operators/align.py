@@ -60,11 +60,71 @@ def bag_similarities(word: DataFrame, pdf: DataFrame) -> DataFrame:
     return dot.select(PAIR, "pi", "wi", (F.col("dot") / (F.col("a") * F.col("b"))).alias("sim"))
 
 
-def dense_similarities(word: DataFrame, pdf: DataFrame, vector: str = "embedding") -> DataFrame:
-    """pair_id, pi, wi, sim of all leftovers of a pair."""
+def window_similarities(word: DataFrame, pdf: DataFrame, reach: int = 5, vector: str = "embedding") -> DataFrame:
+    """pair_id, pi, wi, sim of the positions within ``reach`` of one another: each pdf position meets 2 * reach + 1 places by an equi-join."""
     a = word.select(PAIR, F.col("pos").alias("wi"), F.col(vector).alias("x"))
-    b = pdf.select(PAIR, F.col("pos").alias("pi"), F.col(vector).alias("y"))
-    return a.join(b, PAIR).select(PAIR, "pi", "wi", cosine(F.col("x"), F.col("y")).alias("sim"))
+    near = F.explode(F.sequence(F.greatest(F.col("pos") - reach, F.lit(0)), F.col("pos") + reach))
+    b = pdf.select(PAIR, F.col("pos").alias("pi"), F.col(vector).alias("y"), near.alias("wi"))
+    return a.join(b, [PAIR, "wi"]).select(PAIR, "pi", "wi", cosine(F.col("x"), F.col("y")).alias("sim"))
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Rows of length 1, or 0 where a vector is empty or nothing; shorter ones are filled with 0."""
+    rows = [np.zeros(0) if v is None else np.asarray(v, float) for v in vectors]
+    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)))
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _cogrouped(word: DataFrame, pdf: DataFrame, vector: str, find) -> DataFrame:
+    """``find`` (unit vectors of both sides in order of position -> rows pi, wi, sim) for each pair: vectors travel, not pairs of them."""
+    def run(key: tuple, w: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        ordered = [df.sort_values("pos")[vector] if len(df) else pd.Series([], dtype=object) for df in (w, p)]
+        both = _unit(pd.concat(ordered))
+        made = find(both[: len(w)], both[len(w) :]) if len(p) else []
+        return pd.DataFrame({PAIR: [key[0]] * len(made), "pi": [m[0] for m in made], "wi": pd.array([m[1] for m in made], "Int32"), "sim": [m[2] for m in made]})
+
+    take = lambda df: df.select(PAIR, "pos", vector).groupBy(PAIR)
+    return take(word).cogroup(take(pdf)).applyInPandas(run, f"{PAIR} long, pi int, wi int, sim double")
+
+
+def best_dense(word: DataFrame, pdf: DataFrame, vector: str = "embedding") -> DataFrame:
+    """The best word position of all for each pdf position of pairs with both sides (to 6 places; ties to the lowest), block by block within a pair."""
+    def find(w: np.ndarray, p: np.ndarray) -> list[tuple[int, int, float]]:
+        out = []
+        for at in range(0, len(p) if len(w) else 0, 256):
+            sims = p[at : at + 256] @ w.T
+            best = np.round(sims, 6).argmax(1)
+            out += [(at + i, int(b), float(sims[i, b])) for i, b in enumerate(best)]
+        return out
+
+    return _cogrouped(word, pdf, vector, find)
+
+
+def greedy_dense(word: DataFrame, pdf: DataFrame, threshold: float, reach: int = 5, vector: str = "embedding") -> DataFrame:
+    """As ``greedy`` over vectors: a pdf position looks at its window, and at all word positions only where that fails."""
+    def find(w: np.ndarray, p: np.ndarray) -> list[tuple[int, int | None, float]]:
+        free, out = np.ones(len(w), bool), []
+        for i in range(len(p)):
+            lo, hi = max(0, i - reach), min(len(w), i + reach + 1)
+            found, best = None, -1.0
+            if lo < hi and free[lo:hi].any():
+                near = np.where(free[lo:hi], w[lo:hi] @ p[i], -1.0)
+                found, best = lo + int(near.argmax()), float(near.max())
+            if (found is None or best < threshold) and free.any():
+                row = np.where(free, w @ p[i], -1.0)
+                if row.max() > best:
+                    found, best = int(row.argmax()), float(row.max())
+            if found is not None and best >= threshold:
+                free[found] = False
+            else:
+                found, best = None, max(best, 0.0)
+            out.append((i, found, best))
+        return out
+
+    return _cogrouped(word, pdf, vector, find)
 
 
 def best_in_window(sims: DataFrame, reach: int = 5) -> DataFrame:
@@ -74,10 +134,6 @@ def best_in_window(sims: DataFrame, reach: int = 5) -> DataFrame:
     )
 
 
-def best_overall(sims: DataFrame) -> DataFrame:
-    return sims.groupBy(PAIR, "pi").agg(F.max_by("wi", F.struct("sim", -F.col("wi"))).alias("wi"), F.max("sim").alias("sim"))
-
-
 def assign(pi: np.ndarray, wi: np.ndarray, sim: np.ndarray, n_pdf: int, n_word: int, threshold: float, reach: int) -> list[tuple[int, int | None, float]]:
     """Pdf positions in order, each with the word position it takes (or None) and the similarity.
 

@@ -14,15 +14,47 @@ DELETED_SHADE = "FFCDD2"
 RISK_LABELS = {"high": "高", "medium": "中", "low": "低"}
 
 
+#: Characters of a number that paragraphs are joined by; longer numbers are compared whole after the join.
+PREFIX = 24
+
+
 def numbered_candidates(targets: DataFrame, paragraphs: DataFrame, unicode: bool = True) -> DataFrame:
-    """Paragraphs whose compact text starts with the target's number: pair_id, target_id, para_ord, n (how many)."""
-    p = paragraphs.select(PAIR, "para_ord", compact(F.col("text"), unicode).alias("c"))
+    """Paragraphs whose compact text starts with the target's number: pair_id, target_id, para_ord, n (how many).
+
+    A paragraph offers its beginnings that no letter or digit goes on from, so numbers meet them by an equi-join.
+    """
+    c, at = F.col("c"), F.col("at")
+    p = paragraphs.select(PAIR, "para_ord", F.substring(compact(F.col("text"), unicode), 1, 10 * PREFIX).alias("c"))
+    p = p.select("*", F.explode(F.sequence(F.lit(1), F.least(F.length("c"), F.lit(PREFIX)))).alias("at")).where("c <> ''")
+    p = p.where((at == PREFIX) | ~c.substr(at + 1, F.lit(1)).rlike("^[0-9A-Za-z]")).withColumn("head", c.substr(F.lit(1), at))
     t = targets.where("number <> ''").select(PAIR, "target_id", compact(F.col("number"), unicode).alias("number"))
-    hit = t.join(p, PAIR).where(starts_with_number(F.col("c"), F.col("number")))
+    hit = t.withColumn("head", F.substring("number", 1, PREFIX)).join(p, [PAIR, "head"]).where(starts_with_number(c, F.col("number")))
     n = hit.groupBy(PAIR, "target_id").agg(F.count("*").alias("n"))
     return hit.select(PAIR, "target_id", "para_ord").join(n, [PAIR, "target_id"])
 
 
+def containing(texts: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text", passage: str = "passage", how: str = "left_semi") -> DataFrame:
+    """The rows of ``texts`` that contain a passage, or (``left_anti``) none.
+
+    A passage is found by three words from within it, by which it meets texts in
+    an equi-join, and then compared whole. Passages of fewer inner words are
+    looked for in every text. Null texts and passages contain and are nothing.
+    """
+    words = lambda c: F.split(F.col(c), r"\s+")
+    wanted = passages.select(F.col(passage).alias("__passage")).where("__passage is not null").distinct().withColumn("__w", words("__passage"))
+    long = wanted.where(F.size("__w") >= 5).withColumn("__gram", F.array_join(F.slice("__w", 2, 3), " ")).drop("__w")
+    short = wanted.where(F.size("__w") < 5).select("__passage")
+    told = texts.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where("__text is not null").withColumn("__w", words("__text"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("__w", i, 3), " "))
+    met = told.select("__key", "__text", F.explode(F.array_distinct(grams)).alias("__gram")).join(long, "__gram").where(F.contains("__text", "__passage"))
+    mark = lambda c: F.xxhash64(c)
+    found = met.select("__key", mark("__text").alias("__mark")).unionByName(
+        told.join(short, F.contains("__text", "__passage"), "left_semi").select("__key", mark("__text").alias("__mark"))
+    )
+    on = F.col(key).eqNullSafe(F.col("__key")) & (mark(text) == F.col("__mark"))
+    return texts.join(found.distinct(), on, how)
+
+
 def locate(targets: DataFrame, paragraphs: DataFrame, threshold: float = 0.5, unicode: bool = True) -> DataFrame:
     """pair_id, target_id, para_ord (null: nowhere).
 

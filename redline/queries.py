@@ -331,30 +331,27 @@ s AS (SELECT p.pair_id, p.pos AS pi, w.pos AS wi, list_cosine_similarity(CAST(w.
   FROM v p JOIN v w ON p.pair_id = w.pair_id AND p.side = 'pdf' AND w.side = 'word')"""
 
 
-def _similarities(spark, sf_dir):
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     side = F.when(F.col("vec_id") % 2 == 0, "word").otherwise("pdf")
     order = Window.partitionBy("label", F.col("vec_id") % 2).orderBy("vec_id")
     v = read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("pair_id"), side.alias("side"), "embedding", (F.row_number().over(order) - 1).alias("pos"))
-    return v, A.dense_similarities(v.where("side = 'word'"), v.where("side = 'pdf'"))
+    return v.where("side = 'word'"), v.where("side = 'pdf'")
 
 
 @query(f"""WITH {VECTORS_SQL} SELECT CAST(pair_id AS BIGINT) AS pair_id, pi, arg_max(wi, (round(sim, 6), -wi)) AS wi, round(max(sim), 6) AS sim FROM s WHERE abs(wi - pi) <= 5 GROUP BY pair_id, pi""")
 def leftover_semantic_window(spark, sf_dir):
-    _, s = _similarities(spark, sf_dir)
-    return A.best_in_window(s.withColumn("sim", F.round("sim", 6)))
+    found = A.window_similarities(*_vectors(spark, sf_dir))
+    return A.best_in_window(found.withColumn("sim", F.round("sim", 6)))
 
 
 @query(f"""WITH {VECTORS_SQL} SELECT CAST(pair_id AS BIGINT) AS pair_id, pi, arg_max(wi, (round(sim, 6), -wi)) AS wi, round(max(sim), 6) AS sim FROM s GROUP BY pair_id, pi""")
 def leftover_semantic_global(spark, sf_dir):
-    _, s = _similarities(spark, sf_dir)
-    return A.best_overall(s.withColumn("sim", F.round("sim", 6)))
+    return A.best_dense(*_vectors(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
 @query()
 def semantic_greedy_assignment(spark, sf_dir):
-    v, s = _similarities(spark, sf_dir)
-    sizes = v.groupBy("pair_id").agg(F.count_if(F.col("side") == "pdf").alias("n_pdf"), F.count_if(F.col("side") == "word").alias("n_word"))
-    return A.greedy(s, sizes, 0.3).withColumn("sim", F.round("sim", 6))
+    return A.greedy_dense(*_vectors(spark, sf_dir), 0.3).withColumn("sim", F.round("sim", 6))
 
 
 # --- document pairs: lines, anchors, hunks --------------------------------------
@@ -445,21 +442,17 @@ def bag_cosine_docs(spark, sf_dir):
 
 
 def _passages(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    # a bounded reference list: every passage is looked for in every text
-    return docs, F.broadcast(read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")))
+    return read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select(F.col("text").alias("passage"))
 
 
 @query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
 def containment_semi(spark, sf_dir):
-    docs, passages = _passages(spark, sf_dir)
-    return docs.join(passages, F.contains("text", "passage"), "left_semi").select("doc_id")
+    return P.containing(*_passages(spark, sf_dir)).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))")
 def containment_anti(spark, sf_dir):
-    docs, passages = _passages(spark, sf_dir)
-    return docs.join(passages, F.contains("text", "passage"), "left_anti").select("doc_id")
+    return P.containing(*_passages(spark, sf_dir), how="left_anti").select("doc_id")
 
 
 # --- patterns on fixed lines ------------------------------------------------------
@@ -570,14 +563,15 @@ def cell_element_changes(spark, sf_dir):
 @query(f"""WITH {LONG_SQL}, r AS (SELECT pair_id, side, max(row_index) + 1 AS n FROM cells GROUP BY pair_id, side),
 f AS (SELECT pair_id, row_index, col_index, col_header, coalesce(w.cell, '') AS a, coalesce(p.cell, '') AS b, w.cell IS NULL AS no_word, p.cell IS NULL AS no_pdf
  FROM (SELECT * FROM long WHERE side = 'word') w FULL JOIN (SELECT * FROM long WHERE side = 'pdf') p USING (pair_id, row_index, col_index, col_header)),
-sides AS (SELECT pair_id, count(*) AS n FROM r GROUP BY pair_id),
+sides AS (SELECT pair_id, count(*) AS n, bool_or(side = 'word') AS has_word FROM r GROUP BY pair_id),
 c AS (SELECT f.pair_id, row_index, CASE WHEN no_word OR no_pdf THEN -1 ELSE col_index END AS col_index,
   CASE WHEN no_pdf THEN 'row_missing' WHEN no_word THEN 'row_added' WHEN b = '' THEN 'cell_missing' WHEN a = '' THEN 'cell_added' ELSE 'cell_changed' END AS change,
   CASE WHEN no_word OR no_pdf THEN '' ELSE col_header END AS col_header FROM f JOIN sides ON sides.pair_id = f.pair_id AND sides.n = 2 WHERE no_word OR no_pdf OR a <> b)
-SELECT pair_id, 0 AS table_index, row_index, col_index, change, col_header FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY row_index, col_index) AS rn FROM c) WHERE rn = 1""")
+SELECT pair_id, 0 AS table_index, row_index, col_index, change, col_header FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY row_index, col_index) AS rn FROM c) WHERE rn = 1
+UNION ALL SELECT pair_id, -1, -1, -1, CASE WHEN has_word THEN 'table_missing' ELSE 'table_added' END, '' FROM sides WHERE n = 1""")
 def first_table_change(spark, sf_dir):
     word, pdf = (order_tables(spark, sf_dir, s).withColumn("table_index", F.lit(0)) for s in ("word", "pdf"))
-    return B.first_change(word, pdf, ["pair_id"], unicode=False).where("change not in ('table_missing', 'table_added')")
+    return B.first_change(word, pdf, ["pair_id"], unicode=False)
 
 
 @query()
