@@ -68,13 +68,22 @@ def unmatched_risk(number: Column) -> Column:
     return F.when(F.coalesce(number, F.lit("")) != "", "high").otherwise("low")
 
 
+def _tables(paired: DataFrame) -> list[DataFrame]:
+    return [paired.select(PAIR, "align_idx", F.posexplode(f"{s}_tables").alias("table_index", "tbl")) for s in ("w", "p")]
+
+
+def cell_changes(paired: DataFrame, unicode: bool = True) -> DataFrame:
+    """pair_id, align_idx, kind, word_value, pdf_value of the changed values in cells of w_tables and p_tables."""
+    keys = [PAIR, "align_idx"]
+    cells = B.cell_element_changes(*_tables(paired), [*keys, "table_index"], unicode).where("changed")
+    return cells.select(*keys, "kind", "word_value", "pdf_value")
+
+
 def table_changes(paired: DataFrame, unicode: bool = True) -> DataFrame:
     """pair_id, align_idx, table_change (the first one) and table_kinds (one for each changed value of a cell) of w_tables and p_tables."""
     keys = [PAIR, "align_idx"]
-    w, p = (paired.select(*keys, F.posexplode(f"{s}_tables").alias("table_index", "tbl")) for s in ("w", "p"))
-    first = B.first_change(w, p, keys, unicode).select(*keys, F.col("change").alias("table_change"))
-    cells = B.cell_element_changes(w, p, [*keys, "table_index"], unicode).where("changed")
-    return first.join(cells.groupBy(*keys).agg(F.array_sort(F.collect_list("kind")).alias("table_kinds")), keys, "full")
+    first = B.first_change(*_tables(paired), keys, unicode).select(*keys, F.col("change").alias("table_change"))
+    return first.join(cell_changes(paired, unicode).groupBy(*keys).agg(F.array_sort(F.collect_list("kind")).alias("table_kinds")), keys, "full")
 
 
 def differences(alignments: DataFrame, clauses: DataFrame, identical: float = 0.98, modified: float = 0.85, unicode: bool = True) -> DataFrame:

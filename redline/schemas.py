@@ -1,30 +1,16 @@
-"""Schemas of the data model; each list has an explicit ordinal."""
-
-from pyspark.sql.types import StructType
+"""Types of what is kept or handed over, as DDL; each list has an explicit ordinal or an order of its own."""
 
 TABLE = "struct<headers: array<string>, rows: array<array<string>>>"
 SEGMENTS = "array<struct<op: string, text: string>>"
-
-ITEMS = StructType.fromDDL(
-    f"doc_id long, side string, item_ord int, kind string, heading_level int, page_index int, bbox array<double>, text string, tbl {TABLE}"
-)
-BLOCKS = StructType.fromDDL(
-    f"doc_id long, page_index int, block_ord int, block_id string, label string, bbox array<double>, content string, tbl {TABLE}"
-)
-CLAUSES = StructType.fromDDL(
-    "pair_id long, side string, clause_ord int, clause_id string, level int, number string, title string, text string, field_key string"
-)
-ALIGNMENTS = StructType.fromDDL(
-    "pair_id long, align_idx int, word_clause_ord int, pdf_clause_ord int, match_type string, similarity double"
-)
-PAGE_META = StructType.fromDDL(
-    "doc_id long, page_index int, width_px double, height_px double, pdf_width_pt double, pdf_height_pt double"
-)
-PAGE_DIAG = StructType.fromDDL(
-    "doc_id long, page_index int, source string, reliable boolean, reasons array<string>, char_count int, table_count int"
+REGIONS = "array<struct<page_index: int, bbox: array<double>>>"
+DIFF = (
+    "alignment_id: string, status: string, risk_level: string, risk_reasons: array<string>, judged_by: string, number: string, title: string, "
+    f"segments: {SEGMENTS}, page_regions: {REGIONS}"
 )
-PROGRESS = StructType.fromDDL("task_id long, ts timestamp, seq int, stage string, progress double, status string")
-REPORT = StructType.fromDDL(
-    "pair_id long, overall_risk string, total_alignments long, key_element_changes long, recognition_status string, "
-    "status_counts map<string, long>, risk_distribution map<string, long>"
+#: The report of a pair.
+REPORT = (
+    "pair_id long, overall_risk string, total_alignments long, key_element_changes long, recognition_status string, unreliable_pages array<int>, "
+    "status_counts map<string, long>, risk_distribution map<string, long>, "
+    f"diffs array<struct<{DIFF}>>, unmatched array<struct<{DIFF}>>, "
+    "key_elements array<struct<alignment_id: string, kind: string, word_value: string, pdf_value: string>>"
 )

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from redline.functions.kernels import signer
@@ -67,3 +70,32 @@ def webhook_body(task_id: Column, status: Column, payload: Column) -> Column:
 def signed_webhooks(events: DataFrame, secret: str) -> DataFrame:
     """``events`` (with body) and the X-Signature of each body."""
     return events.withColumn("signature", signer(secret)("body"))
+
+
+def send_event(body: str, signature: str, event_id: str, send: Callable[[str, dict[str, str]], int], waits: tuple[float, ...] = (1, 4, 16), sleep: Callable[[float], None] = time.sleep) -> int:
+    """Attempts made until ``send`` (body and headers -> HTTP status) answered below 300, or 0 if none of them did."""
+    headers = {"Content-Type": "application/json", "X-Signature": signature, "X-Event-Id": event_id}
+    for attempt, wait in enumerate((*waits, None), 1):
+        try:
+            if send(body, headers) < 300:
+                return attempt
+        except (ConnectionError, TimeoutError):
+            pass
+        if wait is not None:
+            sleep(wait)
+    return 0
+
+
+def deliver(signed: DataFrame, send: Callable[[str, dict[str, str]], int], waits: tuple[float, ...] = (1, 4, 16)) -> DataFrame:
+    """event_id, attempts and delivered of signed webhooks (body, signature): each is sent from where it lies, and again after each wait.
+
+    A task that is run again sends again: the receiver knows an event by X-Event-Id.
+    """
+    rows = signed.select(F.get_json_object("body", "$.event_id").alias("event_id"), "body", "signature")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [send_event(b, s, e, send, waits) for e, b, s in zip(batch["event_id"], batch["body"], batch["signature"], strict=True)]
+            yield pd.DataFrame({"event_id": batch["event_id"], "attempts": [n or len(waits) + 1 for n in made], "delivered": [n > 0 for n in made]})
+
+    return rows.mapInPandas(run, "event_id string, attempts int, delivered boolean")

@@ -9,7 +9,9 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from redline.functions.text import normalize_table_text
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _heading = re.compile(r"heading\s*(\d+)", re.I)
@@ -80,10 +82,46 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
                     rows.append({"path": name, "item_ord": 0, "kind": "error", "heading_level": 0, "text": str(e), "tbl": None})
             yield pd.DataFrame(rows, columns=["path", "item_ord", "kind", "heading_level", "text", "tbl"])
 
-    return files.select("path", "content").mapInPandas(run, f"path string, {ITEM}")
+    items = files.select("path", "content").mapInPandas(run, f"path string, {ITEM}")
+    # tables in the form that other sources of tables have, so that two of one content are equal
+    table, whole = F.col("kind") == "table", F.when(F.col("kind") == "table", normalize_table_text(F.col("text"))).otherwise(F.col("text"))
+    rows = F.transform(F.split("text", "\n"), lambda line: F.split(line, r" \| "))
+    tbl = F.when(table, F.struct(F.get(rows, F.lit(0)).alias("headers"), F.slice(rows, 2, F.size(rows)).alias("rows")))
+    return items.withColumn("text", whole).where(~table | (F.col("text") != "")).withColumn("tbl", tbl)
+
+
+def paragraphs(content: bytes) -> list[str]:
+    """All paragraphs of one file, blank ones too: those of the body, then those in cells of tables; shades are set by these places."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
+    if body is None:
+        return []
+    inner = [p for t in body.findall(f"{_W}tbl") for p in t.iter(f"{_W}p")]
+    return [paragraph_text(p) for p in [*body.findall(f"{_W}p"), *inner]]
+
+
+def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
+    """path, para_ord (from 0) and text of the paragraphs of every .docx under ``path``; unreadable files have none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows += [(name, n, text) for n, text in enumerate(paragraphs(content))]
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "para_ord", "text"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, para_ord int, text string")
 
 
 def summary(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Items by kind, characters and table sizes of each document."""
+    """Items by kind, headings by level, characters, table sizes of each document."""
     n = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")
-    return items.groupBy(*keys).agg(n("paragraph"), n("heading"), n("table"), F.sum(F.length("text")).alias("chars"), F.max(F.size("tbl.rows")).alias("most_rows"))
+    level = F.col("heading_level")
+    levels = F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("kind") == "heading", F.struct(level.alias("level"), F.col("__n").alias("n"))))))
+    counted = items.withColumn("__n", F.count("*").over(Window.partitionBy(*keys, "kind", "heading_level")))
+    return counted.groupBy(*keys).agg(n("paragraph"), n("heading"), n("table"), levels.alias("heading_levels"), F.sum(F.length("text")).alias("chars"),
+                                      F.max(F.size("tbl.rows")).alias("most_rows"), F.max(F.size("tbl.headers")).alias("most_columns"))

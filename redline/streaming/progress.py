@@ -77,6 +77,50 @@ def admission(events: DataFrame) -> DataFrame:
     return running.select("task_id", "ts", "step", F.col("running").cast("long").alias("running"))
 
 
+def unseen(events: DataFrame, seen: DataFrame) -> DataFrame:
+    """A reader's next events: those after the last one it has (``seen``: task_id, seq), up to the first terminal one, which is ``final``."""
+    terminal = F.col("status").isin("done", "failed")
+    last = events.groupBy("task_id").agg(F.min(F.when(terminal, F.col("seq"))).alias("__end"))
+    open_ = events.join(last, "task_id").join(seen.select("task_id", F.col("seq").alias("__seen")), "task_id", "left")
+    new = open_.where((F.col("seq") > F.coalesce("__seen", F.lit(-1))) & (F.col("__end").isNull() | (F.col("seq") <= F.col("__end"))))
+    return new.withColumn("final", F.coalesce(F.col("seq") == F.col("__end"), F.lit(False))).drop("__end", "__seen")
+
+
+def tail_stream(events: DataFrame) -> DataFrame:
+    """Each event once as it comes, until the task's terminal one (``final``); what comes after that is left out."""
+    schema = "task_id long, ts timestamp, seq int, stage string, progress double, status string, final boolean"
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, ended = state.get if state.exists else (-1, False)
+        rows = pd.concat(list(batches)).sort_values("seq").drop_duplicates("seq")
+        rows = rows[rows["seq"] > last] if not ended else rows.iloc[:0]
+        rows = rows.assign(final=rows["status"].isin(["done", "failed"]))
+        rows = rows[rows["final"].cumsum() - rows["final"] == 0]
+        if len(rows):
+            last, ended = int(rows["seq"].iloc[-1]), bool(rows["final"].iloc[-1])
+        state.update((last, ended))
+        yield rows[["task_id", "ts", "seq", "stage", "progress", "status", "final"]]
+
+    return events.groupBy("task_id").applyInPandasWithState(run, schema, "last int, ended boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def stage_progress(stage: Column, share: Column) -> Column:
+    """Progress of a task whose present stage is done by ``share``: between the stage's beginning and the next one's."""
+    names = list(STAGE_PROGRESS)
+    ends = {n: STAGE_PROGRESS[names[min(i + 1, len(names) - 1)]] for i, n in enumerate(names)}
+    table = lambda d: F.create_map(*[F.lit(x) for p in d.items() for x in p])
+    begin, end = F.try_element_at(table(STAGE_PROGRESS), stage), F.try_element_at(table(ends), stage)
+    return begin + (end - begin) * F.least(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+
+
+def stage_times(events: DataFrame) -> DataFrame:
+    """Mean, least and most seconds of each stage over all tasks: from a stage's first event to the first of the next."""
+    begun = events.groupBy("task_id", "stage").agg(F.min("ts").alias("ts"))
+    following = F.lead("ts").over(Window.partitionBy("task_id").orderBy("ts", "stage"))
+    spent = begun.withColumn("s", (F.unix_micros(following) - F.unix_micros("ts")) / 1_000_000).where("s is not null")
+    return spent.groupBy("stage").agg(F.count("*").alias("n"), F.avg("s").alias("mean_s"), F.min("s").alias("min_s"), F.max("s").alias("max_s"))
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Events by window and stage; a watermark bounds the state on a stream."""
     marked = events.withWatermark("ts", late) if events.isStreaming else events
