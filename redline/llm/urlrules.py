@@ -10,7 +10,8 @@ key order, in groups that hold a share of the urls and all points.
 
 Rules are the small side: LIMIT holds them, and it is checked. A url host is
 swept first (innermost host that has rules), then its path among that host's
-rules and those of the host's parents.
+own rules, then among those of each parent of that host that has rules: as many
+sweeps as such hosts are nested, and no rule is copied to another host.
 """
 
 from __future__ import annotations
@@ -90,34 +91,30 @@ def merge(urls: DataFrame, key: str, at: DataFrame, out: str, groups: int) -> Da
     return both.withColumn("carried", carried).where("kind = 1").select(*columns, F.col("carried.node").alias(out))
 
 
-def effective_rules(rules: DataFrame) -> DataFrame:
-    """For each host that has rules: its own and its parents' rules, as prefixes of (reversed host, path).
+def own_rules(rules: DataFrame) -> DataFrame:
+    """Each rule once, as a prefix of (reversed host, path): columns rev, prefix and won (a struct whose order is which rule wins).
 
-    Columns rev, prefix, rule, verdict. Where a rule encloses another by path and
-    yet is the longer string, the enclosed one can never win and is left out;
-    of equally long ones the rule of the longer host stays, then the smaller
-    verdict. Doubled rules count once.
+    A longer rule wins (host and path together), of equals that of the longer
+    host; of doubled rules allow stays. Rules without a host, or with a path
+    that no url's path starts with, are left out.
     """
     rs = rules.select(
         F.lower("verdict").alias("verdict"), _lowered(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path")
     ).where("host is not null and (path = '' or startswith(path, '/'))")  # no url's path starts otherwise
-    rs = rs.withColumn("rule", F.concat("host", "path")).withColumn("rev", reversed_host(F.col("host")))
-    rs = rs.withColumn("rank", F.struct(F.length("rule").alias("a"), F.length("host").alias("b")))
-    hosts = rs.select("rev").distinct()
+    rule = F.concat("host", "path")
+    won = F.struct(F.length(rule).alias("length"), F.length("host").alias("of_host"), (F.col("verdict") == "allow").alias("allows"), rule.alias("rule"), "verdict")
+    rs = rs.select(reversed_host(F.col("host")).alias("rev"), "path", won.alias("won"))
+    return rs.groupBy("rev", F.concat("rev", "path").alias("prefix")).agg(F.max("won").alias("won"))
+
+
+def chains(own: DataFrame) -> DataFrame:
+    """For each host that has rules (rev): itself and its parents that have rules, innermost first."""
+    hosts = own.select("rev").distinct()
     labels = F.split("rev", r"\.")
     up = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit(".")))
-    parents = hosts.select(F.col("rev").alias("at"), F.explode(up).alias("rev"))
-    mine = parents.join(rs, "rev").groupBy("at", "path").agg(
-        F.max_by(F.struct("rule", "verdict", "rank"), F.struct("rank", F.col("verdict") == "allow")).alias("r")
-    )
-    mine = mine.select("at", "path", "r.rule", "r.verdict", "r.rank")
-    shorter = F.transform(F.sequence(F.lit(0), F.length("path") - 1), lambda i: F.substring(F.col("path"), F.lit(1), i))
-    within = mine.where(F.length("path") > 0).select("at", "path", "rank", F.explode(shorter).alias("outer"))
-    better = within.alias("w").join(
-        mine.alias("m"), (F.col("w.at") == F.col("m.at")) & (F.col("w.outer") == F.col("m.path")) & (F.col("m.rank") > F.col("w.rank"))
-    ).select("w.at", "w.path").distinct()
-    kept = mine.join(better, ["at", "path"], "left_anti")
-    return kept.select(F.col("at").alias("rev"), F.concat("at", "path").alias("prefix"), "rule", "verdict")
+    parents = hosts.select(F.col("rev").alias("at"), F.explode(up).alias("rev")).join(hosts, "rev")
+    longest = F.sort_array(F.collect_list(F.struct(F.length("rev").alias("n"), "rev")), asc=False)
+    return parents.groupBy("at").agg(F.transform(longest, lambda x: x["rev"]).alias("chain"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow") -> DataFrame:
@@ -133,17 +130,19 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
         raise ValueError(f"{n_rules} rules; at most {LIMIT} are replicated to the groups")
     rest = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     groups = max(1, -(-pages.count() // max(GROUP, 16 * n_rules)))
-    effective = effective_rules(rules)
+    own = own_rules(rules)
+    nested = chains(own)
+    depth = nested.agg(F.max(F.size("chain"))).first()[0] or 0
     row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
     urls = pages.select(row, host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     plain = [f"row.`{c}`" for c, kind in pages.dtypes if c in rest and "map<" not in kind and "variant" not in kind]
     urls = urls.withColumn("uid", F.xxhash64(*plain)).withColumn("key", start_of(reversed_host(F.col("host"))))
-    hosts = points(effective.select("rev").distinct(), "rev")
-    found = merge(urls, "key", hosts, "at", groups)
-    found = found.withColumn("key", start_of(F.concat(F.coalesce("at", F.lit("")), F.col("path"))))
-    none = found.where("at is null").select("row", "host", "path", F.lit(None).cast("string").alias("node"))
-    some = merge(found.where("at is not null"), "key", points(effective.select("prefix"), "prefix"), "node", groups)
-    named = none.unionByName(some.select("row", "host", "path", "node"))
-    names = effective.select(F.col("prefix").alias("node"), "rule", "verdict")
-    judged = named.join(F.broadcast(names), "node", "left")  # bounded by LIMIT, checked above
-    return judged.select("row.*", "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
+    found = merge(urls, "key", points(own.select("rev").distinct(), "rev"), "at", groups)
+    found = found.join(F.broadcast(nested), "at", "left")  # a row for each host that has rules: LIMIT at most, checked above
+    names, paths, won = own.select("prefix", "won"), points(own.select("prefix"), "prefix"), F.lit(None)
+    for d in range(depth):
+        swept = merge(found.withColumn("key", start_of(F.concat(F.get("chain", F.lit(d)), "path"))), "key", paths, "prefix", groups)
+        found = swept.join(F.broadcast(names.withColumnRenamed("won", f"won{d}")), "prefix", "left").drop("prefix")  # LIMIT rules at most
+        won = F.col(f"won{d}") if d == 0 else F.greatest(won, f"won{d}")
+    found = found.withColumn("won", won if depth else F.lit(None).cast("struct<rule: string, verdict: string>"))
+    return found.select("row.*", "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(otherwise)).alias("verdict"))

@@ -158,6 +158,18 @@ def test_random_url_rules(spark):
         assert (r["host"], r["path"], r["verdict"]) == (lambda j: (j[0], j[1], j[3]))(judged(r["url"], rules))
 
 
+def test_many_rules_of_a_parent_and_many_hosts(spark):
+    """Rules of a parent host are not copied to its subdomains' rules: 5,000 of each stay 10,000, and the longest wins."""
+    rules = [("block", "com", f"/p{i}/") for i in range(5000)] + [("allow", f"h{i}.com", "/p7/x") for i in range(5000)]
+    frame = spark.createDataFrame(rules, "verdict string, host string, path string")
+    own = urlrules.own_rules(frame)
+    assert own.count() == 10_000 and urlrules.chains(own).agg(F.max(F.size("chain"))).first()[0] == 2
+    urls = [(i, f"http://h{i}.com/p7/{'x' if i % 2 else 'y'}z") for i in range(0, 5000, 50)] + [(9000, "http://other.com/p4999/"), (9001, "http://other.com/q/")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlrules.judge(spark.createDataFrame(urls, "page_id long, url string"), frame).collect()}
+    assert all(got[i] == ((f"h{i}.com/p7/x", "allow") if i % 2 else ("com/p7/", "block")) for i in range(0, 5000, 50))
+    assert got[9000] == ("com/p4999/", "block") and got[9001] == (None, "allow")
+
+
 def test_no_python_in_the_plan(spark):
     pages = spark.createDataFrame([(1, "http://org/")], "page_id long, url string")
     plan = urlrules.judge(pages, url_rules(spark))._jdf.queryExecution().executedPlan().toString()
