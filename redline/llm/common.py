@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Code points handled together by the numpy kernels; one longer text is handled alone.
 CHUNK_CHARS = 1 << 19
+#: Seconds that Py4J takes to tell the JVM which frames Python let go of.
+WAIT = 1.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +37,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Shuffle files of steps that are checkpointed go from the disks now, not some half an hour later.
+
+    Spark removes them once the driver's JVM has collected all that refers to
+    them: first Python lets go of its frames (Py4J tells the JVM within a
+    second), and plans go in the second collection.
+    """
+    spark.range(1).count()
+    gc.collect()
+    time.sleep(WAIT)
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(WAIT / 3)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that no column of ``df`` has (case is ignored)."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -44,6 +63,12 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those of these names (case is ignored, as Spark ignores it)."""
+    gone = {name.lower() for name in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def crc_fold(key: str, folds: int) -> Column:
     """crc32 of the decimal text of ``key``, modulo ``folds``; null keys fall in fold of the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % folds
@@ -66,7 +91,7 @@ def map_texts(
 
     if isinstance((kind := df.schema[text].dataType), StructType):
         raise TypeError(f"{text} must be a string, not {kind.simpleString()}")
-    chosen = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    chosen = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(free_names(df, "__text")[0]))
     out = StructType([*(df.schema[c] for c in keep), *_parse_datatype_string(schema).fields])
     n = len(keep)
 

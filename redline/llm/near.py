@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from redline.llm.common import Memo, checkpointed, give_back, mix64
+from redline.llm.common import checkpointed, clean_up, give_back, mix64
 
 #: Signature positions compared at a time, members of a bucket that meet in one task.
 BATCH, BLOCK = 32, 1024
@@ -138,106 +138,131 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_keys(members: DataFrame) -> DataFrame:
-    """node, key and hub (the key's least node), each once, of the keys that several nodes have."""
+    """node, key, hub (the key's least node), own (SEVERAL) and apart (true), each once, of the keys that several nodes have."""
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other")
-    return checkpointed(members.join(hubs.select("key", "hub"), "key").select("node", "key", "hub").distinct())
+    found = members.join(hubs.select("key", "hub"), "key").select("node", "key", "hub").distinct()
+    return checkpointed(found.withColumn("own", F.lit(SEVERAL)).withColumn("apart", F.lit(True)))
 
 
-def _small_buckets(members: DataFrame) -> DataFrame:
-    """node, key and n, of the keys that n > 1 nodes have; keys of the same nodes become one, a hash of those.
+#: Stands for several owners; an owner of this very number only makes more candidates.
+SEVERAL = -(1 << 63)
 
-    Members are dealt out once; a row can come once for each of the keys that became one.
+
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """node, key, hub, own and apart of the keys that nodes of different owners have; key and hub are null for a repeated node.
+
+    ``members``: key, node and own, the document that has the node (or SEVERAL);
+    rows can repeat. A key's two low bits are the number of its band. ``hub`` is
+    the key's least node; ``own`` is SEVERAL for nodes of several owners;
+    ``apart``: node and hub are not in one and the same document alone. Nodes of
+    several owners come once more without key and hub, whether or not they meet
+    others. Members are dealt out once, and a bucket passes its task as a
+    stream: what is held of it is its hub and, until a second owner comes, the
+    nodes of its first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, 0), np.int64)
+        held, hubs = np.zeros((3, 0), np.int64), {}  # rows not yet given out; hub and its owner of the key that goes on
         for batch in _with_end(batches):
             if batch is not None:
-                held = np.hstack([held, [batch.column(0).to_numpy(), batch.column(1).to_numpy()]])
-            held = held[:, np.append(True, np.any(held[:, 1:] != held[:, :-1], axis=0))[: held.shape[1]]]
-            cuts = np.append(0, np.flatnonzero(held[0, 1:] != held[0, :-1]) + 1)
-            if batch is None:
-                cuts = np.append(cuts, held.shape[1])
-            sizes = np.diff(cuts)
-            node, held = held[1, : cuts[-1]], held[:, cuts[-1] :]
-            if len(node):
-                several = np.repeat(sizes > 1, sizes)
-                members_hash = mix64(np.add.reduceat(mix64(node.view(np.uint64)), cuts[:-1]) + sizes.astype(np.uint64)).view(np.int64)
-                columns = node, np.repeat(members_hash, sizes), np.repeat(sizes, sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in columns], names=["node", "key", "n"])
+                held = np.hstack([held, [batch.column(i).to_numpy() for i in range(3)]])
+            if not held.shape[1]:
+                continue
+            held = _one_owner(held)
+            key, node, own = held
+            cuts = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+            sizes = np.diff(np.append(cuts, len(key)))
+            hub, first = node[cuts], own[cuts]
+            opened = (sizes > 1) & ((np.minimum.reduceat(own, cuts) != np.maximum.reduceat(own, cuts)) | (first == SEVERAL))
+            if int(key[0]) in hubs:
+                hub[0], first[0] = hubs[int(key[0])]
+                opened[0] = True
+            out, end = np.repeat(opened, sizes), len(key)
+            hubs = {}
+            if batch is not None:  # the last key may go on: its last node always, the others while one owner has them all
+                end = len(key) - 1 if opened[-1] else int(cuts[-1])
+                if opened[-1]:
+                    hubs = {int(key[-1]): (hub[-1], first[-1])}
+            out = np.flatnonzero(out[:end])
+            hub, first = np.repeat(hub, sizes)[out], np.repeat(first, sizes)[out]
+            apart = (own[out] != first) | (first == SEVERAL)
+            again = np.flatnonzero((own[:end] == SEVERAL) & (key[:end] & 3 == 0))
+            columns = [pa.array(node[out]), pa.array(key[out]), pa.array(hub), pa.array(own[out]), pa.array(apart)]
+            empty = [pa.nulls(len(again), pa.int64())] * 2
+            more = [pa.array(node[again]), *empty, pa.array(own[again]), pa.nulls(len(again), pa.bool_())]
+            names = ["node", "key", "hub", "own", "apart"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(more, names=names)
+            held = held[:, end:]
         give_back()
 
-    dealt = members.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "node long, key long, n long")
+    dealt = members.select("key", "node", "own").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "node long, key long, hub long, own long, apart boolean")
 
 
-def link_small(members: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """As ``link`` for items whose sets are as small as signatures: they go to the buckets and are compared there.
-
-    Each bucket gives a forest of exact links; a pair is looked at in its first
-    common bucket, and no more once its components have met there.
-    """
-    shared = _small_buckets(members).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("key", "n"))).alias("buckets"))
-    shared = checkpointed(shared)  # at most one bucket for each band
-    facts = shared.join(sets(shared.select("node")), "node").select("node", "set", "buckets", F.col("node").alias("comp"))
-    met = facts.select("node", "set", "comp", F.col("buckets.key").alias("keys"), F.explode("buckets").alias("x"))
-    met = met.select("node", "set", "comp", "keys", F.col("x.key").alias("key"), F.col("x.n").alias("n"))
-    found = _blocks(met, BLOCK // 4, _exact(None, percent), "a long, b long")
-    return checkpointed(components(checkpointed(found)))
+def _one_owner(rows: np.ndarray) -> np.ndarray:
+    """Sorted rows key, node and own with one row for each key and node: own is SEVERAL if it is not the same throughout."""
+    key, node, own = rows
+    cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+    least, most = np.minimum.reduceat(own, cuts), np.maximum.reduceat(own, cuts)
+    return np.stack([key[cuts], node[cuts], np.where(least == most, least, SEVERAL)])
 
 
-def link(members: DataFrame, signatures: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame],
-         percent: int, length: int, miss: float = 1e-5) -> DataFrame:
+def link(shared: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, signatures: Callable[[DataFrame], DataFrame] | None = None,
+         length: int = 0, miss: float = 1e-5) -> DataFrame:
     """The components (node, comp) of all pairs of nodes that share a band and have 100 * common >= percent * union.
 
-    ``members``: key and node, repeated rows allowed. ``signatures`` gives node
-    (unique) and sig (``length`` uint16 minima) of the nodes (a column node)
-    that share a key with another one; ``sets`` gives node and set
-    (an array of hashes, sorted, without repeats) of the nodes asked for, or of
-    more.
+    ``shared``: node, key and hub of the keys that several nodes have, own and
+    apart (see ``shared_buckets``; nodes of one same document are not linked
+    with one another), checkpointed. ``sets`` gives node and set (an array of
+    hashes, sorted, without repeats) of the nodes asked for, or of more;
+    ``signatures``, if any, node (unique) and sig (``length`` uint16 minima),
+    checkpointed: pairs go to ``sets`` after their sequential verification.
 
     Three steps, each over what the one before left open: a node and the hub it
     shares most bands with; its other hubs; then the members of a bucket of
     different components, exactly, until those that are linked at all are linked.
     """
-    plan = least_matches(percent / 100, length, miss)
-    shared = shared_keys(members)
-    sigs = checkpointed(signatures(checkpointed(shared.select("node").distinct())))
+    plan = least_matches(percent / 100, length, miss) if signatures else None
+    sigs = signatures(shared.select("node").distinct()) if signatures else None
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(_verify_signatures(pairs, sigs, plan))
+        pairs = checkpointed(_verify_signatures(pairs, sigs, plan) if plan else pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         return checkpointed(jaccard_links(pairs, sets(ends), percent))
 
-    def still_open(comps: DataFrame) -> DataFrame:
-        """key, node, comp and the bucket's size n, of buckets that hold several components."""
-        labelled = shared.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        several = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        return labelled.join(several.where("lo <> hi").select("key", "n"), "key")
-
-    star = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("bands"))
-    star = star.select(F.col("node").alias("a"), F.col("hub").alias("b"), "bands")
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
-    links = confirmed(best)
+    star = shared.where("node <> hub and apart").groupBy("node", "hub").agg(F.count("*").alias("bands"))
+    star = checkpointed(star.select(F.col("node").alias("a"), F.col("hub").alias("b"), "bands"))
+    best = lambda: star.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
+    links = confirmed(best())
     comps = checkpointed(components(links))
+    clean_up(shared.sparkSession)
 
-    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"of_{c}"))
-    others = star.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    others = others.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = confirmed(others)
+    def others() -> DataFrame:
+        of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"of_{c}"))
+        both = star.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+        return both.select("a", "b").join(best(), ["a", "b"], "left_anti")
+
+    more = confirmed(others())
     if more.take(1):
         links = links.unionByName(more)
         comps = checkpointed(components(links))
-
-    # in a bucket of two the hub has met the other one; in larger ones the others have not met each other
-    labelled = shared.join(comps, "node", "left").select("key", "node", "hub", F.coalesce("comp", "node").alias("comp"))
-    several = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    several = several.where("lo <> hi and n > 2").select("key", "n")
-    rest = checkpointed(labelled.join(several, "key").where("node <> hub").drop("hub"))
+    clean_up(shared.sparkSession)
+
+    def still_open() -> DataFrame:
+        """The hub has met the others of its bucket; those have not met one another."""
+        labelled = shared.where("node <> hub").join(comps, "node", "left").select("key", "node", "own", F.coalesce("comp", "node").alias("comp"))
+        sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("own").alias("lo"), F.max("own").alias("hi"))
+        several = sizes.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"),
+                                           F.count("*").alias("comps"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        several = several.where((F.col("comps") > 1) & ((F.col("lo") != F.col("hi")) | (F.col("lo") == SEVERAL))).select("key", "n", "most", "main")
+        return labelled.join(several, "key")
+
+    rest = checkpointed(still_open())
     if not rest.take(1):
         return comps
-    keys = rest.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most one for each band
-    facts = checkpointed(keys.join(sigs, "node").join(sets(keys.select("node")), "node"))
+    facts = sets(rest.select("node").distinct())
+    facts = facts.join(sigs, "node") if plan else facts
     found = _blocks(rest.join(facts, "node"), BLOCK // 4, _exact(plan, percent), "a long, b long")
     return checkpointed(components(links.unionByName(checkpointed(found))))
 
@@ -261,14 +286,18 @@ def _verify_signatures(pairs: DataFrame, sigs: DataFrame, plan: list[tuple[int,
 
 
 def _blocks(rest: DataFrame, size: int, kernel: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
-    """``kernel`` over the members of each bucket, in groups of two blocks (or one), so that each pair meets in one group.
+    """``kernel`` over the members of each bucket, in groups of two blocks (or one), so that each pair that can be a link meets in one group.
 
-    Groups are read one after another from sorted partitions: most are tiny.
+    ``most`` of a bucket's ``n`` members are of the component ``main``: they meet the
+    others alone, so that a few others are copied to many blocks of it and it is
+    not copied. Groups are read one after another from sorted partitions: most are tiny.
     """
-    blocks = F.ceil(F.col("n") / size).cast("int")
-    spread = rest.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "n")
+    of_main, of_rest = F.ceil(F.col("most") / size), F.ceil((F.col("n") - F.col("most")) / size)
+    main, at = F.col("comp") == F.col("main"), F.xxhash64("node")
+    mine = F.when(F.col("n") <= size, 0).when(main, of_rest + F.pmod(at, of_main)).otherwise(F.pmod(at, of_rest))
+    last = F.when(F.col("n") <= size, 0).when(main, of_rest - 1).otherwise(of_rest + of_main - 1)
+    spread = rest.withColumn("mine", mine.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    spread = spread.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "n", "most", "main")
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,55 +327,47 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _pairs(group: pa.Table, plan: list[tuple[int, int]] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of the group the later rows of other components that their signatures (if any) don't rule out, and matches."""
-    comp, mine = group["comp"].to_numpy(), group["mine"].to_numpy()
-    if len(comp) < 2 or comp.min() == comp.max():
-        return
-    sig = _signatures(group["sig"].combine_chunks()) if plan else None
-    two = group["i"][0].as_py() != group["j"][0].as_py()
-    for at in range(len(comp) - 1):
-        others = np.flatnonzero(comp[at + 1 :] != comp[at]) + at + 1
-        if two:
-            others = others[mine[others] != mine[at]]
-        if sig is None:
-            if len(others):
-                yield at, others, np.zeros(len(others), int)
-            continue
-        n, least = plan[0]
-        close = others[(sig[others, :n] == sig[at, :n]).sum(1) >= least]
-        close = close[survivors(np.broadcast_to(sig[at], (len(close), sig.shape[1])), sig[close], plan)]
-        if len(close):
-            yield at, close, (sig[close] == sig[at]).sum(1)
-
-
 def _exact(plan: list[tuple[int, int]] | None, percent: int) -> Callable[[pa.Table], pa.Table | None]:
-    """Links that join the components of a group as far as any of its pairs does, each pair in its first common bucket."""
+    """Links that join the components of a group as far as any of its pairs does."""
 
     def run(group: pa.Table) -> pa.Table | None:
-        node, comp, found = group["node"].to_numpy(), group["comp"].to_numpy(), []
-        head: dict[int, int] = {}
-
-        def top(c: int) -> int:
-            while (up := head.get(c, c)) != c:
-                c = up
-            return c
-
-        here, all_keys, sets = group["key"][0].as_py(), group["keys"], group["set"]
-        items = lambda i: sets[int(i)].values.to_numpy()
-        keys = Memo(lambda i: set(all_keys[int(i)].as_py()), len(node) + 1)
-        for at, close, matches in _pairs(group, plan):
-            mine = items(at)
-            for k in np.argsort(-matches, kind="stable").tolist():
-                other = int(close[k])
-                p, q = top(int(comp[at])), top(int(comp[other]))
-                if p == q or min(keys[at] & keys[other]) != here:
+        node, comp, own, mine = (group[c].to_numpy() for c in ("node", "comp", "own", "mine"))
+        root, found = np.unique(comp, return_inverse=True)[1], []
+        if len(node) < 2 or not root.any():
+            return None
+        sig = _signatures(group["sig"].combine_chunks()) if plan else None
+        two = group["i"][0].as_py() != group["j"][0].as_py()
+        sets = group["set"].combine_chunks()
+        sizes, starts, held = sets.value_lengths().to_numpy(), sets.offsets.to_numpy(), None
+        for at in range(len(node) - 1):
+            open_ = root[at + 1 :] != root[at]
+            if own[at] != SEVERAL:
+                open_ &= own[at + 1 :] != own[at]
+            if two:
+                open_ &= mine[at + 1 :] != mine[at]
+            close = np.flatnonzero(open_) + at + 1
+            least, most = sizes[close], np.maximum(sizes[close], sizes[at])
+            close = close[100 * np.minimum(least, sizes[at]) >= percent * most]
+            if plan and len(close):
+                n, matches = plan[0]
+                close = close[(sig[close, :n] == sig[at, :n]).sum(1) >= matches]
+                close = close[survivors(np.broadcast_to(sig[at], (len(close), sig.shape[1])), sig[close], plan)]
+                close = close[np.argsort(-(sig[close] == sig[at]).sum(1), kind="stable")]
+            if not len(close):
+                continue
+            if held is None:
+                items, places = np.unique(sets.values.to_numpy()[starts[0] : starts[-1]], return_inverse=True)
+                starts, held = starts - starts[0], np.zeros(len(items), bool)
+            ours = places[starts[at] : starts[at + 1]]
+            held[ours] = True
+            for other in close.tolist():
+                if root[other] == root[at]:
                     continue
-                theirs = items(other)
-                common = len(np.intersect1d(mine, theirs, assume_unique=True))
-                if 100 * common >= percent * (len(mine) + len(theirs) - common):
-                    head[max(p, q)] = min(p, q)
+                common = np.count_nonzero(held[places[starts[other] : starts[other + 1]]])
+                if 100 * common >= percent * (int(sizes[at]) + int(sizes[other]) - common):
+                    root[root == root[other]] = root[at]
                     found.append((int(node[at]), int(node[other])))
+            held[ours] = False
         return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"]) if found else None
 
     return run

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from redline.llm.common import Memo, checkpointed, map_texts, mix64
-from redline.llm.near import band_keys, hash_family, link, minhash, sized
+from redline.llm.near import band_keys, hash_family, link, minhash, shared_keys, sized
 
 #: Bands and their rows: a pair of similarity 0.8 shares none with probability (1 - 0.8**6)**32 = 6e-5.
 BANDS, ROWS = 32, 6
@@ -94,7 +94,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
 
     def signatures(nodes: DataFrame) -> DataFrame:
         """node, sig, and one row (text hash and key) that the node's text is read from again."""
-        facts = some.join(sized(nodes), "node").groupBy("node").agg(
+        facts = some.join(sized(checkpointed(nodes)), "node").groupBy("node").agg(
             F.first("sig").alias("sig"), F.min(F.struct("tkey", "key")).alias("o")
         )
         known.append(checkpointed(facts.select("node", "sig", "o.tkey", "o.key")))
@@ -117,7 +117,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         return made.groupBy("node").agg(F.first("set").alias("set"))
 
     members = some.select("node", F.explode("bands").alias("key"))
-    comps = link(members, signatures, sets_of, percent, BANDS * ROWS)
+    comps = link(shared_keys(members), sets_of, percent, signatures, BANDS * ROWS)
     light = rows.select("key", "n_shingles", "node")
     named = light.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.where("comp is not null").groupBy("comp").agg(F.min("key").alias("component_id"))
