@@ -20,7 +20,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from redline.llm.common import Memo, map_texts
+from redline.llm.common import Memo, map_texts, without
 
 #: Pre-tokens met twice whose ids a worker remembers, those met once, and ranks of pairs; about 200 bytes each.
 OFTEN, ONCE, PAIRS = 400_000, 250_000, 250_000
@@ -157,7 +157,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    rest = [c for c in df.columns if c != out]
+    rest = without(df, out)
     schema = StructType([*(df.schema[c] for c in rest), StructField(out, BinaryType())])
     at = rest.index(ids)
 
@@ -188,4 +188,4 @@ def _mapped(df: DataFrame, vocabulary: Vocabulary, text: str, schema: str, decod
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each)))
         return [ids] + ([pa.array([b"".join(map(token, x.tolist())) for x in each], pa.binary())] if decoded else [])
 
-    return map_texts(df, text, schema, kernel, [c for c in df.columns if c not in made])
+    return map_texts(df, text, schema, kernel, without(df, *made))

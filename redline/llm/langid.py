@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from redline.llm.common import map_texts, runs, unit_hash
+from redline.llm.common import map_texts, runs, unit_hash, without
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
@@ -68,15 +68,16 @@ def ngrams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-        per_lang: int = 3000, buckets: int = 1 << 15) -> Model:
-    """A model of the languages in ``lang``, from at most about ``per_lang`` texts of each.
+        per_lang: int = 3000, buckets: int = 1 << 15, most_langs: int = 1000) -> Model:
+    """A model of the ``most_langs`` commonest languages in ``lang``, from at most about ``per_lang`` texts of each.
 
     The sample is the rows whose hash of ``key`` falls under per_lang / rows of
     the language: the same rows each time, whole texts, no row cap. Rows whose
     text or language is null teach nothing; without any row the model is empty.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
+    counted = rows.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(most_langs)
+    sizes = {r[lang]: r["n"] for r in counted.collect()}
     langs = sorted(sizes)
     while buckets > 1024 and len(langs) * buckets * 4 > MATRIX_BYTES:
         buckets //= 2
@@ -136,6 +137,6 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
         names = [m.langs[b] if ok else UNKNOWN for b, ok in zip(best, has, strict=True)]
         return [pa.array(names, pa.string()), pa.array(np.where(has, 1 / odds, 0.0))]
 
-    return map_texts(df, text, f"`{lang}` string, `{score}` double", kernel, [c for c in df.columns if c not in (lang, score)])
+    return map_texts(df, text, f"`{lang}` string, `{score}` double", kernel, without(df, lang, score))
 
 

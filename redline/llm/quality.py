@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from redline.llm.common import map_texts, runs, unit_hash
+from redline.llm.common import map_texts, runs, unit_hash, without
 
 #: Kinds of code points that are counted in each line.
 LOWER, UPPER, DIGIT, BLANK, STOP, BAR, OTHER = range(7)
@@ -153,11 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
 
     Line features are made on the executors; what the driver gets is bounded
     by ``per_class``. Rows with a null text or another label teach nothing;
-    without both classes the result is the share of label 1 (0.5 without any).
+    without both classes the result is the share of label 1 (0.5 without any). A
+    key's label counts once, however often it is repeated; of both each counts.
+    Very long texts are handled one at a time.
     """
     marks = labels.where(F.col(label).isin(0, 1)).select(
         F.col(key).alias("__k"), F.col(label).cast("int").alias("y"), unit_hash(F.col(key), seed=4).alias("u")
-    )
+    ).distinct()
     sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return float(1 in sizes) if sizes else 0.5
@@ -197,4 +199,4 @@ def score(df: DataFrame, model: Model | float, text: str = "text", out: str = "s
         p, _, _ = marginals(x @ m.emission, m.transition, of, len(texts))
         return [pa.array(np.bincount(of, p * length, len(texts)) / np.bincount(of, length, len(texts)))]
 
-    return map_texts(df, text, f"`{out}` double", kernel, [c for c in df.columns if c != out])
+    return map_texts(df, text, f"`{out}` double", kernel, without(df, out))

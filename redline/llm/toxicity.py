@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from redline.llm.common import Memo, give_back, map_texts, runs, unit_hash
+from redline.llm.common import Memo, give_back, map_texts, runs, unit_hash, without
 
 BITS = 20
 _word = re.compile(r"\w+")
@@ -95,11 +95,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     the same each time; features are made where the rows are, and one task
     trains over the bounded sample in hash order. The bias is set back for the
     shares. Rows with a null text or another label teach nothing; without both
-    classes each text gets the share of label 1 (0.5 without any).
+    classes each text gets the share of label 1 (0.5 without any). A key's label
+    counts once, however often it is repeated; of both labels each counts.
     """
     marks = labels.where(F.col(label).isin(0, 1)).select(
         F.col(key).alias("__k"), F.col(label).cast("int").alias("y"), unit_hash(F.col(key), seed=8).alias("u")
-    )
+    ).distinct()
     sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         known = sizes.get(1, 0.5 if not sizes else 0)
@@ -155,4 +156,4 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
         total = np.bincount(found >> 21, w[found & ((1 << 21) - 1)], minlength=n) + shared.value.bias
         return [pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))]
 
-    return map_texts(df, text, f"`{out}` double", kernel, [c for c in df.columns if c != out])
+    return map_texts(df, text, f"`{out}` double", kernel, without(df, out))

@@ -79,3 +79,22 @@ def test_run(spark, tables):
 
     first, again = (sorted(map(tuple, pipeline.run(spark, tables[0]).collect()), key=str) for _ in range(2))
     assert first == again and first
+
+
+def test_stages_with_clashing_names_and_empty_tables(spark, tables):
+    """Columns named as the stages' own helpers are, rows without key, text or source, and no rows at all."""
+    sys.path.insert(0, ROOT)
+    import corpus_pipeline as pipeline
+
+    d, _ = tables
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id > 300")
+    docs = docs.unionByName(docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c d e f").alias("text"), "lang", F.lit(None).cast("string").alias("source"), "n_chars"))
+    extra = ["__id", "__toxicity", "__text", "__doc", "__spans", "__key", "__copies", "node", "key", "score", "start"]
+    for c in extra:
+        docs = docs.withColumn(c, F.lit(1))
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, d)
+        assert got.columns == docs.columns and got.count() > 0, name
+        assert got.where(" or ".join(f"{c} <> 1" for c in extra)).count() == 0, name
+        assert stage(spark, docs.where("false"), d).count() == 0, name
+    assert pipeline.encode(spark, docs, d).count() == docs.count() and pipeline.encode(spark, docs.where("false"), d).count() == 0
