@@ -109,6 +109,27 @@ SELECT pair_id, 'pdf' AS side, CAST(row_number() OVER (PARTITION BY pair_id ORDE
 FROM base WHERE NOT (pair_id % 11 = 0 AND row_index = 2)
 """
 
+#: Lines of text by order line: each numbering, fields and section titles in turn, and lines that are none of them.
+PATTERN_LINES = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_partkey % 12
+  WHEN 0 THEN '第' || CAST(l_linenumber AS STRING) || '条 付款方式' WHEN 1 THEN '第十二章：总则' WHEN 2 THEN CAST(l_linenumber AS STRING) || '.' || CAST(l_suppkey % 20 AS STRING) || ' 交货'
+  WHEN 3 THEN CAST(l_linenumber AS STRING) || '.2.' || CAST(l_suppkey % 9 AS STRING) || '、验收' WHEN 4 THEN '（四）其他' WHEN 5 THEN '(' || CAST(l_suppkey % 30 AS STRING) || ') 备注'
+  WHEN 6 THEN '二、质量要求' WHEN 7 THEN CAST(l_suppkey % 40 AS STRING) || '. 违约责任:按约定' WHEN 8 THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) || '元' WHEN 9 THEN '正文没有编号'
+  WHEN 10 THEN {word} || CASE l_suppkey % 4 WHEN 0 THEN ':' WHEN 1 THEN '（签字/盖章）：' WHEN 2 THEN ' ：' ELSE '说明' END || CAST(l_orderkey AS STRING)
+  ELSE {title} || CASE l_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN '：合格' WHEN 2 THEN ' :' ELSE '说明' END END AS line
+FROM {lineitem}
+"""
+
+#: Order tables as lines of a page, between a title and a last line; every other order has tabs for pipes, and blank lines.
+ISLAND_LINES = f"""
+WITH cells AS ({ORDER_CELLS}), w AS (SELECT * FROM cells WHERE side = 'word')
+SELECT pair_id AS page_id, 0 AS line_ord, '订单' || CAST(pair_id AS STRING) AS line FROM w WHERE row_index = 0
+UNION ALL SELECT pair_id, 1, replace('line | part | qty | price', ' | ', CASE WHEN pair_id % 2 = 0 THEN ' | ' ELSE chr(9) END) FROM w WHERE row_index = 0
+UNION ALL SELECT pair_id, 2, CASE WHEN pair_id % 2 = 0 THEN '|---|---|---|---|' ELSE ' ' END FROM w WHERE row_index = 0
+UNION ALL SELECT pair_id, 3 + row_index, replace(c0 || ' | ' || c1 || ' | ' || c2 || ' | ' || c3, ' | ', CASE WHEN pair_id % 2 = 0 THEN ' | ' ELSE chr(9) END) FROM w
+UNION ALL SELECT pair_id, 1000, '合计' FROM w WHERE row_index = 0
+"""
+
 #: Users' events as the progress of tasks.
 PROGRESS = """
 SELECT user_id AS task_id, CAST(ts AS TIMESTAMP) AS ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq, event_type AS stage,

@@ -455,52 +455,42 @@ def containment_anti(spark, sf_dir):
     return P.containing(*_passages(spark, sf_dir), how="left_anti").select("doc_id")
 
 
-# --- patterns on fixed lines ------------------------------------------------------
+# --- patterns on lines -------------------------------------------------------------
 
-LINES = [
-    "第三条 付款方式", "第十二章：总则", "3.2 交货", "3.2.1、验收", "（四）其他", "(5) 备注", "二、质量要求", "7. 违约责任:按约定", "100.5元", "3.2. x", "正文没有编号", "甲方:某公司", "乙方（签字/盖章）：",
-    "联系电话：123", "开户银行: 某行", "日期：2026年1月2日", "账 号:55", "质量要求", "质量要求：合格", "付款方式说明", "统一社会信用代码/身份证号：9", "法定代表人 : 某", "12、尾款", "第三条正文",
-]
-FIXED_SQL = "lines AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(LINES)) + ") v(line_id, line))"
-_SEP = r"(?:[\s，,。：:、]|$)"
-
-
-def fixed_lines(spark: SparkSession) -> DataFrame:
-    values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(LINES))
-    return spark.sql(f"SELECT * FROM VALUES {values} AS v(line_id, line)")
+_WORDS = [*T.ROLES, *[f for f in T.FIELDS if f.isalpha()]]
+_pick = lambda names: f"split_part('{','.join(names)}', ',', CAST(l_orderkey % {len(names)} + 1 AS INT))"
+PATTERN_LINES = X.PATTERN_LINES.replace("{word}", _pick(_WORDS)).replace("{title}", _pick(T.SECTIONS))
+PATTERN_SQL = f"lines AS ({X.duckdb_sql(PATTERN_LINES)})"
+_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_IDS = ", ".join(_ID)
 
 
 def _number_sql(c: str) -> str:
-    patterns = [(rf"^第([一二三四五六七八九十百千零〇\d]+)(?:条|章){_SEP}", 1), (rf"^(\d+\.\d+(?:\.\d+)?){_SEP}", 2), (r"^[（(]([一二三四五六七八九十\d]+)[)）]", 3),
-                (r"^([一二三四五六七八九十]+)、", 2), (r"^(\d+)[\.、]", 2)]
-    hits = " ".join(f"WHEN regexp_matches({c}, '{p}') THEN regexp_extract({c}, '{p}', 1) || '/' || {level}" for p, level in patterns)
+    """The numbering patterns for RE2, which has no look-ahead: what follows is consumed instead."""
+    patterns = [(_ascii(p.replace(T.SEPARATOR, T.SEPARATOR.replace("(?=", "(?:"))), level) for p, level in T.NUMBERING]
+    hits = " ".join(f"WHEN regexp_matches({c}, '{p}') THEN regexp_extract({c}, '{p}', 2) || '/' || {level}" for p, level in patterns)
     return f"CASE {hits} END"
 
 
-@query(f"""WITH {FIXED_SQL}, n AS (SELECT line_id, {_number_sql('line')} AS v FROM lines)
-SELECT line_id, split_part(v, '/', 1) AS number, CAST(CASE WHEN contains(split_part(v, '/', 1), '.') THEN 1 + len(string_split(split_part(v, '/', 1), '.')) - 1 ELSE CAST(split_part(v, '/', 2) AS INTEGER) END AS INTEGER) AS level
+@query(f"""WITH {PATTERN_SQL}, n AS (SELECT {_IDS}, {_number_sql('line')} AS v FROM lines)
+SELECT {_IDS}, split_part(v, '/', 1) AS number, CAST(CASE WHEN contains(split_part(v, '/', 1), '.') THEN len(string_split(split_part(v, '/', 1), '.')) ELSE CAST(split_part(v, '/', 2) AS INTEGER) END AS INTEGER) AS level
 FROM n WHERE v IS NOT NULL""")
 def detect_numbers(spark, sf_dir):
-    found = fixed_lines(spark).withColumn("n", T.detect_number(F.col("line"))).where("n is not null")
-    return found.select("line_id", "n.number", "n.level")
-
-
-_ROLES = "|".join(T.ROLES)
-_PLAIN = "|".join(T.FIELDS)
+    found = X.rows(spark, sf_dir, PATTERN_LINES).withColumn("n", T.detect_number(F.col("line"))).where("n is not null")
+    return found.select(*_ID, "n.number", "n.level")
 
 
-@query(f"""WITH {FIXED_SQL}, f AS (SELECT line_id, coalesce(nullif(regexp_extract(line, '^({_ROLES})(?:[（(][^)）]*[)）])?\\s*(?:[（(]?(?:签字|盖章)[/／]?(?:签字|盖章)?[)）]?)?\\s*[:：]', 1), ''),
- nullif(regexp_extract(line, '^({_PLAIN})\\s*[:：]', 1), '')) AS k FROM lines)
-SELECT line_id, CASE regexp_replace(k, '\\s+', '', 'g') {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in T.SYNONYMS.items())} ELSE trim(k) END AS field_key FROM f WHERE k IS NOT NULL""")
+@query(f"""WITH {PATTERN_SQL}, f AS (SELECT {_IDS}, coalesce(nullif(regexp_extract(line, '{_ascii(T.ROLE_FIELD)}', 2), ''), nullif(regexp_extract(line, '{_ascii(T.PLAIN_FIELD)}', 2), '')) AS k FROM lines)
+SELECT {_IDS}, CASE regexp_replace(k, '\\s+', '', 'g') {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in T.SYNONYMS.items())} ELSE trim(k) END AS field_key FROM f WHERE k IS NOT NULL""")
 def detect_fields(spark, sf_dir):
-    found = fixed_lines(spark).withColumn("f", T.detect_field(F.col("line"))).where("f is not null")
-    return found.select("line_id", "f.field_key")
+    found = X.rows(spark, sf_dir, PATTERN_LINES).withColumn("f", T.detect_field(F.col("line"))).where("f is not null")
+    return found.select(*_ID, "f.field_key")
 
 
-@query(f"WITH {FIXED_SQL} SELECT line_id, 'section:' || regexp_extract(line, '^({'|'.join(T.SECTIONS)})(?:\\s*[:：]|$)', 1) AS field_key FROM lines WHERE regexp_matches(line, '^({'|'.join(T.SECTIONS)})(?:\\s*[:：]|$)')")
+@query(f"WITH {PATTERN_SQL} SELECT {_IDS}, 'section:' || regexp_extract(line, '{_ascii(T.SECTION)}', 1) AS field_key FROM lines WHERE regexp_matches(line, '{_ascii(T.SECTION)}')")
 def section_keys(spark, sf_dir):
-    found = fixed_lines(spark).withColumn("s", T.detect_section(F.col("line"))).where("s is not null")
-    return found.select("line_id", F.concat(F.lit("section:"), "s").alias("field_key"))
+    found = X.rows(spark, sf_dir, PATTERN_LINES).withColumn("s", T.detect_section(F.col("line"))).where("s is not null")
+    return found.select(*_ID, F.concat(F.lit("section:"), "s").alias("field_key"))
 
 
 @query(f"""WITH {CLAUSES_SQL}, raw AS (SELECT pair_id, side, clause_ord, unnest([1, 2]) AS part, number, text FROM clauses),
@@ -596,17 +586,14 @@ def table_structure_checks(spark, sf_dir):
     return B.structure_checks(tables, ["pair_id"])
 
 
-ISLANDS = [
-    (1, 0, "标题"), (1, 1, "| 品名 | 数量 |"), (1, 2, "|---|---|"), (1, 3, ""), (1, 4, "| 甲 | 3 |"), (1, 5, "尾行"), (2, 0, "a | b"), (2, 1, "说明"), (2, 2, "x\ty"), (2, 3, "1\t2"), (2, 4, "3\t4"),
-]
+ISLANDS_SQL = f"lines AS ({X.duckdb_sql(X.ISLAND_LINES)})"
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 0, 'text', '标题'), (1, 1, 4, 'table', '品名 | 数量' || chr(10) || '甲 | 3'), (1, 5, 5, 'text', '尾行'), (2, 0, 0, 'text', 'a | b'), (2, 1, 1, 'text', '说明'),
-(2, 2, 4, 'table', 'x | y' || chr(10) || '1 | 2' || chr(10) || '3 | 4')) v(page_id, first_ord, last_ord, label, content)""")
+@query(f"""WITH {ISLANDS_SQL}
+SELECT page_id, line_ord AS first_ord, line_ord AS last_ord, 'text' AS label, line AS content FROM lines WHERE line_ord IN (0, 1000)
+UNION ALL SELECT page_id, 1, max(line_ord), 'table', string_agg(replace(line, chr(9), ' | '), chr(10) ORDER BY line_ord) FROM lines WHERE line_ord NOT IN (0, 2, 1000) GROUP BY page_id""")
 def table_line_islands(spark, sf_dir):
-    values = ", ".join(f"({p}, {o}, '{t}')" for p, o, t in ISLANDS)
-    lines = spark.sql(f"SELECT * FROM VALUES {values} AS v(page_id, line_ord, line)")
-    return B.line_islands(lines, ["page_id"]).drop("tbl")
+    return B.line_islands(X.rows(spark, sf_dir, X.ISLAND_LINES), ["page_id"]).drop("tbl")
 
 
 @query("""WITH o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
