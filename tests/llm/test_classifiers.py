@@ -1,5 +1,8 @@
+import math
 import random
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ def test_language(spark):
 def test_language_edges(spark):
     df = spark.createDataFrame(corpus(1), "doc_id long, text string, lang string")
     odd = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").withColumn("LANG_PRED", F.lit("old"))
-    got = {r["doc_id"]: r for r in langid.predict(odd.drop("LANG_PRED"), langid.fit(df)).collect()}
+    got = {r["doc_id"]: r for r in langid.predict(odd, langid.fit(df)).collect()}
     assert len(got) == len(ODD)
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in range(6))
     assert all(got[i]["lang_pred"] in ("aa", "bb") for i in (6, 7, 8))
@@ -105,3 +108,67 @@ def test_classifier_edges(spark, module, label):
         assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
         assert got[0]["y"] == 3
     assert module.score(odd.where("false"), module.fit(odd, none, label=label)).count() == 0
+
+
+def test_language_by_brute_force(spark):
+    """Counts and posteriors of the n-grams themselves, in plain loops."""
+    rng = random.Random(5)
+    names = {"aa": "abcde", "bb": "cdefg", "cc": "xyz"}
+    rows = [(i, " ".join("".join(rng.choices(names[lang], k=rng.randint(1, 6))) for _ in range(rng.randint(0, 12))), lang) for i in range(120) for lang in [rng.choice(sorted(names))]]
+
+    def grams(text):
+        chars = [c if c.isalpha() else " " for c in text.lower() + " "]
+        return [tuple(chars[i : i + n]) for n in langid.ORDERS for i in range(len(chars) - n + 1) if any(c != " " for c in chars[i : i + n])]
+
+    counts, share, buckets = defaultdict(Counter), Counter(r[2] for r in rows), 1 << 15
+    for _, text, lang in rows:
+        counts[lang].update(grams(text))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.predict(df, langid.fit(df, per_lang=10**6)).collect()}
+    for i, text, _ in rows:
+        found = grams(text)
+        if not found:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        logs = {x: math.log(share[x] / len(rows)) + sum(math.log((counts[x][g] + 0.05) / (sum(counts[x].values()) + 0.05 * buckets)) for g in found) for x in names}
+        best = max(sorted(logs), key=logs.get)
+        score = 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - score) < 1e-3  # the matrix holds 32-bit floats; buckets hardly collide
+
+
+def test_ftrl_by_a_plain_loop():
+    rng = random.Random(6)
+    sets = [sorted(rng.sample(range(40), rng.randint(0, 9))) for _ in range(200)]
+    labels = [int(3 in s or 7 in s) for s in sets]
+    alpha, beta, l1, l2, positive = 2.0, 1.0, 1.5, 0.1, 3.0
+    z, n, bias, bias_n = defaultdict(float), defaultdict(float), 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(4):
+        for at, y in zip(sets, labels):
+            w = {i: weight(i) for i in at}
+            g = (1 / (1 + math.exp(-(sum(w.values()) + bias))) - y) * (positive if y else 1.0)
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= alpha * g / (beta + math.sqrt(bias_n))
+    got = toxicity.train([np.array(s, np.int32) for s in sets], labels, alpha, beta, l1, l2, 4, positive)
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert got[0].tolist() == sorted(want) and np.allclose(got[1], [want[i] for i in sorted(want)]) and abs(got[2] - bias) < 1e-9
+    assert {3, 7} <= set(want)
+
+
+def test_scorers_replace_columns_of_any_case_and_repeated_labels_count_once(spark):
+    rows = toxic_docs(3, 200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").withColumn("SCORE", F.lit("old")).withColumn("__text", F.lit(1))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, label="toxic")
+    twice = toxicity.fit(docs, labels.unionByName(labels.where("doc_id < 50")), label="toxic")
+    assert list(model.weights) == list(twice.weights)
+    got = toxicity.score(docs, model)
+    assert sorted(got.columns) == ["__text", "doc_id", "score", "text"] and got.where("score > 0.5").count() > 0
+    lines = quality.score(docs, quality.fit(docs, labels, label="toxic"))
+    assert sorted(lines.columns) == ["__text", "doc_id", "score", "text"] and lines.where("score between 0 and 1").count() == 200
