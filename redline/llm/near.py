@@ -263,7 +263,7 @@ def link(shared: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int
         return comps
     facts = sets(rest.select("node").distinct())
     facts = facts.join(sigs, "node") if plan else facts
-    found = _blocks(rest.join(facts, "node"), BLOCK // 4, _exact(plan, percent), "a long, b long")
+    found = _blocks(rest.join(facts, "node"), BLOCK // 4, _exact(plan, percent))
     return checkpointed(components(links.unionByName(checkpointed(found))))
 
 
@@ -285,7 +285,7 @@ def _verify_signatures(pairs: DataFrame, sigs: DataFrame, plan: list[tuple[int,
     return both.mapInArrow(run, "a long, b long")
 
 
-def _blocks(rest: DataFrame, size: int, kernel: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+def _blocks(rest: DataFrame, size: int, kernel: Callable[[Members, list[int]], list[tuple[int, int]]]) -> DataFrame:
     """``kernel`` over the members of each bucket, in groups of two blocks (or one), so that each pair that can be a link meets in one group.
 
     ``most`` of a bucket's ``n`` members are of the component ``main``: they meet the
@@ -311,15 +311,23 @@ def _blocks(rest: DataFrame, size: int, kernel: Callable[[pa.Table], pa.Table |
             names = [held[c].to_numpy() for c in ("key", "i", "j")]
             cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1
             ends = [*cuts.tolist(), len(held)] if batch is None else cuts.tolist()
-            start = 0
-            for end in ends:
-                if end - start > 1 and (made := kernel(held.slice(start, end - start))) is not None:
-                    yield from made.to_batches()
-                start = end
-            held = held.slice(start)
+            if ends and (found := kernel(Members(held), ends)):
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            held = held.slice(ends[-1] if ends else 0)
         give_back()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+class Members:
+    """Columns of sorted members as numpy arrays, made once for the many small groups in them."""
+
+    def __init__(self, rows: pa.Table):
+        self.node, self.comp, self.own, self.mine, i, j = (rows[c].to_numpy() for c in ("node", "comp", "own", "mine", "i", "j"))
+        self.two = i != j
+        sets = rows["set"].combine_chunks()
+        self.sizes, self.starts, self.items = sets.value_lengths().to_numpy(), sets.offsets.to_numpy(), sets.values.to_numpy()
+        self.sig = _signatures(rows["sig"].combine_chunks()) if "sig" in rows.column_names else None
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -327,36 +335,33 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _exact(plan: list[tuple[int, int]] | None, percent: int) -> Callable[[pa.Table], pa.Table | None]:
-    """Links that join the components of a group as far as any of its pairs does."""
+def _exact(plan: list[tuple[int, int]] | None, percent: int) -> Callable[[Members, list[int]], list[tuple[int, int]]]:
+    """Links that join the components of each group (given by its end) as far as any of its pairs does."""
 
-    def run(group: pa.Table) -> pa.Table | None:
-        node, comp, own, mine = (group[c].to_numpy() for c in ("node", "comp", "own", "mine"))
-        root, found = np.unique(comp, return_inverse=True)[1], []
-        if len(node) < 2 or not root.any():
-            return None
-        sig = _signatures(group["sig"].combine_chunks()) if plan else None
-        two = group["i"][0].as_py() != group["j"][0].as_py()
-        sets = group["set"].combine_chunks()
-        sizes, starts, held = sets.value_lengths().to_numpy(), sets.offsets.to_numpy(), None
-        for at in range(len(node) - 1):
+    def one(m: Members, start: int, end: int, found: list[tuple[int, int]]) -> None:
+        comp = m.comp[start:end]
+        if end - start < 2 or (comp == comp[0]).all():
+            return
+        root, own, mine, sizes, starts = comp.copy(), m.own[start:end], m.mine[start:end], m.sizes[start:end], m.starts[start : end + 1]
+        held = places = None
+        for at in range(end - start - 1):
             open_ = root[at + 1 :] != root[at]
             if own[at] != SEVERAL:
                 open_ &= own[at + 1 :] != own[at]
-            if two:
+            if m.two[start]:
                 open_ &= mine[at + 1 :] != mine[at]
+            open_ &= (100 * sizes[at + 1 :] >= percent * sizes[at]) & (100 * sizes[at] >= percent * sizes[at + 1 :])
             close = np.flatnonzero(open_) + at + 1
-            least, most = sizes[close], np.maximum(sizes[close], sizes[at])
-            close = close[100 * np.minimum(least, sizes[at]) >= percent * most]
             if plan and len(close):
                 n, matches = plan[0]
+                sig = m.sig[start:end]
                 close = close[(sig[close, :n] == sig[at, :n]).sum(1) >= matches]
                 close = close[survivors(np.broadcast_to(sig[at], (len(close), sig.shape[1])), sig[close], plan)]
                 close = close[np.argsort(-(sig[close] == sig[at]).sum(1), kind="stable")]
             if not len(close):
                 continue
             if held is None:
-                items, places = np.unique(sets.values.to_numpy()[starts[0] : starts[-1]], return_inverse=True)
+                items, places = np.unique(m.items[starts[0] : starts[-1]], return_inverse=True)
                 starts, held = starts - starts[0], np.zeros(len(items), bool)
             ours = places[starts[at] : starts[at + 1]]
             held[ours] = True
@@ -366,9 +371,14 @@ def _exact(plan: list[tuple[int, int]] | None, percent: int) -> Callable[[pa.Tab
                 common = np.count_nonzero(held[places[starts[other] : starts[other + 1]]])
                 if 100 * common >= percent * (int(sizes[at]) + int(sizes[other]) - common):
                     root[root == root[other]] = root[at]
-                    found.append((int(node[at]), int(node[other])))
+                    found.append((int(m.node[start + at]), int(m.node[start + other])))
             held[ours] = False
-        return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"]) if found else None
+
+    def run(members: Members, ends: list[int]) -> list[tuple[int, int]]:
+        found: list[tuple[int, int]] = []
+        for start, end in zip([0, *ends], ends, strict=False):
+            one(members, start, end, found)
+        return found
 
     return run
 

@@ -116,6 +116,66 @@ def test_bayes_plan_keeps_similar_pairs():
     assert len(near.survivors(a, far.astype(np.uint16), plan)) == 0
 
 
+@pytest.mark.parametrize("rows_a_batch", [1, 3, 10_000])
+def test_shared_buckets_as_a_stream(spark, rows_a_batch):
+    """Hubs, owners and repeated nodes of buckets that run over many batches, and of some that are one document's alone."""
+    rng = random.Random(rows_a_batch)
+    rows = [(4 * rng.randrange(12) + rng.randrange(3), rng.choice([-9, -2, *range(8)]), rng.choice([near.SEVERAL, 0, 1, 1, 1, 2])) for _ in range(150)]
+    rows += [(400, n, 5) for n in range(9)] + [(404, n, 5) for n in range(4)] + [(404, 30, 6), (408, 1, near.SEVERAL), (412, 1, 7)]
+    owners = defaultdict(set)
+    for key, node, own in rows:
+        owners[key, node].add(own)
+    one = {k: next(iter(v)) if len(v) == 1 else near.SEVERAL for k, v in owners.items()}
+    want, again = set(), set()
+    for key in {k for k, _ in one}:
+        nodes = sorted(n for k, n in one if k == key)
+        own = {n: one[key, n] for n in nodes}
+        hub = nodes[0]
+        if len(nodes) > 1 and (len(set(own.values())) > 1 or own[hub] == near.SEVERAL):
+            want |= {(n, key, hub, own[n], own[n] != own[hub] or own[hub] == near.SEVERAL) for n in nodes}
+        again |= {(n, own[n]) for n in nodes if key % 4 == 0 and own[n] == near.SEVERAL}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_a_batch))
+    try:
+        got = near.shared_buckets(spark.createDataFrame(rows, "key long, node long, own long")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    found = [tuple(r) for r in got if r["key"] is not None]
+    assert set(found) == want and len(found) == len(want)
+    assert {(r["node"], r["own"]) for r in got if r["key"] is None} == again
+
+
+def test_blocks_of_a_large_component(spark):
+    """Each pair of different components meets, whatever the sizes; the largest component isn't copied by the number of its own blocks."""
+    rng = random.Random(9)
+    rows = []
+    for key, (large, others) in enumerate([(60, 3), (2, 2), (20, 30), (1, 40)]):
+        members = [(0, i) for i in range(large)] + [(1 + i % 7, large + i) for i in range(others)]
+        most = max(sum(c == k for c, _ in members) for k in range(8))
+        main = max(range(8), key=lambda k: sum(c == k for c, _ in members))
+        rows += [(key, 1000 * key + n, 1000 * key + c, len(members), most, 1000 * key + main) for c, n in members]
+    rest = spark.createDataFrame(rows, "key long, node long, comp long, n long, most long, main long").withColumn("own", F.lit(near.SEVERAL)).withColumn("set", F.array("node"))
+    met, copies = set(), defaultdict(int)
+
+    def kernel(m, ends):
+        out = []
+        for start, end in zip([0, *ends], ends):
+            for x in range(start, end):
+                out.append((int(m.node[x]), int(m.node[x])))
+                out += [(int(m.node[x]), int(m.node[y])) for y in range(x + 1, end) if not m.two[start] or m.mine[x] != m.mine[y]]
+        return out
+
+    for r in near._blocks(rest, 8, kernel).collect():
+        if r["a"] == r["b"]:
+            copies[r["a"]] += 1
+        else:
+            met.add((min(r["a"], r["b"]), max(r["a"], r["b"])))
+    for key in range(4):
+        mine = [(node, comp) for k, node, comp, *_ in rows if k == key]
+        assert all((min(a, b), max(a, b)) in met for i, (a, p) in enumerate(mine) for b, q in mine[:i] if p != q)
+    assert all(copies[n] == 1 for n in range(60))  # three others: one block, which each block of the sixty meets
+
+
 def prose(rng, sentences, tag):
     return " ".join(" ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(rng.randint(4, 14))).capitalize() + "." for _ in range(sentences))
 
