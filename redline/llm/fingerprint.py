@@ -96,7 +96,9 @@ def in_order(df: DataFrame, key: str, text: str) -> DataFrame:
     Each block has about BLOCK bytes of text and, as a row with copy = 1, the first
     row of the block after it (the last block: of the first). Null keys come
     last; rows of one key are ordered by text. Only a few numbers for each
-    block come to the driver.
+    block come to the driver, so there are 16,384 blocks at most: beyond 32 GB
+    of text they grow with it. A block, and so a key that very many rows have,
+    is sorted on disk and read as a stream: its size costs a task time, not memory.
     """
     rows = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     sizes = rows.agg(F.sum(F.octet_length("t")).alias("bytes"), F.count("*").alias("n")).first()
