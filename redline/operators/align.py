@@ -81,13 +81,16 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 def _cogrouped(word: DataFrame, pdf: DataFrame, vector: str, find) -> DataFrame:
     """``find`` (unit vectors of both sides in order of position -> rows pi, wi, sim) for each pair: vectors travel, not pairs of them."""
     def run(key: tuple, w: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        ordered = [df.sort_values("pos")[vector] if len(df) else pd.Series([], dtype=object) for df in (w, p)]
+        ordered = [df.sort_values(df.columns[1]).iloc[:, 2] if len(df) else pd.Series([], dtype=object) for df in (w, p)]
         both = _unit(pd.concat(ordered))
         made = find(both[: len(w)], both[len(w) :]) if len(p) else []
         return pd.DataFrame({PAIR: [key[0]] * len(made), "pi": [m[0] for m in made], "wi": pd.array([m[1] for m in made], "Int32"), "sim": [m[2] for m in made]})
 
-    take = lambda df: df.select(PAIR, "pos", vector).groupBy(PAIR)
-    return take(word).cogroup(take(pdf)).applyInPandas(run, f"{PAIR} long, pi int, wi int, sim double")
+    def take(df: DataFrame, side: str):
+        """Columns of its own for each side: both may come from one frame."""
+        return df.select(F.col(PAIR).alias(f"{side}_pair"), F.col("pos").alias(f"{side}_pos"), F.col(vector).alias(f"{side}_vector")).groupBy(f"{side}_pair")
+
+    return take(word, "w").cogroup(take(pdf, "p")).applyInPandas(run, f"{PAIR} long, pi int, wi int, sim double")
 
 
 def best_dense(word: DataFrame, pdf: DataFrame, vector: str = "embedding") -> DataFrame:

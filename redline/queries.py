@@ -117,24 +117,14 @@ def _bag(source: str, keys: str, text: str) -> str:
     )
 
 
-#: What numbers and fields leave, matched one pdf clause after another: the best free word clause near it, or else the best free one.
-SEMANTIC_SQL = f"""{LEFT_SQL},
-wpos AS (SELECT pair_id, clause_ord, text, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY clause_ord) - 1 AS INTEGER) AS pos FROM wr),
-ppos AS (SELECT pair_id, clause_ord, text, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY clause_ord) - 1 AS INTEGER) AS pos FROM pr),
-wbag AS ({_bag("wpos", "pair_id, pos", "text")}), pbag AS ({_bag("ppos", "pair_id, pos", "text")}),
-wnorm AS (SELECT pair_id, pos, sqrt(sum(n * n)) AS q FROM wbag GROUP BY ALL), pnorm AS (SELECT pair_id, pos, sqrt(sum(n * n)) AS q FROM pbag GROUP BY ALL),
-shared AS (SELECT p.pair_id, p.pos AS pi, w.pos AS wi, sum(p.n * w.n) AS dot FROM pbag p JOIN wbag w USING (pair_id, term) GROUP BY ALL),
-cand AS MATERIALIZED (
-  SELECT p.pair_id, p.pos AS pi, w.pos AS wi, coalesce(dot / (wnorm.q * pnorm.q), 0) AS sim
-  FROM ppos p JOIN wpos w USING (pair_id) LEFT JOIN shared s ON s.pair_id = p.pair_id AND s.pi = p.pos AND s.wi = w.pos
-  LEFT JOIN wnorm ON wnorm.pair_id = p.pair_id AND wnorm.pos = w.pos LEFT JOIN pnorm ON pnorm.pair_id = p.pair_id AND pnorm.pos = p.pos
-),
-turn AS (
+def _greedy(threshold: float) -> str:
+    """taken (pair_id, pi, wi, sim) of cand (pair_id, pi, wi, sim): one pdf position after another takes the best free word position near it, or else anywhere."""
+    return f"""turn AS (
   SELECT pair_id, 0 AS p, CAST([] AS INTEGER[]) AS used, CAST(NULL AS INTEGER) AS wi, CAST(0 AS DOUBLE) AS sim FROM cand GROUP BY pair_id
   UNION ALL
-  SELECT pair_id, p + 1, CASE WHEN best >= 0.7 THEN list_append(used, took) ELSE used END, CASE WHEN best >= 0.7 THEN took END, greatest(best, 0.0)
+  SELECT pair_id, p + 1, CASE WHEN best >= {threshold} THEN list_append(used, took) ELSE used END, CASE WHEN best >= {threshold} THEN took END, greatest(best, 0.0)
   FROM (
-    SELECT pair_id, p, used, CASE WHEN near >= 0.7 OR near = far THEN near_wi ELSE far_wi END AS took, CASE WHEN near >= 0.7 OR near = far THEN near ELSE coalesce(far, -1.0) END AS best
+    SELECT pair_id, p, used, CASE WHEN near >= {threshold} OR near = far THEN near_wi ELSE far_wi END AS took, CASE WHEN near >= {threshold} OR near = far THEN near ELSE coalesce(far, -1.0) END AS best
     FROM (
       SELECT t.pair_id, t.p, t.used, max(c.sim) FILTER (abs(c.wi - c.pi) <= 5) AS near, arg_max(c.wi, (c.sim, -c.wi)) FILTER (abs(c.wi - c.pi) <= 5) AS near_wi,
              max(c.sim) AS far, arg_max(c.wi, (c.sim, -c.wi)) AS far_wi
@@ -144,7 +134,22 @@ turn AS (
     ) a
   ) b
 ),
-taken AS MATERIALIZED (SELECT pair_id, p - 1 AS pi, wi, sim FROM turn WHERE p > 0),
+taken AS MATERIALIZED (SELECT pair_id, p - 1 AS pi, wi, sim FROM turn WHERE p > 0)"""
+
+
+#: What numbers and fields leave, matched one pdf clause after another: the best free word clause near it, or else the best free one.
+SEMANTIC_SQL = f"""{LEFT_SQL},
+wpos AS (SELECT pair_id, clause_ord, text, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY clause_ord) - 1 AS INTEGER) AS pos FROM wr),
+ppos AS (SELECT pair_id, clause_ord, text, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY clause_ord) - 1 AS INTEGER) AS pos FROM pr),
+wbag AS ({_bag("wpos", "pair_id, pos", "text")}), pbag AS ({_bag("ppos", "pair_id, pos", "text")}),
+wnorm AS (SELECT pair_id, pos, sqrt(sum(n * n)) AS q FROM wbag GROUP BY ALL), pnorm AS (SELECT pair_id, pos, sqrt(sum(n * n)) AS q FROM pbag GROUP BY ALL),
+shared AS (SELECT p.pair_id, p.pos AS pi, w.pos AS wi, sum(p.n * w.n) AS dot FROM pbag p JOIN wbag w USING (pair_id, term) GROUP BY ALL),
+cand AS MATERIALIZED (
+  SELECT p.pair_id, p.pos AS pi, w.pos AS wi, coalesce(dot / (wnorm.q * pnorm.q), 0) AS sim
+  FROM ppos p JOIN wpos w USING (pair_id) LEFT JOIN shared s ON s.pair_id = p.pair_id AND s.pi = p.pos AND s.wi = w.pos
+  LEFT JOIN wnorm ON wnorm.pair_id = p.pair_id AND wnorm.pos = w.pos LEFT JOIN pnorm ON pnorm.pair_id = p.pair_id AND pnorm.pos = p.pos
+),
+{_greedy(0.7)},
 rest AS (
   SELECT p.pair_id, w.clause_ord AS wo, p.clause_ord AS po, CASE WHEN w.clause_ord IS NULL THEN 'unmatched' ELSE 'semantic' END AS match_type, coalesce(t.sim, 0.0) AS similarity
   FROM ppos p LEFT JOIN taken t ON t.pair_id = p.pair_id AND t.pi = p.pos LEFT JOIN wpos w ON w.pair_id = t.pair_id AND w.pos = t.wi
@@ -349,7 +354,8 @@ def leftover_semantic_global(spark, sf_dir):
     return A.best_dense(*_vectors(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {VECTORS_SQL}, cand AS MATERIALIZED (SELECT pair_id, pi, wi, sim FROM s), {_greedy(0.3)}
+SELECT CAST(pair_id AS BIGINT) AS pair_id, pi, wi, round(sim, 6) AS sim FROM taken""")
 def semantic_greedy_assignment(spark, sf_dir):
     return A.greedy_dense(*_vectors(spark, sf_dir), 0.3).withColumn("sim", F.round("sim", 6))
 
