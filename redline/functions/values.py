@@ -19,6 +19,7 @@ KEYWORDS = {
 }
 SEVERE = ["amount", "date"]
 # End of fixed values.
+KINDS = sorted([*PATTERNS, *KEYWORDS])
 
 
 def values(norm: Column, kind: str) -> Column:
@@ -31,8 +32,12 @@ def keywords(norm: Column, kind: str) -> Column:
     return F.array_sort(F.filter(F.array(*[F.lit(k) for k in KEYWORDS[kind]]), lambda k: F.contains(norm, k)))
 
 
+def of_kind(norm: Column, kind: str) -> Column:
+    return (values if kind in PATTERNS else keywords)(norm, kind)
+
+
 def elements(norm: Column, with_keywords: bool = True) -> Column:
     """array<struct<kind, vals>> of the kinds that occur, in order of kind."""
     kinds = sorted([*PATTERNS, *(KEYWORDS if with_keywords else [])])
-    each = [F.struct(F.lit(k).alias("kind"), (values if k in PATTERNS else keywords)(norm, k).alias("vals")) for k in kinds]
+    each = [F.struct(F.lit(k).alias("kind"), of_kind(norm, k).alias("vals")) for k in kinds]
     return F.filter(F.array(*each), lambda e: F.size(e["vals"]) > 0)

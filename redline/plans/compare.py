@@ -20,7 +20,7 @@ PAIR = "pair_id"
 
 @dataclass
 class Comparison:
-    """The tables of a standard comparison. Clauses, alignments and diffs are checkpointed: later steps read them several times."""
+    """The tables of a standard comparison. Clauses and diffs are checkpointed, since later steps read them several times, unless ``keep`` was False."""
 
     clauses: DataFrame
     alignments: DataFrame
@@ -28,26 +28,29 @@ class Comparison:
     reports: DataFrame
 
 
-def compare(items: DataFrame, diagnostics: DataFrame | None = None, config: CompareConfig | None = None, unicode: bool = True) -> Comparison:
+def compare(items: DataFrame, diagnostics: DataFrame | None = None, config: CompareConfig | None = None, unicode: bool = True, keep: bool = True) -> Comparison:
     """Items (pair_id, side, item_ord, kind, heading_level, text, …) to clauses, alignments, diffs and reports."""
-    return _compared(C.segment(items, [PAIR, "side"], unicode), diagnostics, config, unicode)
+    return _compared(C.segment(items, [PAIR, "side"], unicode), diagnostics, config, unicode, keep)
 
 
-def compare_clauses(clauses: DataFrame, diagnostics: DataFrame | None = None, config: CompareConfig | None = None, unicode: bool = True) -> Comparison:
-    """Clauses that were made elsewhere: their texts are made normal first, unless ``unicode`` is False."""
+def compare_clauses(clauses: DataFrame, diagnostics: DataFrame | None = None, config: CompareConfig | None = None, unicode: bool = True, keep: bool = True) -> Comparison:
+    """Clauses that were made elsewhere: their texts are made normal first, unless ``unicode`` is False.
+
+    ``keep=False`` writes no checkpoints: for callers that read one table of the result, once.
+    """
     if unicode:
         clauses = clauses.withColumn("text", normalize_text(F.col("text")))
-    return _compared(clauses, diagnostics, config, unicode)
+    return _compared(clauses, diagnostics, config, unicode, keep)
 
 
-def _compared(clauses: DataFrame, diagnostics: DataFrame | None, config: CompareConfig | None, unicode: bool) -> Comparison:
+def _compared(clauses: DataFrame, diagnostics: DataFrame | None, config: CompareConfig | None, unicode: bool, keep: bool) -> Comparison:
     """``clauses``: normal texts, for which the later steps need no NFKC; ``unicode`` holds for the cells of tables."""
     config = config or CompareConfig()
-    clauses = materialized(clauses)
-    alignments = materialized(A.align(clauses, config.align_similarity_bag, config.neighbourhood, config.semantic))
-    hidden = A.covered(alignments, clauses, config.fragment_min_chars, unicode=False)
-    seen = alignments.join(hidden, [PAIR, "align_idx"], "left_anti")
-    diffs = materialized(R.differences(seen, clauses, config.similarity_identical, config.similarity_modified, unicode))
+    kept = materialized if keep else lambda df: df
+    clauses = kept(clauses)
+    both = A.matched(clauses, config.align_similarity_bag, config.neighbourhood, config.semantic, config.fragment_min_chars)
+    alignments = both.select(PAIR, *A.ALIGNMENT)
+    diffs = kept(R.judged(both.where("not covered").drop("covered"), config.similarity_identical, config.similarity_modified, unicode))
     reports = R.overview(diffs, [PAIR])
     diffs = diffs.withColumn("risk_reasons", F.transform("changed_kinds", lambda k: F.concat(F.lit("changed: "), k)))
     if diagnostics is not None:

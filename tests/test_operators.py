@@ -1,4 +1,5 @@
 import io
+import os
 import random
 import zipfile
 
@@ -245,3 +246,26 @@ def test_config():
     for bad in ({"nope": 1}, {"render_dpi": 20}):
         with pytest.raises(ValueError):
             CompareConfig().updated(bad)
+
+
+def test_contracts_by_pair_are_the_rows_of_their_sql(spark):
+    from redline import fixtures as X
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables")
+    by_sql, by_pair = X.rows(spark, sf, X.CONTRACTS), X.rows(spark, sf, X.CONTRACTS_BY_PAIR)
+    assert by_sql.columns == by_pair.columns
+    assert sorted(map(repr, by_sql.collect())) == sorted(map(repr, by_pair.collect()))
+
+
+def test_a_comparison_read_once_deals_its_lines_once_and_writes_no_checkpoint(spark, tmp_path):
+    from redline import fixtures as X
+    from redline.plans.compare import compare_clauses
+
+    line = "1L l_orderkey, 1L l_partkey, 1L l_suppkey, 1 l_linenumber, 1D l_quantity, 1D l_extendedprice, 0D l_discount, 0D l_tax, 'N' l_returnflag, 'O' l_linestatus, timestamp_ntz'1996-01-01 00:00:00' l_shipdate"
+    spark.sql(f"select {line}").write.parquet(f"{tmp_path}/lineitem.parquet")
+    diffs = compare_clauses(X.rows(spark, str(tmp_path), X.CONTRACTS_BY_PAIR), keep=False).diffs
+    plan = diffs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "ExistingRDD" not in plan
+    assert diffs.select("status").first()[0] == "identical"
