@@ -38,17 +38,22 @@ def compare_clauses(clauses: DataFrame, diagnostics: DataFrame | None = None, co
 
     ``keep=False`` writes no checkpoints: for callers that read one table of the result, once.
     """
-    if unicode:
-        clauses = clauses.withColumn("text", normalize_text(F.col("text")))
-    return _compared(clauses, diagnostics, config, unicode, keep)
+    normal = clauses.withColumn("text", normalize_text(F.col("text"))) if unicode else clauses
+    return _compared(normal, diagnostics, config, unicode, keep, clauses if unicode and not keep else None)
 
 
-def _compared(clauses: DataFrame, diagnostics: DataFrame | None, config: CompareConfig | None, unicode: bool, keep: bool) -> Comparison:
-    """``clauses``: normal texts, for which the later steps need no NFKC; ``unicode`` holds for the cells of tables."""
+def _compared(clauses: DataFrame, diagnostics: DataFrame | None, config: CompareConfig | None, unicode: bool, keep: bool, raw: DataFrame | None = None) -> Comparison:
+    """``clauses``: normal texts, for which the later steps need no NFKC; ``unicode`` holds for the cells of tables.
+
+    ``raw``: the clauses before, where they are matched in the task that has them already (a kernel before it would deal
+    their texts out anew). Blanks change neither bags nor compact texts, so they are made normal after it.
+    """
     config = config or CompareConfig()
     kept = materialized if keep else lambda df: df
     clauses = kept(clauses)
-    both = A.matched(clauses, config.align_similarity_bag, config.neighbourhood, config.semantic, config.fragment_min_chars)
+    both = A.matched(clauses if raw is None else raw, config.align_similarity_bag, config.neighbourhood, config.semantic, config.fragment_min_chars, raw is not None)
+    for s, side in (("w", "word"), ("p", "pdf")) if raw is not None else ():
+        both = both.withColumn(f"{s}_text", F.when(F.col(f"{side}_clause_ord").isNotNull(), normalize_text(F.col(f"{s}_text"), False)))
     alignments = both.select(PAIR, *A.ALIGNMENT)
     diffs = kept(R.judged(both.where("not covered").drop("covered"), config.similarity_identical, config.similarity_modified, unicode))
     reports = R.overview(diffs, [PAIR])
