@@ -269,3 +269,14 @@ def test_a_comparison_read_once_deals_its_lines_once_and_writes_no_checkpoint(sp
     plan = diffs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     assert diffs.select("status").first()[0] == "identical"
+
+
+def test_marked_pairs_are_the_rows_of_their_sql_and_no_line_travels(spark):
+    from redline import fixtures as X
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables")
+    marked = X.rows(spark, sf, X.MARKED_PAIRS)
+    assert sorted(map(tuple, marked.collect())) == sorted(map(tuple, X.rows(spark, sf, X.DOCUMENT_PAIRS).collect()))
+    assert dict(X.rows(spark, sf, "SELECT explode({line_marks}) AS m FROM {documents}").dtypes) == {"m": "struct<a:bigint,b:bigint>"}
