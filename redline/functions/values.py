@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, functions as F
 
+from redline.functions.kernels import BLANKS
 from redline.functions.text import without_blanks
 
 # Patterns and keywords by kind.
@@ -41,3 +45,25 @@ def elements(norm: Column, with_keywords: bool = True) -> Column:
     kinds = sorted([*PATTERNS, *(KEYWORDS if with_keywords else [])])
     each = [F.struct(F.lit(k).alias("kind"), of_kind(norm, k).alias("vals")) for k in kinds]
     return F.filter(F.array(*each), lambda e: F.size(e["vals"]) > 0)
+
+
+#: Each pattern with the characters of which a text must have one to fulfil it ('': no such).
+_need = {"amount": ["¥￥", "元", ""], "date": ["年", "-/", "天日月"], "ratio": ["%", "百"]}
+_compiled = [(k, need, re.compile(p.replace(r"\s", f"[{BLANKS}]"))) for k, ps in PATTERNS.items() for need, p in zip(_need[k], ps, strict=True)]
+_blanks = re.compile(f"[{BLANKS}]+")
+#: No pattern looks beyond what it matches, and none matches another character than these: values lie within runs of them.
+_run = re.compile(rf"[¥￥,，.万元壹贰叁肆伍陆柒捌玖拾佰仟亿零整圆年月日/个工作天%百分之一二三四五六七八九十\d{BLANKS}-]+")
+
+
+@functools.lru_cache(1 << 15)
+def _values(run: str) -> frozenset[tuple[str, str]]:
+    return frozenset((kind, _blanks.sub("", m)) for kind, need, p in _compiled if not need or any(c in run for c in need) for m in p.findall(run))
+
+
+def changed_kinds(left: str, right: str) -> list[str]:
+    """The kinds whose values (see ``of_kind``) two normalised texts don't have alike, in order of kind."""
+    a, b = set(_run.findall(left)), set(_run.findall(right))
+    found = {v for r in a - b for v in _values(r)} ^ {v for r in b - a for v in _values(r)}
+    kinds = {kind for kind, _ in found.difference(*map(_values, a & b))} if found else set()
+    kinds |= {kind for kind, words in KEYWORDS.items() if any((k in left) != (k in right) for k in words)}
+    return sorted(kinds)

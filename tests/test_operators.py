@@ -280,3 +280,40 @@ def test_marked_pairs_are_the_rows_of_their_sql_and_no_line_travels(spark):
     marked = X.rows(spark, sf, X.MARKED_PAIRS)
     assert sorted(map(tuple, marked.collect())) == sorted(map(tuple, X.rows(spark, sf, X.DOCUMENT_PAIRS).collect()))
     assert dict(X.rows(spark, sf, "SELECT explode({line_marks}) AS m FROM {documents}").dtypes) == {"m": "struct<a:bigint,b:bigint>"}
+
+
+def test_brief_verdicts_are_those_of_the_whole_comparison(spark):
+    """Odd keys and texts: repeated numbers, fields, covered fragments, null texts and pairs, blanks, values that no single run of digits decides."""
+    from redline.functions import values as V
+    from redline.functions.kernels import normal_text
+    from redline.plans.compare import compare_briefly, compare_clauses
+
+    rng = random.Random(5)
+    parts = ["供货", "12,345.67元", " ", "1996年3月13日", "４%", "百分之五", "¥ 12万元", "壹佰元整", "违约", "3 个 工作日", "2020-1-2", "12", "元", "　", "\r\n\n", "abc", "法院", "30天", "。", ""]
+    text = lambda: None if rng.random() < 0.05 else "".join(rng.choice(parts) for _ in range(rng.randint(0, 7)))
+    rows = []
+    for pair in [None, *range(150)]:
+        base = [text() for _ in range(6)]
+        for side in ("word", "pdf"):
+            for n in range(rng.randint(0, 6)):
+                t = base[n] if rng.random() < 0.5 else text()
+                rows.append((pair, side, n + 1, rng.choice(["1", "2", "3", "", None]), rng.choice([1, 1, 2, None]), rng.choice(["日期", "", None]), "t", t))
+    clauses = spark.createDataFrame(rows, "pair_id long, side string, clause_ord int, number string, level int, field_key string, title string, text string")
+    columns = ["pair_id", "align_idx", "status", "risk_level", "number", "changed_kinds", "risk_reasons"]
+    want = sorted(map(repr, compare_clauses(clauses).diffs.select(*columns).collect()))  # texts made normal by built-ins, values found by them
+    got = compare_briefly(clauses)
+    assert want and sorted(map(repr, got.select(*columns).collect())) == want
+    together = compare_briefly(clauses.coalesce(1).sort("pair_id"), together=True)
+    assert sorted(map(repr, together.select(*columns).collect())) == want
+    pairs = [(text() or "", text() or "") for _ in range(3000)]
+    df = spark.createDataFrame([(normal_text(a), normal_text(b)) for a, b in pairs], "a string, b string")
+    for r in df.select("*", *[(V.of_kind(F.col("a"), k) != V.of_kind(F.col("b"), k)).alias(k) for k in V.KINDS]).collect():
+        assert V.changed_kinds(r["a"], r["b"]) == [k for k in V.KINDS if r[k]], r
+
+
+def test_verdicts_of_contracts_send_no_text_on(spark):
+    """The lines are dealt out once, and no value pattern or bag is looked for outside the task that matches them."""
+    from redline.queries import QUERIES
+
+    plan = QUERIES["status_histogram"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "regexp" not in plan and plan.count("Exchange hashpartitioning(pair_id") == 1 and plan.count("Sort [pair_id") <= 1
