@@ -360,3 +360,16 @@ def test_places_and_previews_by_brute_force(spark):
     for name in ("locate_prefix", "locate_lcs", "preview_rows"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_gap_sizes_are_those_of_the_gap_table(spark):
+    """Repeated and crossing lines, empty and null texts, a side without a text; lines are not dealt out by themselves."""
+    rng = random.Random(4)
+    text = lambda: rng.choice([None, "", "\n"]) if rng.random() < 0.1 else "\n".join(rng.choice("abcdefghij") * rng.randint(1, 2) for _ in range(rng.randint(0, 12)))
+    texts = spark.createDataFrame([(k, side, text()) for k in range(200) for side in ("word", "pdf") if k % 50 or side == "word"], "pair_id long, side string, text string")
+    lines = D.to_lines(texts, ["pair_id", "side"], unicode=False)
+    table = D.gap_table(lines, D.anchors(lines)).select("pair_id", "gap", "kind", F.size("word_lines").cast("long").alias("n_word"), F.size("pdf_lines").cast("long").alias("n_pdf"))
+    got = D.gap_sizes(texts.select("pair_id", "side", *D.line_marks(F.col("text"))))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+    assert got.dtypes == table.dtypes and sorted(got.collect()) == sorted(table.collect())
