@@ -311,6 +311,33 @@ def test_brief_verdicts_are_those_of_the_whole_comparison(spark):
         assert V.changed_kinds(r["a"], r["b"]) == [k for k in V.KINDS if r[k]], r
 
 
+def test_texts_of_one_form_are_searched_once(monkeypatch):
+    """Values of texts that differ in digits alone are compared by place, as a search of each text has them; blanks, other digits and lone forms included."""
+    import pyarrow as pa
+
+    from redline.functions import values as V
+
+    rng = random.Random(11)
+    parts = ["供货", "{}2,3{}5.67元", "{}9{}6年{}月1{}日", "{}%", "百分之五", "百分之{}", "¥ {}万元", "壹佰元整", "违约", "{} 个 工作日", "20{}0-{}-2", "{}", "٣天", "４{}%", "仲裁", ",", "V" * 600]
+    made = [("".join(rng.choices(parts, k=rng.randint(0, 4))), "".join(rng.choices(parts, k=rng.randint(0, 4)))) for _ in range(300)]
+    made += [(a, a) for a, _ in made]
+    fill = lambda t: "".join(rng.choice("129") if c == "{" else c for c in t if c != "}")
+    pairs = [(fill(a), fill(b)) for a, b in made for _ in range(rng.randint(1, 4))]
+    want = [V.changed_kinds(a, b) for a, b in pairs]
+    got = V.changed_kinds_of(*(pa.array(["", *x]).slice(1) for x in zip(*pairs, strict=True)))
+    assert got == want and {k for x in got for k in x} == set(V.KINDS) - {"effective"}
+    assert V.changed_kinds_of(pa.array([], pa.string()), pa.array([], pa.string())) == []
+
+    def never(*_):
+        raise AssertionError("searched again")
+
+    monkeypatch.setattr(V, "changed_kinds", never)
+    years = pa.array([f"供货金额{n}00.25元,交货1996年3月13日,折扣4%" for n in range(10, 90)])
+    later = pa.array([f"供货金额{n}00.25元,交货199{n % 10}年3月13日,折扣4%" for n in range(10, 90)])
+    assert V.changed_kinds_of(years, later) == [["date"] if n % 10 != 6 else [] for n in range(10, 90)]
+    assert all(len({r.translate(str.maketrans("123456789", "0" * 9)) for r in p}) == 1 for p in zip(years.to_pylist(), V.forms(years).to_pylist(), strict=True))
+
+
 def test_verdicts_of_contracts_send_no_text_on(spark):
     """The lines are dealt out once, and no value pattern or bag is looked for outside the task that matches them."""
     from redline.queries import QUERIES
