@@ -338,6 +338,19 @@ def test_texts_of_one_form_are_searched_once(monkeypatch):
     assert all(len({r.translate(str.maketrans("123456789", "0" * 9)) for r in p}) == 1 for p in zip(years.to_pylist(), V.forms(years).to_pylist(), strict=True))
 
 
+def test_leftovers_of_one_side_alone_take_no_turn(monkeypatch):
+    """Clauses whose pair has nothing on the other side, or that have no pair, are unmatched without a look at their texts."""
+    import pyarrow as pa
+
+    rows = [(1, "pdf", 1, "1", "甲"), (1, "pdf", 2, "", "乙"), (1, "word", 1, "1", "甲"), (2, "word", 1, "1", "丙"), (2, "word", 2, "", "丁"), (None, "pdf", 1, "1", "戊"), (None, "word", 1, "1", "戊")]
+    pair, side, order, number, text = (pa.array(x) for x in zip(*rows, strict=True))
+    col = {"pair_id": pair, "side": side, "clause_ord": order.cast(pa.int32()), "number": number, "level": pa.array([1] * 7, pa.int32()), "field_key": pa.array([""] * 7), "text": text}
+    monkeypatch.setattr(A, "_left", None)
+    w, p, kind, similarity, _, index = A.aligned(col, 0.7, 5, True, 4)
+    got = list(zip(w.tolist(), p.tolist(), [A.KINDS[k] for k in kind], similarity.tolist(), index.tolist(), strict=True))
+    assert got == [(2, 0, "number", 1.0, 0), (-1, 1, "unmatched", 0.0, 1), (3, -1, "unmatched", 0.0, 0), (4, -1, "unmatched", 0.0, 1), (-1, 5, "unmatched", 0.0, 0), (6, -1, "unmatched", 0.0, 1)]
+
+
 def test_verdicts_of_contracts_send_no_text_on(spark):
     """The lines are dealt out once, and no value pattern or bag is looked for outside the task that matches them."""
     from redline.queries import QUERIES
