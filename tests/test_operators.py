@@ -351,6 +351,18 @@ def test_leftovers_of_one_side_alone_take_no_turn(monkeypatch):
     assert got == [(2, 0, "number", 1.0, 0), (-1, 1, "unmatched", 0.0, 1), (3, -1, "unmatched", 0.0, 0), (4, -1, "unmatched", 0.0, 1), (-1, 5, "unmatched", 0.0, 0), (6, -1, "unmatched", 0.0, 1)]
 
 
+def test_few_leftovers_meet_as_many_do(monkeypatch):
+    """Bags that meet directly give the places and similarities that an index of terms gives, empty and null texts included."""
+    rng = random.Random(13)
+    words = ["付款", "交货", "ABC", "12", "3", "", "é", "x"]
+    some = lambda: [rng.choice([None, "", " ".join(rng.choices(words, k=rng.randint(1, 8)))]) for _ in range(rng.randint(1, 4))]
+    cases = [(some(), some(), rng.choice([0.0, 0.3, 0.7])) for _ in range(400)]
+    few = [A._nearest(w, p, t, 1) for w, p, t in cases]
+    monkeypatch.setattr(A, "FEW", 0)
+    assert [A._nearest(w, p, t, 1) for w, p, t in cases] == few
+    assert any(w is not None for x in few for w, _ in x)
+
+
 def test_verdicts_of_contracts_send_no_text_on(spark):
     """The lines are dealt out once, and no value pattern or bag is looked for outside the task that matches them."""
     from redline.queries import QUERIES
