@@ -87,41 +87,87 @@ def forms(texts: pa.Array) -> pa.Array:
 
 
 @functools.lru_cache(1 << 12)
-def _places(left: str, right: str) -> list[tuple[str, list[slice], list[slice]]] | None:
-    """Each kind that two forms have with the places of its values; keywords that one of them has alone with none. None where values hold blanks."""
+def _places(left: str, right: str) -> list[tuple[int, list[tuple[int, int, int]], list[tuple[list[slice], list[slice]]]]] | None:
+    """What decides over each kind (a place in KINDS) whose values two forms can have unlike; None where values hold blanks.
+
+    Values of unlike forms are unlike, so each form of a value stands for itself. One that both sides have once: start on the
+    left, start on the right and length in bytes. One that they have more often: the places of both sides. A kind with
+    neither is unlike, whatever the digits are.
+    """
     out = []
-    for kind in KINDS:
+    for k, kind in enumerate(KINDS):
         if kind in KEYWORDS:
-            if any((k in left) != (k in right) for k in KEYWORDS[kind]):
-                out.append((kind, [], [slice(0)]))
+            if any((x in left) != (x in right) for x in KEYWORDS[kind]):
+                out.append((k, [], []))
             continue
-        both = [[slice(*m.span()) for k, _, p in _compiled if k == kind for m in p.finditer(text)] for text in (left, right)]
-        if any(_blanks.search(text[at]) for text, places in zip((left, right), both, strict=True) for at in places):
+        both: list[dict[str, list[slice]]] = [{}, {}]
+        for text, by_form in zip((left, right), both, strict=True):
+            for a, b in sorted({m.span() for x, _, p in _compiled if x == kind for m in p.finditer(text)}):
+                by_form.setdefault(text[a:b], []).append(slice(a, b))
+        if any(_blanks.search(form) for by_form in both for form in by_form):
             return None
-        if any(both):
-            out.append((kind, *both))
+        if both[0].keys() != both[1].keys():
+            out.append((k, [], []))
+        elif both[0]:
+            at = lambda text, x: len(text[: x.start].encode())
+            alike = [(form, xs, both[1][form]) for form, xs in both[0].items()]
+            once = [(at(left, xs[0]), at(right, ys[0]), len(form.encode())) for form, xs, ys in alike if len(xs) == len(ys) == 1]
+            out.append((k, once, [(xs, ys) for _, xs, ys in alike if len(xs) + len(ys) > 2]))
     return out
 
 
-def changed_kinds_of(left: pa.Array, right: pa.Array) -> list[list[str]]:
-    """``changed_kinds`` of many pairs of texts without nulls: forms that two pairs or more have are searched once."""
-    texts, n = [x.to_numpy(zero_copy_only=False).tolist() for x in (left, right)], len(left)
+def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text starts, and the bytes of all."""
+    texts = texts.cast(pa.large_string())
+    offsets, data = texts.buffers()[1:]
+    return np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts)], np.frombuffer(data or b"", np.uint8)
+
+
+def changes(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Of many pairs of texts without nulls, a column for each of KINDS: are its values changed (see ``changed_kinds``)?
+
+    Forms that two pairs or more have are searched once, and their values compared by place, for all their pairs at once.
+    """
+    n, out = len(left), np.zeros((len(left), len(KINDS)), bool)
+    if not n:
+        return out
     coded = pa.concat_arrays([forms(left), forms(right)]).dictionary_encode()
     code, form = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     pairs, of, times = np.unique(code[:n] * len(form) + code[n:], return_inverse=True, return_counts=True)
-    places: list = [None] * len(pairs)
     short = pc.less_equal(pc.utf8_length(form), FORM).to_numpy(zero_copy_only=False)
-    for i in np.flatnonzero((times > 1) & short[pairs // max(len(form), 1)] & short[pairs % max(len(form), 1)]).tolist():
-        a, b = divmod(int(pairs[i]), len(form))
-        places[i] = _places(form[a].as_py(), form[b].as_py())
-    out = []
-    for a, b, i in zip(*texts, of.tolist(), strict=True):
-        if (known := places[i]) is None:
-            out.append(changed_kinds(a, b))
+    often = (times > 1) & short[pairs // len(form)] & short[pairs % len(form)]
+    order, ends = np.argsort(of, kind="stable"), np.cumsum(times)
+    alone = [order[~often[of[order]]]]
+    (starts, data), (others, more) = _raw(left), _raw(right)
+    for i in np.flatnonzero(often).tolist():
+        rows, (a, b) = order[ends[i] - times[i] : ends[i]], divmod(int(pairs[i]), len(form))
+        if (known := _places(form[a].as_py(), form[b].as_py())) is None:
+            alone.append(rows)
             continue
-        found = []
-        for kind, x, y in known:
-            if (a[x[0]] != b[y[0]]) if len(x) == len(y) == 1 else {a[s] for s in x} != {b[s] for s in y}:
-                found.append(kind)
-        out.append(found)
+        for k, once, repeated in known:
+            if not once and not repeated:
+                out[rows, k] = True
+                continue
+            hit = np.zeros(len(rows), bool)
+            for x, y, size in once:
+                step = np.arange(size)
+                hit |= (data[(starts[rows] + x)[:, None] + step] != more[(others[rows] + y)[:, None] + step]).any(axis=1)
+            if repeated:
+                for j in np.flatnonzero(~hit).tolist():
+                    a, b = (t[int(rows[j])].as_py() for t in (left, right))
+                    hit[j] = any({a[s] for s in xs} != {b[s] for s in ys} for xs, ys in repeated)
+            out[rows, k] = hit
+    rows = np.concatenate(alone)
+    if len(rows):
+        texts = [t.take(pa.array(rows)).to_numpy(zero_copy_only=False).tolist() for t in (left, right)]
+        for i, a, b in zip(rows.tolist(), *texts, strict=True):
+            for kind in changed_kinds(a, b):
+                out[i, KINDS.index(kind)] = True
     return out
+
+
+def changed_kinds_of(left: pa.Array, right: pa.Array) -> list[list[str]]:
+    """``changed_kinds`` of many pairs of texts without nulls."""
+    found = changes(left, right)
+    hit = found.any(axis=1).tolist()
+    return [[k for k, x in zip(KINDS, row, strict=True) if x] if any_ else [] for any_, row in zip(hit, found.tolist(), strict=True)]

@@ -425,3 +425,42 @@ def test_gap_sizes_are_those_of_the_gap_table(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" not in plan
     assert got.dtypes == table.dtypes and sorted(got.collect()) == sorted(table.collect())
+
+
+def test_lines_with_two_sides_are_judged_as_their_clauses(spark, tmp_path):
+    """Prices that are no whole cents, negative or large, and null keys included; a text that both sides have travels once, and counts alone leave the task."""
+    from redline import fixtures as X
+    from redline.plans.compare import compare_briefly, compare_clauses
+
+    rng = random.Random(17)
+    prices = [84197.04, 0.0, 0.005, 1.005, 2.675, -5.25, -0.004, 99.995, 123456789012.34, 3e13, 0.1 + 0.2, 100.0, None]
+    rows = [(rng.choice([None, *range(0, 190, 19), 1, 2]), rng.choice([0, 10, 13, 23, 29, 31, 46, 130, 299, 7, 8, 9, None]), rng.randint(0, 20), rng.choice([1, 2, 3, None]), float(rng.randint(1, 50)), rng.choice(prices),
+             rng.randint(0, 10) / 100, i / 1000, "N", "O", f"199{i % 10}-{1 + i % 12:02}-{1 + i % 28:02} 00:00:00") for i in range(400)]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, day string"
+    lines = spark.createDataFrame(rows, kinds).withColumn("l_shipdate", F.col("day").cast("timestamp_ntz")).drop("day")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = {name: X.rows(spark, str(tmp_path), getattr(X, name)) for name in ("CONTRACTS", "CONTRACTS_BY_PAIR", "CONTRACTS_FOLDED")}
+    assert sorted(map(repr, made["CONTRACTS"].collect())) == sorted(map(repr, made["CONTRACTS_BY_PAIR"].collect()))
+    columns = ["pair_id", "align_idx", "status", "risk_level", "number", "changed_kinds"]
+    want = compare_clauses(made["CONTRACTS"]).diffs.select(*columns)
+    got = compare_briefly(made["CONTRACTS_FOLDED"], together=True).select(*columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    counts = A.verdict_counts(made["CONTRACTS_FOLDED"], together=True)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.groupBy("status", "risk_level").count().collect()))
+    assert made["CONTRACTS_FOLDED"].where("p_text = w_text").count() == 0
+    with pytest.raises(ValueError):
+        A.verdicts(made["CONTRACTS_FOLDED"])
+
+
+def test_tables_of_whole_pairs_have_the_size_that_is_asked():
+    import pyarrow as pa
+
+    rng = random.Random(19)
+    pairs = sorted(rng.randint(0, 40) for _ in range(300)) + [None] * 5
+    batches = [pa.RecordBatch.from_pydict({"p": pa.array(pairs[i : i + 7], pa.int64()), "i": list(range(i, min(i + 7, len(pairs))))}) for i in range(0, len(pairs), 7)]
+    for rows, size in ((1, 0), (50, 1 << 30), (1 << 30, 1 << 30), (1 << 30, 400)):
+        tables = list(A.whole_pairs(iter(batches), rows, size))
+        assert [x for t in tables for x in t.column("i").to_pylist()] == list(range(len(pairs)))
+        seen = [set(t.column("p").to_pylist()) for t in tables]
+        assert sum(map(len, seen)) == len(set(pairs))
+    assert len(list(A.whole_pairs(iter(batches), 1 << 30, 1 << 30))) == 1 and all(t.num_rows >= 50 for t in list(A.whole_pairs(iter(batches), 50, 1 << 30))[:-1])
