@@ -282,6 +282,26 @@ def test_marked_pairs_are_the_rows_of_their_sql_and_no_line_travels(spark):
     assert dict(X.rows(spark, sf, "SELECT explode({line_marks}) AS m FROM {documents}").dtypes) == {"m": "struct<a:bigint,b:bigint>"}
 
 
+def test_documents_with_common_lines_pair_as_by_brute_force(spark, monkeypatch, tmp_path):
+    """Copies, sets within sets, items of a few and of nearly all, over several levels; and the rows of the pairs' SQL where all documents have two lines."""
+    from redline import fixtures as X
+
+    for seed, few in ((1, 2), (2, 3), (3, 100)):
+        monkeypatch.setattr(D, "OFTEN", few)
+        rng = random.Random(seed)
+        sets = {d: {int(rng.expovariate(0.2)) if rng.random() < 0.8 else rng.randrange(100) for _ in range(rng.randint(1, 7))} for d in rng.sample(range(1000), 150)}
+        want = {d: min([(-len(s & sets[b]), b) for b in sets if b < d and len(s & sets[b]) > 1], default=None) for d, s in sets.items()}
+        got = D.most_shared(spark.createDataFrame([(d, sorted(s)) for d, s in sets.items()], "doc long, set array<long>")).collect()
+        assert sorted((r["doc"], (-r["n"], r["base"])) for r in got) == sorted((d, x) for d, x in want.items() if x)
+    lines = [f"this is the common line number {i}" for i in range(12)]
+    text = lambda d: None if d == 7 else "\n".join([*lines[:2], *rng.sample(lines, d % 4), f"a line that two documents have, {d // 2}", "short", "short"][d % 5 == 4 :])
+    docs = [(d, text(d)) for d in range(60)]
+    spark.createDataFrame([*docs, (70, docs[30][1]), (71, docs[30][1]), (None, docs[31][1])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(D, "OFTEN", 5)
+    pairs = X.document_pairs(spark, str(tmp_path))
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, X.rows(spark, str(tmp_path), X.DOCUMENT_PAIRS).collect()))
+
+
 def test_brief_verdicts_are_those_of_the_whole_comparison(spark):
     """Odd keys and texts: repeated numbers, fields, covered fragments, null texts and pairs, blanks, values that no single run of digits decides."""
     from redline.functions import values as V
