@@ -302,6 +302,33 @@ def test_documents_with_common_lines_pair_as_by_brute_force(spark, monkeypatch,
     assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, X.rows(spark, str(tmp_path), X.DOCUMENT_PAIRS).collect()))
 
 
+def odd_sides(spark, seed):
+    """Two texts of each pair: repeated and crossing lines, blanks, empty and null texts, a side without a text, one that stands twice."""
+    rng = random.Random(seed)
+    words = ["alpha", "Beta", "gamma 1", "gamma 2", "付款", "  付款方式", "ß", "", "12"]
+    text = lambda: rng.choice([None, "", "\n", " "]) if rng.random() < 0.1 else "\r\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(0, 9)))
+    rows = [(k, side, text()) for k in range(120) for side in ("word", "pdf") if k % 40 or side == "word"]
+    return spark.createDataFrame(rows, "pair_id long, side string, text string")
+
+
+def same_rows_in_one_exchange(got, want):
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Generate" not in plan
+    assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def marked(sides):
+    return sides.select("pair_id", "side", *D.line_marks(F.col("text")))
+
+
+def test_paired_bags_are_the_similarities_of_exploded_terms(spark):
+    sides = odd_sides(spark, 6)
+    sides = sides.unionByName(sides.where("pair_id = 3"))  # a document that stands twice
+    both = sides.withColumn("pos", F.lit(0))
+    want = A.bag_similarities(both.where("side = 'word'"), both.where("side = 'pdf'"))
+    same_rows_in_one_exchange(D.paired_bags(sides).withColumn("sim", F.round("sim", 9)), want.select("pair_id", F.round("sim", 9).alias("sim")))
+
+
 def test_brief_verdicts_are_those_of_the_whole_comparison(spark):
     """Odd keys and texts: repeated numbers, fields, covered fragments, null texts and pairs, blanks, values that no single run of digits decides."""
     from redline.functions import values as V
