@@ -329,6 +329,12 @@ def test_paired_bags_are_the_similarities_of_exploded_terms(spark):
     same_rows_in_one_exchange(D.paired_bags(sides).withColumn("sim", F.round("sim", 9)), want.select("pair_id", F.round("sim", 9).alias("sim")))
 
 
+def test_paired_similarity_is_that_of_the_multisets(spark):
+    sides = odd_sides(spark, 2)
+    sides = sides.unionByName(sides.where("pair_id = 3"))  # a document that stands twice
+    same_rows_in_one_exchange(D.paired_similarity(marked(sides)), D.multiset_similarity(D.to_lines(sides, ["pair_id", "side"], unicode=False)))
+
+
 def test_brief_verdicts_are_those_of_the_whole_comparison(spark):
     """Odd keys and texts: repeated numbers, fields, covered fragments, null texts and pairs, blanks, values that no single run of digits decides."""
     from redline.functions import values as V
