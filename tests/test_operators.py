@@ -335,6 +335,13 @@ def test_paired_similarity_is_that_of_the_multisets(spark):
     same_rows_in_one_exchange(D.paired_similarity(marked(sides)), D.multiset_similarity(D.to_lines(sides, ["pair_id", "side"], unicode=False)))
 
 
+def test_paired_hunks_are_those_with_context(spark):
+    sides = odd_sides(spark, 5)
+    lines = D.to_lines(sides, ["pair_id", "side"], unicode=False)
+    got = D.paired_hunks(sides.select("pair_id", "side", *D.whole_lines(F.col("text"))))
+    same_rows_in_one_exchange(got, D.with_context(D.hunks(D.gap_table(lines, D.anchors(lines))), lines).select(*got.columns))
+
+
 def test_brief_verdicts_are_those_of_the_whole_comparison(spark):
     """Odd keys and texts: repeated numbers, fields, covered fragments, null texts and pairs, blanks, values that no single run of digits decides."""
     from redline.functions import values as V
