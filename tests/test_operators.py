@@ -342,6 +342,14 @@ def test_paired_hunks_are_those_with_context(spark):
     same_rows_in_one_exchange(got, D.with_context(D.hunks(D.gap_table(lines, D.anchors(lines))), lines).select(*got.columns))
 
 
+def test_paired_gap_table_is_that_of_the_lines(spark):
+    sides = odd_sides(spark, 4)
+    lines = D.to_lines(sides, ["pair_id", "side"], unicode=False)
+    want, texts = D.gap_table(lines, D.anchors(lines)), sides.select("pair_id", "side", *D.whole_lines(F.col("text")))
+    same_rows_in_one_exchange(D.paired_gap_table(texts), want)
+    same_rows_in_one_exchange(D.paired_gap_table(texts, ("insert", "delete")), want.where("kind <> 'both'"))
+
+
 def test_brief_verdicts_are_those_of_the_whole_comparison(spark):
     """Odd keys and texts: repeated numbers, fields, covered fragments, null texts and pairs, blanks, values that no single run of digits decides."""
     from redline.functions import values as V
