@@ -350,6 +350,11 @@ def test_paired_gap_table_is_that_of_the_lines(spark):
     same_rows_in_one_exchange(D.paired_gap_table(texts, ("insert", "delete")), want.where("kind <> 'both'"))
 
 
+def test_paired_anchors_are_the_anchors_of_the_lines(spark):
+    sides = odd_sides(spark, 1)
+    same_rows_in_one_exchange(D.paired_anchors(marked(sides)), D.anchors(D.to_lines(sides, ["pair_id", "side"], unicode=False)))
+
+
 def test_brief_verdicts_are_those_of_the_whole_comparison(spark):
     """Odd keys and texts: repeated numbers, fields, covered fragments, null texts and pairs, blanks, values that no single run of digits decides."""
     from redline.functions import values as V
