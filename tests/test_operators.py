@@ -355,6 +355,13 @@ def test_paired_anchors_are_the_anchors_of_the_lines(spark):
     same_rows_in_one_exchange(D.paired_anchors(marked(sides)), D.anchors(D.to_lines(sides, ["pair_id", "side"], unicode=False)))
 
 
+def test_paired_statistics_are_those_of_the_hunks(spark):
+    sides = odd_sides(spark, 3)
+    lines = D.to_lines(sides, ["pair_id", "side"], unicode=False)
+    found = D.anchors(lines)
+    same_rows_in_one_exchange(D.paired_statistics(marked(sides)), D.line_statistics(D.hunks(D.gap_table(lines, found), False), found, lines))
+
+
 def test_brief_verdicts_are_those_of_the_whole_comparison(spark):
     """Odd keys and texts: repeated numbers, fields, covered fragments, null texts and pairs, blanks, values that no single run of digits decides."""
     from redline.functions import values as V
