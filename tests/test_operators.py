@@ -362,6 +362,17 @@ def test_paired_statistics_are_those_of_the_hunks(spark):
     same_rows_in_one_exchange(D.paired_statistics(marked(sides)), D.line_statistics(D.hunks(D.gap_table(lines, found), False), found, lines))
 
 
+def test_compact_keys_joins_its_pairs_to_the_texts_alone(spark):
+    """Lines that documents share are not joined in its plan; before, they were for all documents with two common ones."""
+    from redline.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables")
+    plan = QUERIES["compact_keys"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def test_brief_verdicts_are_those_of_the_whole_comparison(spark):
     """Odd keys and texts: repeated numbers, fields, covered fragments, null texts and pairs, blanks, values that no single run of digits decides."""
     from redline.functions import values as V
