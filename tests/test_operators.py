@@ -373,6 +373,16 @@ def test_compact_keys_joins_its_pairs_to_the_texts_alone(spark):
     assert plan.count("Join") == 1
 
 
+def test_gap_classes_deals_marks_twice_and_joins_its_pairs_to_them_alone(spark):
+    from redline.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables")
+    plan = QUERIES["gap_classes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Exchange hashpartitioning") <= 3 and "Generate explode(transform" not in plan
+
+
 def test_brief_verdicts_are_those_of_the_whole_comparison(spark):
     """Odd keys and texts: repeated numbers, fields, covered fragments, null texts and pairs, blanks, values that no single run of digits decides."""
     from redline.functions import values as V
